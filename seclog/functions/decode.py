@@ -1,9 +1,14 @@
-"""Payload decoding as column expressions: URL unquote, HTML entities, one base64 run.
+"""Payload decoding: URL unquote, HTML entities, one base64 run.
 
-URL and base64 steps are built-in expressions (JVM, codegen). HTML entity
-unescaping needs the full HTML5 entity table, which Spark lacks; it runs as an
-Arrow-batched pandas UDF and only ever sees rows that contain ``&`` (others get
-a null argument, so nothing is shipped for them).
+URL and base64 steps are built-in expressions (JVM). HTML entity unescaping
+needs the full HTML5 entity table, which Spark lacks; it runs as an
+Arrow-batched pandas UDF that only ever sees rows containing ``&`` (other
+rows pass a null, so nothing is shipped for them).
+
+Each step references its input as few times as possible, and
+:func:`with_decoded` materialises every step as its own column, so the
+expression tree stays linear in the number of steps (a step that used its
+input four times would make three nested rounds 64 copies deep).
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -27,17 +32,19 @@ _PURE_HEX_HASH = r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})\z"
 def url_unquote_once(c: Column) -> Column:
     """One round of percent-decoding with Python ``unquote`` semantics.
 
-    ``+`` stays ``+`` and a ``%`` not followed by two hex digits stays literal;
-    invalid UTF-8 byte runs become U+FFFD. Rows without ``%`` are untouched.
+    ``+`` is protected as ``%2B`` and a ``%`` not followed by two hex digits
+    as ``%25``, so the decoder restores both literally and never fails;
+    invalid UTF-8 byte runs become U+FFFD. A text without ``%`` comes back
+    unchanged.
     """
     protected = F.regexp_replace(
         F.replace(c, F.lit("+"), F.lit("%2B")), F.lit("%(?![0-9A-Fa-f]{2})"), F.lit("%25")
     )
-    return F.when(c.contains("%"), F.coalesce(F.try_url_decode(protected), c)).otherwise(c)
+    return F.try_url_decode(protected)
 
 
 def url_unquote(c: Column, rounds: int = rules.URL_DECODE_ROUNDS) -> Column:
-    """Repeated unquote, stopping at the fixpoint (extra rounds are no-ops)."""
+    """Repeated unquote; rounds after the fixpoint change nothing."""
     for _ in range(rounds):
         c = url_unquote_once(c)
     return c
@@ -50,38 +57,62 @@ def _html_unescape_batch(s: pd.Series) -> pd.Series:
 
 def html_unescape(c: Column) -> Column:
     """HTML5 entity unescape; only rows containing ``&`` are sent to Python."""
-    needs = c.contains("&")
-    return F.when(needs, F.coalesce(_html_unescape_batch(F.when(needs, c)), c)).otherwise(c)
-
+    return F.coalesce(_html_unescape_batch(F.when(c.contains("&"), c)), c)
 
-def base64_run_decode(c: Column, mode: str = "reference") -> Column:
-    """Replace every occurrence of the first base64-looking run by its decoding.
 
-    The run is replaced only when it decodes (Python's lenient padding rules)
-    and the UTF-8 text (invalid bytes dropped) is printable. ``mode='safe'``
-    leaves a run that is exactly a 32/40/64 hex digest alone.
-    """
-    m = F.regexp_extract(c, rules.BASE64_RUN, 0)
+def base64_text(m: Column) -> Column:
+    """UTF-8 text of a base64 run (invalid bytes dropped); null when Python's
+    lenient decoder would reject the padding."""
     data = F.regexp_replace(m, F.lit("=+$"), F.lit(""))
     n = F.length(data) % 4
     pads = F.length(m) - F.length(data)
     valid = (F.length(m) > 0) & ((n == 0) | ((n == 2) & (pads == 2)) | ((n == 3) & (pads >= 1)))
-    padded = (
-        F.when(n == 0, data)
-        .when(n == 2, F.concat(data, F.lit("==")))
-        .otherwise(F.concat(data, F.lit("=")))
-    )
+    padded = F.concat(data, F.when(n == 2, F.lit("==")).when(n == 3, F.lit("=")).otherwise(F.lit("")))
     text = F.replace(F.make_valid_utf8(F.unbase64(padded).cast("string")), F.lit("\ufffd"), F.lit(""))
-    ok = valid & text.rlike(_PRINTABLE)
+    return F.when(valid, text)
+
+
+def base64_applies(m: Column, text: Column, mode: str = "reference") -> Column:
+    ok = text.isNotNull() & text.rlike(_PRINTABLE)
     if mode == "safe":
         ok = ok & ~m.rlike(_PURE_HEX_HASH)
-    return F.when(ok, F.replace(c, m, text)).otherwise(c)
+    return ok
+
+
+def base64_run_decode(c: Column, mode: str = "reference") -> Column:
+    """Replace every occurrence of the first base64-looking run by its decoding,
+    when it decodes and the text is printable (column form)."""
+    m = F.regexp_extract(c, rules.BASE64_RUN, 0)
+    text = base64_text(m)
+    return F.when(base64_applies(m, text, mode), F.replace(c, m, text)).otherwise(c)
 
 
 def decode_payload(c: Column, mode: str = "reference") -> Column:
-    """URL (≤3 rounds) → HTML entities → one base64 run; ``mode='none'`` is identity."""
-    if mode not in DECODE_MODES:
-        raise ValueError(f"decode mode must be one of {DECODE_MODES}, got {mode!r}")
+    """URL (≤3 rounds) → HTML entities → one base64 run, as one column
+    expression; prefer :func:`with_decoded` inside DataFrame jobs."""
+    check_mode(mode)
     if mode == "none":
         return c
     return base64_run_decode(html_unescape(url_unquote(c)), mode)
+
+
+def check_mode(mode: str) -> None:
+    if mode not in DECODE_MODES:
+        raise ValueError(f"decode mode must be one of {DECODE_MODES}, got {mode!r}")
+
+
+def with_decoded(df: DataFrame, text_col: str, out: str = "decoded", mode: str = "reference") -> DataFrame:
+    """Adds ``out`` = decoded ``text_col``; every step is its own column."""
+    check_mode(mode)
+    if mode == "none":
+        return df.withColumn(out, F.col(text_col))
+    staged = (
+        df.withColumn("_dec_url", url_unquote(F.col(text_col)))
+        .withColumn("_dec_html", html_unescape(F.col("_dec_url")))
+        .withColumn("_dec_run", F.regexp_extract(F.col("_dec_html"), rules.BASE64_RUN, 0))
+        .withColumn("_dec_txt", base64_text(F.col("_dec_run")))
+    )
+    h, m, t = F.col("_dec_html"), F.col("_dec_run"), F.col("_dec_txt")
+    return staged.withColumn(out, F.when(base64_applies(m, t, mode), F.replace(h, m, t)).otherwise(h)).drop(
+        "_dec_url", "_dec_html", "_dec_run", "_dec_txt"
+    )

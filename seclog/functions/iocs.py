@@ -50,8 +50,13 @@ def pattern_regex(pattern: str, ignore_case: bool) -> str:
 
 
 def gap_regex(pattern: str, ignore_case: bool) -> str:
-    """Group 1 = the text between the previous match and the next one."""
-    return _flags(ignore_case) + "(?s:(.*?))(?:" + pattern + ")"
+    """Group 1 = the text between the previous match and the next one.
+
+    ``\\G`` pins every attempt to the end of the previous match, so a scan that
+    finds no further match stops after one pass instead of restarting at each
+    later position (which would be quadratic in the unmatched tail).
+    """
+    return _flags(ignore_case) + "\\G(?s:(.*?))(?:" + pattern + ")"
 
 
 def _prefilter(ioc_type: str, x: Column) -> Column | None:
@@ -168,3 +173,23 @@ def iocs_from_decoded(
 def is_blank(raw: Column) -> Column:
     """Null, empty or whitespace-only text yields no indicators."""
     return raw.isNull() | raw.rlike(r"(?U)^\s*\z")
+
+
+def ioc_rows(iocs: Column) -> Column:
+    """Generator of ``ioc_ix, type, value, confidence, context`` rows.
+
+    ``inline`` over an indexed copy of the array: the generator output needs
+    no struct-field access afterwards, so the optimizer never clones the
+    extraction expression once per field (as nested-column aliasing does
+    for ``posexplode(...)`` followed by ``col.field`` selects).
+    """
+    return F.inline(
+        F.transform(
+            iocs,
+            lambda x, i: F.struct(
+                i.alias("ioc_ix"), x["type"].alias("type"), x["value"].alias("value"),
+                x["confidence"].alias("confidence"), x["context"].alias("context"),
+            ),
+        )
+    )
+

@@ -1,0 +1,19 @@
+"""Vector helpers as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 − cos(a, b) in double; null when either vector has zero length."""
+    return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))

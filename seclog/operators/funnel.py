@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.decode import decode_payload
-from ..functions.iocs import IOC_ARRAY, is_blank, iocs_from_decoded
+from ..functions.decode import with_decoded
+from ..functions.iocs import IOC_ARRAY, ioc_rows, is_blank, iocs_from_decoded
 from ..functions.text import keyword_hits
 
 
@@ -38,7 +38,7 @@ def extract_iocs(
     once per row and the 11 pattern scans read the materialised value.
     """
     raw = F.col(text_col)
-    staged = df.withColumn("decoded", decode_payload(raw, decode))
+    staged = with_decoded(df, text_col, "decoded", decode)
     found = F.when(is_blank(raw), F.array().cast(IOC_ARRAY)).otherwise(
         iocs_from_decoded(F.col("decoded"), context=context, types=types)
     )
@@ -110,9 +110,7 @@ def cluster_events(
 
 def chunk_iocs(filtered: DataFrame, keys: Sequence[str] = ("log_id",), extra: Sequence[str] = ()) -> DataFrame:
     """Indicator rows ``keys…, chunk_ix, ioc_ix, type, value, confidence, context``."""
-    return filtered.select(
-        *keys, *extra, "chunk_ix", F.posexplode("iocs").alias("ioc_ix", "ioc")
-    ).select(*keys, *extra, "chunk_ix", F.col("ioc_ix").cast("int").alias("ioc_ix"), "ioc.*")
+    return filtered.select(*keys, *extra, "chunk_ix", ioc_rows(F.col("iocs")))
 
 
 def merged_iocs(keyed: DataFrame, keys: Sequence[str] = ("log_id",)) -> DataFrame:
