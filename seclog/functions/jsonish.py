@@ -7,7 +7,7 @@ from the first ``{`` to the last ``}`` with trailing commas removed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -79,3 +79,41 @@ def verdict_columns(raw: Column) -> list[Column]:
         .when(~is_obj, _type_error(kind))
     )
     return cols + [error.alias("error")]
+
+
+def with_verdict(df: DataFrame, raw_col: str, keep: list[str]) -> DataFrame:
+    """Staged form of :func:`verdict_columns` for DataFrame jobs.
+
+    Every stage reads attributes of the previous one (trimmed text → four
+    candidates → four strict parses → the chosen value → typed fields), so
+    the plan stays small and each parse runs once per row; the typed fields
+    come out of a one-row ``inline`` generator that later filters cannot be
+    pushed through.
+    """
+    u = df.select(*keep, strip_ws(F.col(raw_col)).alias("_u"))
+    cand = u.select(
+        *keep,
+        F.col("_u").alias("_c1"),
+        strip_ws(F.regexp_extract(F.col("_u"), _FENCE, 1)).alias("_c2"),
+        F.regexp_replace(F.col("_u"), _TRAILING_COMMA, "$1").alias("_c3"),
+        F.regexp_replace(F.regexp_extract(F.col("_u"), _BRACES, 0), _TRAILING_COMMA, "$1").alias("_c4"),
+    )
+    wrapped = cand.select(
+        *keep,
+        *[F.col(f"_c{i}") for i in range(1, 5)],
+        *[F.try_parse_json(F.concat(F.lit("["), F.col(f"_c{i}"), F.lit("]"))).alias(f"_w{i}") for i in range(1, 5)],
+    )
+    def pick(i):
+        w = F.col(f"_w{i}")
+        return F.when(
+            (F.length(F.col(f"_c{i}")) > 0) & F.try_variant_get(w, "$[1]", "variant").isNull(),
+            F.try_variant_get(w, "$[0]", "variant"),
+        )
+    chosen = wrapped.select(*keep, F.coalesce(*[pick(i) for i in range(1, 5)]).alias("_v"))
+    v = F.col("_v")
+    kind = F.schema_of_variant(v)
+    is_obj = kind.startswith("OBJECT")
+    cols = [F.when(is_obj, F.try_variant_get(v, f"$.{name}", t)).alias(name) for name, t in VERDICT_FIELDS]
+    error = F.when(v.isNull() | (kind == "VOID"), F.lit(rules.VERDICT_PARSE_ERROR)).when(~is_obj, _type_error(kind))
+    return chosen.select(*keep, F.inline(F.array(F.struct(*cols, error.alias("error")))))
+

@@ -37,13 +37,31 @@ def extract_iocs(
     The decoded text is a column of its own so the decode chain is evaluated
     once per row and the 11 pattern scans read the materialised value.
     """
+    return _extract(df, text_col, {out: None}, decode, context, types, keep_decoded)
+
+
+def _extract(df, text_col, outs, decode, context=rules.CONTEXT_WINDOW, types=None, keep_decoded=False, keywords=None):
+    """Shared body: decode, then emit the computed columns through a one-row
+    ``inline`` generator.
+
+    The generator is an optimisation barrier on purpose: a later filter on
+    ``iocs``/``is_suspicious`` cannot be pushed below it, so Catalyst does
+    not copy the extraction expression into a pushed-down predicate (which
+    would run it twice, and before any rebalancing shuffle).
+    """
     raw = F.col(text_col)
     staged = with_decoded(df, text_col, "decoded", decode)
     found = F.when(is_blank(raw), F.array().cast(IOC_ARRAY)).otherwise(
         iocs_from_decoded(F.col("decoded"), context=context, types=types)
     )
-    res = staged.withColumn(out, found)
-    return res if keep_decoded else res.drop("decoded")
+    fields = []
+    for name in outs:
+        if name == "keyword_hits":
+            fields.append(keyword_hits(raw, keywords if keywords is not None else tuple(rules.SUSPICIOUS_KEYWORDS)).alias(name))
+        else:
+            fields.append(found.alias(name))
+    keep = [c for c in staged.columns if keep_decoded or c != "decoded"]
+    return staged.select(*keep, F.inline(F.array(F.struct(*fields))))
 
 
 def filter_chunks(
@@ -53,10 +71,8 @@ def filter_chunks(
     keywords: Sequence[str] = tuple(rules.SUSPICIOUS_KEYWORDS),
 ) -> DataFrame:
     """Rule filter per chunk: ``iocs``, ``keyword_hits`` (raw text), ``is_suspicious``."""
-    with_iocs = extract_iocs(chunks, text_col=text_col, decode=decode)
-    return with_iocs.withColumn("keyword_hits", keyword_hits(F.col(text_col), keywords)).withColumn(
-        "is_suspicious", (F.size("iocs") > 0) | (F.size("keyword_hits") > 0)
-    )
+    res = _extract(chunks, text_col, {"iocs": None, "keyword_hits": None}, decode, keywords=keywords)
+    return res.withColumn("is_suspicious", (F.size("iocs") > 0) | (F.size("keyword_hits") > 0))
 
 
 def suspicious(filtered: DataFrame) -> DataFrame:

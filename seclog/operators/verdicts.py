@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.jsonish import VERDICT_FIELDS, verdict_columns
+from ..functions.jsonish import VERDICT_FIELDS, with_verdict
 
 
 def parse_verdicts(raw: DataFrame, raw_col: str = "raw", keep: Sequence[str] | None = None) -> DataFrame:
-    """Adds the typed verdict columns and ``error``; ``keep`` = key columns to retain."""
+    """Adds the typed verdict columns and ``error``; ``keep`` = key columns to retain.
+
+    The response text is materialised first and the verdict columns come out
+    of a one-row ``inline`` generator: a later filter on ``is_threat`` or
+    ``error`` then cannot be pushed below it and re-run the JSON ladder (or
+    re-derive the response text) inside the predicate.
+    """
     keep = [c for c in raw.columns if c != raw_col] if keep is None else list(keep)
-    return raw.select(*keep, *verdict_columns(F.col(raw_col)))
+    return with_verdict(raw, raw_col, keep)
 
 
 def attach_verdicts(

@@ -30,6 +30,7 @@ from ..operators.funnel import (
 from ..functions.iocs import ioc_rows
 from ..operators.verdicts import attach_verdicts, parse_verdicts, threats
 from ..sources.fixtures import FIXTURE_AS_OF
+from ..session import cut_lineage
 from ..sources.tables import table
 from . import inputs
 from .inputs import spread
@@ -196,7 +197,9 @@ def suspicious_q(spark, sf):
 # ------------------------------------------------------------------ clustering
 
 def _seclog_keyed(spark, sf, decode="none"):
-    return cluster_key(suspicious(_seclog_filtered(spark, sf, decode)))
+    """Suspicious seclog lines with cluster keys, materialised once (reliable
+    checkpoint) because clusters, merged indicators and counts all read it."""
+    return cut_lineage(cluster_key(suspicious(_seclog_filtered(spark, sf, decode))))
 
 
 @register("cluster_key")
@@ -272,14 +275,14 @@ def _funnel_clusters(spark, sf, decode):
 @register("parse_verdicts")
 def parse_verdicts_q(spark, sf):
     """tolerant JSON ladder and verdict typing."""
-    return parse_verdicts(inputs.verdict_raw(spark, sf), keep=["log_id", "cluster_no"])
+    return parse_verdicts(spread(inputs.verdict_raw(spark, sf)), keep=["log_id", "cluster_no"])
 
 
 def _seclog_events(spark, sf):
     """Clusters with verdicts attached (J4) and their merged-indicator counts."""
     keyed = _seclog_keyed(spark, sf)
     clusters = _clusters(keyed)
-    verdicts = parse_verdicts(inputs.verdict_raw(spark, sf), keep=["log_id", "cluster_no"])
+    verdicts = parse_verdicts(spread(inputs.verdict_raw(spark, sf)), keep=["log_id", "cluster_no"])
     events = attach_verdicts(clusters, verdicts, on=[("log_id", "log_id"), ("event_id", "cluster_no")])
     merged = merged_iocs(keyed)
     counts = merged.groupBy("log_id", "cluster_id").agg(F.count(F.lit(1)).alias("merged_count"))
@@ -560,7 +563,7 @@ def analyze_logs_q(spark, sf):
     logs = inputs.text_logs(spark, sf)
     ch = spread(chunk_text(logs, keys=["log_id"]))
     f = filter_chunks(ch, decode="none")
-    keyed = cluster_key(suspicious(f))
+    keyed = cut_lineage(cluster_key(suspicious(f)))
     clusters = cluster_events(keyed)
     totals = logs.select("log_id", chunk_count(F.col("text")).alias("total_chunks_processed"))
     return run_summary(totals, keyed, clusters)
