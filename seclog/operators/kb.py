@@ -218,6 +218,11 @@ def kb_topk(
     top-k merges ≤ k candidates per KB block. Order: distance rounded to 6
     digits, then id. Returns ``query_id, rank, id, file_id, distance``.
     """
+    # fresh attribute ids: the query set may be derived from the KB itself
+    kb = kb.select(F.col("id").alias("id"), F.col("file_id").alias("file_id"), F.col("embedding").alias("embedding")).alias("kb")
+    queries = queries.select(
+        F.col("query_id").alias("query_id"), F.col("file_id").alias("file_id"), F.col("vector").alias("vector")
+    ).alias("qs")
     kbn = kb.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_kb"))
     qn = queries.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_q"))
     sizes = kbn.join(qn, "file_id").select(
