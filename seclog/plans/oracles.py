@@ -218,8 +218,8 @@ ORACLES["cluster_window_300s"] = with_(*_seclog_chain()) + (
 )
 
 
-def _funnel_oracle() -> str:
-    logs = (
+def _funnel_oracle(logs: str | None = None) -> str:
+    logs = logs or (
         "logs as (select concat('doc:', cast(doc_id as varchar)) as log_id, text from documents "
         "union all select concat('page:', cast(page_id as varchar)) as log_id, html as text from pages)"
     )
@@ -488,5 +488,26 @@ ORACLES["kb_context"] = with_(*_VEC) + (
 )
 
 
+# ------------------------------------------------------------------ intake and streaming
+# Each document is written by Spark's text writer as one file: its text plus a
+# final newline.
+_FILE_LOGS = "logs as (select doc_id as log_id, concat(text, chr(10)) as text from documents)"
+
+ORACLES["stream_logs"] = _funnel_oracle(_FILE_LOGS).rstrip("\n") + (
+    ",\nsn as (select log_id, count(*) as s from keyed group by 1),\n"
+    "cn as (select log_id, count(distinct cluster_id) as c from keyed group by 1)\n"
+    "select l.log_id as doc_id, case when coalesce(sn.s, 0) = 0 then '未发现安全威胁' "
+    "else printf('发现%d个安全事件，共%d条可疑日志聚类而成', 0, sn.s) end as summary, "
+    "cast((length(l.text) + 3999) // 4000 as bigint) as total_chunks_processed, "
+    "cast(coalesce(sn.s, 0) as bigint) as suspicious_chunks, cast(coalesce(cn.c, 0) as bigint) as clustered_events "
+    "from logs l left join sn on sn.log_id = l.log_id left join cn on cn.log_id = l.log_id"
+)
+
+ORACLES["read_logs"] = (
+    "select doc_id, cast(length(text) + 1 as bigint) as n_chars, md5(concat(text, chr(10))) as text_md5 from documents"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+

@@ -571,3 +571,53 @@ def analyze_logs_q(spark, sf):
 
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
+
+
+# ------------------------------------------------------------------ intake and streaming
+
+def _stage_documents_as_files(spark, sf) -> str:
+    """Spark writes every document as its own log file (``doc_id=N/part-*.txt``)
+    under the shared checkpoint folder; returns the folder."""
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    root = f"{checkpoint_dir(spark)}/intake-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(f"{root}/src")
+    return root
+
+
+@register("stream_logs")
+def stream_logs_q(spark, sf):
+    """Documents written as files, picked up by a binaryFile
+    stream (availableNow), admitted, decoded and analysed per micro-batch;
+    returns the run rows the stream wrote (decode off, so SQL can check it)."""
+    from ..streaming.intake import stream_logs
+
+    root = _stage_documents_as_files(spark, sf)
+    q = stream_logs(spark, f"{root}/src", f"{root}/out", f"{root}/chk", decode="none", extensions=("txt",))
+    q.awaitTermination()
+    runs = spark.read.parquet(f"{root}/out/runs")
+    return runs.select(
+        F.regexp_extract("log_id", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"),
+        "summary",
+        "total_chunks_processed",
+        "suspicious_chunks",
+        "clustered_events",
+    )
+
+
+@register("read_logs")
+def read_logs_q(spark, sf):
+    """Batch binaryFile scan of the same staged files, admission and charset decode."""
+    from ..sources.logs import admit_logs, logs_from_files, read_logs
+
+    root = _stage_documents_as_files(spark, sf)
+    accepted, _rejected = admit_logs(read_logs(spark, f"{root}/src"))
+    logs = logs_from_files(accepted)
+    return logs.select(
+        F.regexp_extract("log_id", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.md5("text").alias("text_md5"),
+    )
