@@ -67,14 +67,17 @@ def stream_cluster_windows(
 ) -> DataFrame:
     """Streaming windowed clusters over ``lines(log_id, chunk_ix, chunk, ts)``."""
     keyed = cluster_key(suspicious(filter_chunks(lines, decode=decode)))
+    ts_type = lines.schema[ts_col].dataType.simpleString()
+    # watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read as UTC wall time
+    keyed = keyed.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
     return (
         keyed.withWatermark(ts_col, watermark)
         .groupBy("log_id", F.window(F.col(ts_col), f"{seconds} seconds").alias("w"), "cluster_id")
         .agg(F.count(F.lit(1)).alias("sample_count"), F.min("chunk_ix").alias("first_chunk_ix"))
         .select(
             "log_id",
-            F.col("w.start").alias("window_start"),
-            F.col("w.end").alias("window_end"),
+            F.col("w.start").cast(ts_type).alias("window_start"),
+            F.col("w.end").cast(ts_type).alias("window_end"),
             "cluster_id",
             "sample_count",
             "first_chunk_ix",
