@@ -87,6 +87,8 @@ ORACLES: dict[str, str] = {}
 ORACLES["chunk_fixed"] = "select doc_id, cast(o // 4000 as integer) as chunk_ix, substring(text, o + 1, 4000) as chunk from documents, unnest(range(0, length(text), 4000)) as r(o)"
 ORACLES["chunk_overlap"] = "select doc_id, cast(o // 450 as integer) as chunk_ix, substring(text, o + 1, 500) as chunk from documents, unnest(range(0, length(text), 450)) as r(o)"
 
+ORACLES["preview"] = "select doc_id, substring(text, 1, 5000) as preview from documents"
+
 # ------------------------------------------------------------------ extraction
 
 _IOC_OUT = "ioc_ix, type, value, confidence, context"

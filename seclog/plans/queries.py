@@ -73,6 +73,14 @@ def chunk_overlap(spark, sf):
     return chunk_text(docs, keys=["doc_id"], size=rules.KB_CHUNK_SIZE, overlap=rules.KB_CHUNK_OVERLAP)
 
 
+@register("preview")
+def preview_q(spark, sf):
+    """The first 5000 characters of every document."""
+    from ..functions.text import preview
+
+    return table(spark, sf, "documents").select("doc_id", preview(F.col("text")).alias("preview"))
+
+
 # ------------------------------------------------------------------ extraction
 
 def _make_ioc_query(types):

@@ -38,3 +38,29 @@ def test_upsert_last_write_wins(spark):
     assert out == {"f_chunk_0": "m0", "f_chunk_1": "old1"}
     out2 = {r.id: r.content for r in kb.kb_upsert(existing, new, replace=True).collect()}
     assert out2 == {"f_chunk_0": "m0"}
+
+
+def test_kb_versioned_write_and_pruned_read(spark, sf, tmp_path):
+    from seclog.plans import inputs
+
+    from seclog.plans.analyze import index_kb
+
+    files = inputs.kb_document_files(spark, sf)
+    table, report = index_kb(files)
+    path = kb.write_kb(table, str(tmp_path))
+    one = kb.read_kb(spark, path, file_id="src1", with_embedding=False)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "src1" in plan
+    assert one.count() == table.where(F.col("file_id") == "src1").count()
+    assert report.where(F.col("status") == "success").count() == kb.kb_new_docs(files).count()
+
+
+def test_result_sink_writes_json(spark, sf, tmp_path):
+    from seclog.plans import inputs
+    from seclog.plans.analyze import analyze_logs
+    from seclog.sources.logs import write_result
+
+    a = analyze_logs(inputs.text_logs(spark, sf), decode="none")
+    write_result(a.runs, str(tmp_path), a.clusters)
+    back = spark.read.json(f"{tmp_path}/runs")
+    assert back.count() == inputs.text_logs(spark, sf).count()
