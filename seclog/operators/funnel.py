@@ -187,7 +187,7 @@ def cluster_windows(
 
 def run_summary(
     totals: DataFrame,
-    suspicious_chunks: DataFrame,
+    suspicious_chunks: DataFrame | None,
     clusters: DataFrame,
     events: DataFrame | None = None,
     keys: Sequence[str] = ("log_id",),
@@ -197,10 +197,20 @@ def run_summary(
     ``totals``: ``keys…, total_chunks_processed``. ``events`` (optional):
     ``keys…, cluster_id, is_threat, error, n_iocs`` — analysed clusters; a
     threat is ``is_threat and error is null``, ``total_iocs`` sums ``n_iocs``.
+    With ``suspicious_chunks=None`` the count is the sum of the clusters'
+    ``sample_count`` (every suspicious chunk is in exactly one cluster), so
+    the chunk table is read by one aggregate only.
     """
-    susp = suspicious_chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("suspicious_chunks"))
-    clus = clusters.groupBy(*keys).agg(F.count(F.lit(1)).alias("clustered_events"))
-    out = totals.join(susp, list(keys), "left").join(clus, list(keys), "left")
+    if suspicious_chunks is None:
+        per_log = clusters.groupBy(*keys).agg(
+            F.sum("sample_count").cast("long").alias("suspicious_chunks"),
+            F.count(F.lit(1)).alias("clustered_events"),
+        )
+        out = totals.join(per_log, list(keys), "left")
+    else:
+        susp = suspicious_chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("suspicious_chunks"))
+        clus = clusters.groupBy(*keys).agg(F.count(F.lit(1)).alias("clustered_events"))
+        out = totals.join(susp, list(keys), "left").join(clus, list(keys), "left")
     if events is not None:
         ev = events.groupBy(*keys).agg(
             F.sum(F.when(F.col("is_threat") & F.col("error").isNull(), 1).otherwise(0)).cast("long").alias("threat_events"),

@@ -41,6 +41,7 @@ def analyze_logs(
     ch = spread(chunk_text(logs, keys=["log_id"], size=chunk_size))
     keyed = cluster_key(suspicious(filter_chunks(ch, decode=decode)))
     if materialize:
+        # clusters and merged indicators both read it: extract once
         keyed = cut_lineage(keyed)
     clusters = cluster_events(keyed)
     merged = merged_iocs(keyed)
@@ -52,9 +53,9 @@ def analyze_logs(
         events = events.join(counts, ["log_id", "cluster_id"], "left").withColumn(
             "n_iocs", F.when(F.col("error").isNull(), F.coalesce("_n", F.lit(0))).otherwise(F.lit(0)).cast("long")
         ).drop("_n")
-        runs = run_summary(totals, keyed, clusters, events.select("log_id", "cluster_id", "is_threat", "error", "n_iocs"))
+        runs = run_summary(totals, None, clusters, events.select("log_id", "cluster_id", "is_threat", "error", "n_iocs"))
     else:
-        runs = run_summary(totals, keyed, clusters)
+        runs = run_summary(totals, None, clusters)
     return Analysis(runs, clusters, merged, events)
 
 

@@ -315,7 +315,7 @@ def run_summary_q(spark, sf):
     keyed, clusters, events, _m = _seclog_events(spark, sf)
     lines = inputs.seclog_chunks(spark, sf)
     totals = lines.groupBy("log_id").agg(F.count(F.lit(1)).alias("total_chunks_processed"))
-    return run_summary(totals, keyed, clusters, events.select("log_id", "cluster_id", "is_threat", "error", "n_iocs"))
+    return run_summary(totals, None, clusters, events.select("log_id", "cluster_id", "is_threat", "error", "n_iocs"))
 
 
 @register("risk_band")
@@ -571,10 +571,9 @@ def analyze_logs_q(spark, sf):
     logs = inputs.text_logs(spark, sf)
     ch = spread(chunk_text(logs, keys=["log_id"]))
     f = filter_chunks(ch, decode="none")
-    keyed = cut_lineage(cluster_key(suspicious(f)))
-    clusters = cluster_events(keyed)
+    clusters = cluster_events(cluster_key(suspicious(f)))
     totals = logs.select("log_id", chunk_count(F.col("text")).alias("total_chunks_processed"))
-    return run_summary(totals, keyed, clusters)
+    return run_summary(totals, None, clusters)
 
 
 def queries() -> dict[str, Query]:
