@@ -88,3 +88,30 @@ def test_overlap_not_below_size_is_rejected(spark):
     df = spark.createDataFrame([(1, "x")], "id long, text string")
     with pytest.raises(ValueError):
         chunk_text(df, keys=["id"], size=50, overlap=50)
+
+
+def test_base64_step_query_matches_model(spark, sf):
+    from seclog.plans.queries import queries
+
+    lines = {r.event_id: r.line for r in inputs.seclog_lines(spark, sf).collect()}
+    for r in queries()["decode_base64"](spark, sf).collect():
+        assert r.decoded == pymodel.base64_step(lines[r.event_id]), r.event_id
+
+
+def test_enhance_query_matches_model(spark, sf):
+    from seclog.plans.queries import queries
+
+    rows = queries()["enhance_query"](spark, sf).collect()
+    assert rows
+    for r in rows:
+        assert r.enhanced_query == pymodel.enhance(r.kb_query), r.kb_query
+
+
+def test_decode_html_query_matches_model(spark, sf):
+    import html
+
+    from seclog.plans.queries import queries
+
+    pages = {r.page_id: r.html for r in table(spark, sf, "pages").collect()}
+    for r in queries()["decode_html"](spark, sf).collect():
+        assert r.decoded == html.unescape(pages[r.page_id])
