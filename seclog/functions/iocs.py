@@ -157,17 +157,37 @@ def select_patterns(types: Sequence[str] | None = None, patterns=None):
     return [s for s in specs if s[0] in set(types)]
 
 
+_BUILT: dict = {}
+
+
 def iocs_from_decoded(
-    x: Column,
+    x: Column | str,
     context: int = rules.CONTEXT_WINDOW,
     types: Sequence[str] | None = None,
     patterns=None,
     drop_domains: Sequence[str] = tuple(rules.FALSE_POSITIVE_DOMAINS),
 ) -> Column:
-    """All indicators of an already-decoded text: pattern order, then position."""
+    """All indicators of an already-decoded text: pattern order, then position.
+
+    Given a column *name*, the (large) expression is built once per JVM and
+    reused: building it costs thousands of driver→JVM calls, its result only
+    depends on the arguments, and an unresolved expression can be shared by
+    any number of plans.
+    """
     specs = select_patterns(types, patterns)
+    key = None
+    if isinstance(x, str):
+        from pyspark import SparkContext
+
+        key = (id(SparkContext._gateway), x, context, tuple(map(tuple, specs)), tuple(drop_domains))
+        if key in _BUILT:
+            return _BUILT[key]
+        x = F.col(x)
     parts = [type_iocs(x, t, p, ic, g, context, drop_domains) for (t, p, ic, g) in specs]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    built = F.concat(*parts) if len(parts) > 1 else parts[0]
+    if key is not None:
+        _BUILT[key] = built
+    return built
 
 
 def is_blank(raw: Column) -> Column:

@@ -52,7 +52,7 @@ def _extract(df, text_col, outs, decode, context=rules.CONTEXT_WINDOW, types=Non
     raw = F.col(text_col)
     staged = with_decoded(df, text_col, "decoded", decode)
     found = F.when(is_blank(raw), F.array().cast(IOC_ARRAY)).otherwise(
-        iocs_from_decoded(F.col("decoded"), context=context, types=types)
+        iocs_from_decoded("decoded", context=context, types=types)
     )
     fields = []
     for name in outs:
