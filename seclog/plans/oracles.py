@@ -510,6 +510,15 @@ ORACLES["read_logs"] = (
 )
 
 
+ORACLES["stream_cluster_window_300s"] = with_(*_seclog_chain()) + (
+    "select log_id, time_bucket(interval 300 second, ts) as window_start, "
+    "time_bucket(interval 300 second, ts) + interval 300 second as window_end, cluster_id, "
+    "count(*) as sample_count, min(event_id) as first_chunk_ix "
+    "from keyed group by log_id, time_bucket(interval 300 second, ts), cluster_id "
+    "having time_bucket(interval 300 second, ts) + interval 300 second <= "
+    "(select max(ts) from events) - interval 10 minute"
+)
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 

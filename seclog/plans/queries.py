@@ -628,3 +628,34 @@ def read_logs_q(spark, sf):
         F.length("text").cast("long").alias("n_chars"),
         F.md5("text").alias("text_md5"),
     )
+
+
+@register("stream_cluster_window_300s")
+def stream_cluster_window_q(spark, sf):
+    """C10 as a stream: the events table read by a file stream (availableNow),
+    seclog lines clustered in 300-second windows with a 10-minute watermark,
+    append mode into parquet; returns what the stream emitted (every window
+    closed by the final watermark)."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.fixtures import fixture
+    from ..streaming.intake import stream_cluster_windows
+
+    root = f"{checkpoint_dir(spark)}/windows-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    lines = fixture(spark, "seclog", events).select(
+        F.col("user_id").alias("log_id"), F.col("event_id").alias("chunk_ix"), F.col("line").alias("chunk"), "ts"
+    )
+    q = (
+        stream_cluster_windows(lines, decode="none")
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/chk")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
