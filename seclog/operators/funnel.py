@@ -91,14 +91,9 @@ def cluster_key(df: DataFrame) -> DataFrame:
     """``src_ip`` (first ipv4 or 'unknown'), ``signature``, ``cluster_id`` = md5(ip:sig)[:12]."""
     ip = F.coalesce(first_ip(F.col("iocs")), F.lit(rules.CLUSTER_UNKNOWN_IP))
     sig = signature(F.col("keyword_hits"))
-    return (
-        df.withColumn("src_ip", ip)
-        .withColumn("signature", sig)
-        .withColumn(
-            "cluster_id",
-            F.substring(F.md5(F.concat_ws(":", F.col("src_ip"), F.col("signature"))), 1, rules.CLUSTER_ID_LENGTH),
-        )
-    )
+    cid = F.substring(F.md5(F.concat_ws(":", ip, sig)), 1, rules.CLUSTER_ID_LENGTH)
+    # one projection (one analysis pass over the large upstream plan)
+    return df.withColumns({"src_ip": ip, "signature": sig, "cluster_id": cid})
 
 
 def cluster_events(
