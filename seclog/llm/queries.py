@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .bpe import op6_bpe
+from .classifier import op10_classifier
+from .langid import op7_langid
+from .mixing import op9_mixing
 from .quality_rules import op4_quality_rules
 from .simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op6_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op6_bpe, op7_langid, op9_mixing, op10_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.SQL}
