@@ -87,15 +87,6 @@ def base64_run_decode(c: Column, mode: str = "reference") -> Column:
     return F.when(base64_applies(m, text, mode), F.replace(c, m, text)).otherwise(c)
 
 
-def decode_payload(c: Column, mode: str = "reference") -> Column:
-    """URL (≤3 rounds) → HTML entities → one base64 run, as one column
-    expression; prefer :func:`with_decoded` inside DataFrame jobs."""
-    check_mode(mode)
-    if mode == "none":
-        return c
-    return base64_run_decode(html_unescape(url_unquote(c)), mode)
-
-
 def check_mode(mode: str) -> None:
     if mode not in DECODE_MODES:
         raise ValueError(f"decode mode must be one of {DECODE_MODES}, got {mode!r}")

@@ -33,6 +33,14 @@ IOC_STRUCT = StructType(
 )
 IOC_ARRAY = ArrayType(IOC_STRUCT)
 
+# The domain pattern repeats a group that can match in several ways, which java.util.regex does by recursion: a long
+# dotted run overflows its stack. This one takes the whole run without giving back (possessive, a loop), and the
+# longest part of it that ends in a listed top-level domain is cut out afterwards: the same matches.
+_LABEL = r"(?=[a-zA-Z0-9])[a-zA-Z0-9\-]{1,63}+(?<!-)\."
+_TLD = "(?:" + "|".join(rules.DOMAIN_TLDS) + r")\b"
+DOMAIN_RUN = rf"\b(?:{_LABEL})++(?:{_TLD})?+"
+DOMAIN_IN_RUN = rf"(?Udi)\A(?s:.*)\.{_TLD}"
+
 _WS_EDGES = r"(?U)^\s+|\s+\z"
 
 
@@ -89,20 +97,30 @@ def type_iocs(
     group: int,
     context: int = rules.CONTEXT_WINDOW,
     drop_domains: Sequence[str] = tuple(rules.FALSE_POSITIVE_DOMAINS),
+    window: tuple[Column, Column] | None = None,
 ) -> Column:
-    """array<struct<type,value,confidence,context>> for one pattern, in match order."""
+    """array<struct<type,value,confidence,context>> for one pattern, in match order.
+
+    ``window=(lo, hi)``: only matches that begin in ``[lo, hi)`` count (a padded block of a longer text).
+    """
+    run = ioc_type == "domain" and pattern == _DOMAIN_PATTERN
+    if run:
+        pattern = DOMAIN_RUN
     rx = F.lit(pattern_regex(pattern, ignore_case))
+    pre = _prefilter(ioc_type, x)
     matches = F.regexp_extract_all(x, rx, F.lit(0))
-    gaps = F.regexp_extract_all(x, F.lit(gap_regex(pattern, ignore_case)), F.lit(1))
-    if group:
-        values = F.regexp_extract_all(x, rx, F.lit(group))
-        steps = F.zip_with(
-            F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m"))),
-            values,
-            lambda gm, v: F.struct(gm["g"].alias("g"), gm["m"].alias("m"), v.alias("v")),
-        )
-    else:
-        steps = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m"), m.alias("v")))
+    found = matches if pre is None else F.when(pre, matches).otherwise(F.array().cast("array<string>"))
+
+    def located(ms: Column) -> Column:
+        gaps = F.regexp_extract_all(x, F.lit(gap_regex(pattern, ignore_case)), F.lit(1))
+        steps = F.zip_with(gaps, ms, lambda g, m: F.struct(g.alias("g"), m.alias("m"), m.alias("v")))
+        if group:
+            values = F.regexp_extract_all(x, rx, F.lit(group))
+            steps = F.zip_with(steps, values, lambda s, v: F.struct(s["g"].alias("g"), s["m"].alias("m"), v.alias("v")))
+        if run:
+            inner = lambda s: F.regexp_extract(s["m"], DOMAIN_IN_RUN, 0)
+            steps = F.transform(steps, lambda s: F.struct(s["g"].alias("g"), s["m"].alias("m"), inner(s).alias("v")))
+        return F.aggregate(steps, init, step, lambda acc: acc["out"])
 
     confidence = rules.HASH_CONFIDENCE if ioc_type in rules.HASH_TYPES else rules.DEFAULT_CONFIDENCE
     drop = F.array(*[F.lit(d) for d in drop_domains]) if (ioc_type == "domain" and drop_domains) else None
@@ -117,12 +135,16 @@ def type_iocs(
 
     def step(acc, s):
         start = acc["end"] + F.length(s["g"])
-        stop = start + F.length(s["m"])
-        value = F.regexp_replace(strip_ws(s["v"]), F.lit(r"[.,;:)]+\z"), F.lit(""))
+        stop = start + F.length(s["v"] if run else s["m"])
+        value = F.regexp_replace(strip_ws(s["v"]), F.lit("[" + rules.VALUE_RSTRIP_CHARS + r"]+\z"), F.lit(""))
         key = F.lower(value)
         keep = ~F.array_contains(acc["seen"], key)
+        if run:
+            keep = keep & (s["v"] != "")
         if drop is not None:
             keep = keep & ~F.array_contains(drop, key)
+        if window is not None:
+            keep = keep & (start >= window[0]) & (start < window[1])
         lo = F.greatest(start - context, F.lit(0))
         hi = F.least(stop + context, acc["n"])
         ctx = strip_ws(F.replace(F.substring(acc["text"], lo + 1, hi - lo), F.lit("\n"), F.lit(" ")))
@@ -135,16 +157,16 @@ def type_iocs(
         return F.struct(
             acc["text"].alias("text"),
             acc["n"].alias("n"),
-            stop.alias("end"),
+            (start + F.length(s["m"])).alias("end"),
             F.when(keep, F.concat(acc["seen"], F.array(key))).otherwise(acc["seen"]).alias("seen"),
             F.when(keep, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"),
         )
 
-    extracted = F.aggregate(steps, init, step, lambda acc: acc["out"])
-    pre = _prefilter(ioc_type, x)
-    if pre is None:
-        return extracted
-    return F.when(pre, extracted).otherwise(_empty_iocs())
+    # the matches are bound once; the second scan, for the gaps, runs only where there are any
+    return F.get(F.transform(F.array(found), lambda ms: F.when(F.size(ms) > 0, located(ms)).otherwise(_empty_iocs())), F.lit(0))
+
+
+_DOMAIN_PATTERN = next(p for t, p, _, _ in rules.IOC_PATTERNS if t == "domain")
 
 
 def select_patterns(types: Sequence[str] | None = None, patterns=None):
@@ -166,6 +188,7 @@ def iocs_from_decoded(
     types: Sequence[str] | None = None,
     patterns=None,
     drop_domains: Sequence[str] = tuple(rules.FALSE_POSITIVE_DOMAINS),
+    window: tuple[str, str] | None = None,
 ) -> Column:
     """All indicators of an already-decoded text: pattern order, then position.
 
@@ -177,13 +200,15 @@ def iocs_from_decoded(
     specs = select_patterns(types, patterns)
     key = None
     if isinstance(x, str):
-        from pyspark import SparkContext
+        from pyspark.sql import SparkSession
 
-        key = (id(SparkContext._gateway), x, context, tuple(map(tuple, specs)), tuple(drop_domains))
+        app = SparkSession.active().sparkContext.applicationId
+        key = (app, x, context, tuple(map(tuple, specs)), tuple(drop_domains), window)
         if key in _BUILT:
             return _BUILT[key]
         x = F.col(x)
-    parts = [type_iocs(x, t, p, ic, g, context, drop_domains) for (t, p, ic, g) in specs]
+    edges = None if window is None else (F.col(window[0]), F.col(window[1]))
+    parts = [type_iocs(x, t, p, ic, g, context, drop_domains, edges) for (t, p, ic, g) in specs]
     built = F.concat(*parts) if len(parts) > 1 else parts[0]
     if key is not None:
         _BUILT[key] = built

@@ -13,35 +13,11 @@ from pyspark.sql import functions as F
 from .. import rules
 from .iocs import strip_ws
 
-_FENCE = r"(?Us)```(?:json)?\s*\n?(.*?)\n?\s*```"
-_TRAILING_COMMA = r"(?U),\s*([}\]])"
+_FENCE = "(?Us)" + rules.JSON_FENCE
+_TRAILING_COMMA = "(?U)" + rules.JSON_TRAILING_COMMA
 _BRACES = r"(?s)\{.*\}"
 
 
-def strict_json(c: Column) -> Column:
-    """VARIANT of ``c`` when it is exactly one JSON value, else null.
-
-    ``try_parse_json`` alone tolerates trailing text; wrapping the candidate
-    in ``[…]`` and requiring exactly one element makes it strict.
-    """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    one = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    first = F.try_variant_get(wrapped, "$[0]", "variant")
-    return F.when((F.length(c) > 0) & one, first)
-
-
-def tolerant_json(raw: Column) -> Column:
-    u = strip_ws(raw)
-    fenced = strip_ws(F.regexp_extract(u, _FENCE, 1))
-    no_commas = F.regexp_replace(u, _TRAILING_COMMA, "$1")
-    braces = F.regexp_replace(F.regexp_extract(u, _BRACES, 0), _TRAILING_COMMA, "$1")
-    return F.coalesce(strict_json(u), strict_json(fenced), strict_json(no_commas), strict_json(braces))
-
-
-def variant_kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
 VERDICT_FIELDS = [
     ("is_threat", "boolean"),
     ("attack_type", "string"),
@@ -68,21 +44,22 @@ def _type_error(kind: Column) -> Column:
     )
 
 
-def verdict_columns(raw: Column) -> list[Column]:
-    """Typed verdict fields plus ``error`` (null when the verdict is usable)."""
-    v = tolerant_json(raw)
-    kind = variant_kind(v)
-    is_obj = kind.startswith("OBJECT")
-    cols = [F.when(is_obj, F.try_variant_get(v, f"$.{name}", t)).alias(name) for name, t in VERDICT_FIELDS]
-    error = (
-        F.when(v.isNull() | (kind == "VOID"), F.lit(rules.VERDICT_PARSE_ERROR))
-        .when(~is_obj, _type_error(kind))
+def truthy(v: Column) -> Column:
+    """Whether a JSON value counts as true: a true boolean, a number but 0, a non-empty text, list or object; null if absent."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    return (
+        F.when(v.isNull() | (kind == "VOID"), F.lit(None).cast("boolean"))
+        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        .when(kind == "STRING", text != "")
+        .when(kind.startswith("ARRAY"), F.to_json(v) != "[]")
+        .when(kind.startswith("OBJECT"), F.to_json(v) != "{}")
+        .otherwise(F.try_variant_get(v, "$", "double") != 0)
     )
-    return cols + [error.alias("error")]
 
 
 def with_verdict(df: DataFrame, raw_col: str, keep: list[str]) -> DataFrame:
-    """Staged form of :func:`verdict_columns` for DataFrame jobs.
+    """The tolerant ladder and the typed verdict fields plus ``error`` (null when the verdict is usable), in stages.
 
     Every stage reads attributes of the previous one (trimmed text → four
     candidates → four strict parses → the chosen value → typed fields), so
@@ -113,7 +90,8 @@ def with_verdict(df: DataFrame, raw_col: str, keep: list[str]) -> DataFrame:
     v = F.col("_v")
     kind = F.schema_of_variant(v)
     is_obj = kind.startswith("OBJECT")
-    cols = [F.when(is_obj, F.try_variant_get(v, f"$.{name}", t)).alias(name) for name, t in VERDICT_FIELDS]
+    threat = truthy(F.try_variant_get(v, "$.is_threat", "variant"))
+    cols = [F.when(is_obj, threat if name == "is_threat" else F.try_variant_get(v, f"$.{name}", t)).alias(name) for name, t in VERDICT_FIELDS]
     error = F.when(v.isNull() | (kind == "VOID"), F.lit(rules.VERDICT_PARSE_ERROR)).when(~is_obj, _type_error(kind))
     return chosen.select(*keep, F.inline(F.array(F.struct(*cols, error.alias("error")))))
 

@@ -21,10 +21,6 @@ def keyword_hits(raw: Column, keywords: Sequence[str] = tuple(rules.SUSPICIOUS_K
     return F.coalesce(F.array_compact(F.array(*hits)), F.array().cast("array<string>"))
 
 
-def contains_ci(text: Column, needle: str) -> Column:
-    return F.lower(text).contains(needle.lower())
-
-
 def clean_domain(c: Column) -> Column:
     """strip → lower → drop https://, http://, ftp:// (each once, in this order) → cut at / or :."""
     d = F.lower(F.regexp_replace(c, F.lit(r"(?U)^\s+|\s+\z"), F.lit("")))

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from .. import rules
 
 
-def chunk_offsets(n, size: int, overlap: int):
-    """Start offsets 0, step, 2·step, … below ``n`` (``while start < n``); empty for n = 0."""
+def chunk_pieces(text, size: int, overlap: int):
+    """The chunks as an array, cut by one regex pass (linear in the text); null for a null text."""
     if size <= 0:
         raise ValueError("chunk size must be positive")
     step = size - overlap
     if step <= 0:
         raise ValueError("chunk overlap must be smaller than the chunk size")
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    if step == size:
+        return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
 
 
 def chunk_text(
@@ -38,25 +40,57 @@ def chunk_text(
     shuffle of the chunk text); leave it unset when texts are many and small,
     where the scan already parallelises the work.
     """
-    n = F.length(F.col(text_col))
-    offsets = chunk_offsets(n, size, overlap)
-    exploded = df.select(
+    chunks = df.select(
         *[F.col(k) for k in keys],
         *[F.col(c) for c in carry],
-        F.col(text_col),
-        F.posexplode(offsets).alias(index, "_off"),
-    )
-    chunks = exploded.select(
-        *keys,
-        *carry,
-        F.col(index).cast("int").alias(index),
-        F.substring(F.col(text_col), F.col("_off") + 1, size).alias(out),
+        F.posexplode(chunk_pieces(F.col(text_col), size, overlap)).alias(index, out),
     )
     if rebalance:
         chunks = chunks.repartition(rebalance)
     return chunks
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows evenly over ``spark.sql.shuffle.partitions``, always: the pieces of a few giant texts would
+    otherwise stay in the tasks that read them, and parsing is much dearer than moving a row once."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: A block ends after a line end if there is one among its characters, else after a blank, else where a run of
+#: non-blanks ends.
+_BLOCK = r"(?U)(?s:.{1,%d}+)\z|(?s:.{1,%d})(?<=\n)|(?s:.{1,%d})(?<=\s)|\S++(?s:.?)"
+
+
+def text_blocks(
+    df: DataFrame,
+    text_col: str,
+    keys: Sequence[str],
+    size: int = rules.ANALYSIS_CHUNK_SIZE,
+    before: int = rules.CONTEXT_WINDOW,
+    after: int = rules.BLOCK_AFTER,
+) -> DataFrame:
+    """Whole texts as rows ``keys…, block_ix, lo, hi, block``: consecutive pieces of about ``size`` characters, each
+    with up to ``before`` and ``after`` characters of its neighbours; the piece itself is ``[lo, hi)`` of ``block``.
+
+    No piece ends inside a run of non-blanks, so only what crosses blanks can cross pieces. Linear in the text; a
+    piece is longer than ``size`` only if one run of non-blanks is.
+    """
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(_BLOCK % (size, size, size)), F.lit(0))
+    empty = F.lit("")
+    # at most two short pieces come in a row, so three neighbours reach far enough
+    near = lambda a, i, d: F.coalesce(F.get(a, i + d), empty)
+
+    def padded(a):
+        def one(x, i):
+            left = F.right(F.concat(*[near(a, i, d) for d in (-3, -2, -1)]), F.lit(before))
+            right = F.left(F.concat(*[near(a, i, d) for d in (1, 2, 3)]), F.lit(after))
+            return F.struct(i.alias("block_ix"), F.length(left).alias("lo"), (F.length(left) + F.length(x)).alias("hi"), F.concat(left, x, right).alias("block"))
+
+        return F.transform(a, one)
+
+    return df.select(*[F.col(k) for k in keys], F.inline(F.flatten(F.transform(F.array(pieces), padded))))
+
+
 def chunk_count(text, size: int = rules.ANALYSIS_CHUNK_SIZE, overlap: int = 0):
     """ceil(len / (size - overlap)) without materialising chunks."""
     step = size - overlap

@@ -14,13 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.decode import with_decoded
 from ..functions.iocs import IOC_ARRAY, ioc_rows, is_blank, iocs_from_decoded
 from ..functions.text import keyword_hits
+from .chunking import spread, text_blocks
 
 
 def extract_iocs(
@@ -64,6 +65,32 @@ def _extract(df, text_col, outs, decode, context=rules.CONTEXT_WINDOW, types=Non
     return staged.select(*keep, F.inline(F.array(F.struct(*fields))))
 
 
+def extract_whole(
+    texts: DataFrame,
+    keys: Sequence[str] = ("log_id",),
+    text_col: str = "text",
+    decode: str = "reference",
+    types: Sequence[str] | None = None,
+    context: int = rules.CONTEXT_WINDOW,
+) -> DataFrame:
+    """Indicators of whole texts of any length, as rows ``keys…, type_ix, block_ix, ioc_ix, type, value, confidence, context``.
+
+    The decoded text is cut into blocks that keep their neighbours' characters, the blocks are dealt evenly, and each is
+    searched by itself, so a giant text is the work of many tasks and costs time in proportion to its length. Of each
+    ``(type, lower(value))`` the first occurrence stays; list order is ``(type_ix, block_ix, ioc_ix)``. A user-agent
+    header is found as in the whole text unless its line is longer than a block and repeats the header within 200 characters.
+    """
+    staged = with_decoded(texts, text_col, "decoded", decode)
+    staged = staged.where(~is_blank(F.col(text_col))).select(*keys, "decoded")
+    blocks = spread(text_blocks(staged, "decoded", keys, before=max(context, rules.CONTEXT_WINDOW)))
+    found = blocks.select(*keys, "block_ix", F.inline(F.array(F.struct(iocs_from_decoded("block", context=context, types=types, window=("lo", "hi")).alias("iocs")))))
+    rows = found.select(*keys, "block_ix", ioc_rows(F.col("iocs")))
+    order = F.array(*[F.lit(t) for t, *_ in rules.IOC_PATTERNS])
+    rows = rows.withColumn("type_ix", F.array_position(order, F.col("type")).cast("int") - 1)
+    first = Window.partitionBy(*keys, "type", F.lower("value")).orderBy("block_ix", "ioc_ix")
+    return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+
+
 def filter_chunks(
     chunks: DataFrame,
     text_col: str = "chunk",

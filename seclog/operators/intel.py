@@ -33,9 +33,9 @@ def route_ioc(ioc_type: Column) -> Column:
 
 
 def fresh(df: DataFrame, as_of: str, ttl_sec: int, ts_col: str = "fetched_at") -> DataFrame:
-    """Rows younger than the TTL at ``as_of`` (strict ``age < ttl``)."""
+    """Rows younger than the TTL at ``as_of`` (strict ``age < ttl``; one fetched after ``as_of`` is younger still)."""
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col(ts_col))
-    return df.where((age < ttl_sec) & (age >= 0))
+    return df.where(age < ttl_sec)
 
 
 def latest(df: DataFrame, keys: Sequence[str], ts_col: str = "fetched_at") -> DataFrame:
@@ -49,6 +49,11 @@ def latest(df: DataFrame, keys: Sequence[str], ts_col: str = "fetched_at") -> Da
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest], F.col(f"_b.{ts_col}").alias(ts_col))
 
 
+def with_clean_domain(raw: DataFrame) -> DataFrame:
+    """Registration responses keyed by the cleaned name, so that spellings of one domain are one key."""
+    return raw.withColumn("domain", clean_domain(F.col("domain")))
+
+
 def fresh_snapshot(raw: DataFrame, keys: Sequence[str], as_of: str, ttl_sec: int) -> DataFrame:
     """Latest fresh response per key (what the TTL cache would return)."""
     return latest(fresh(raw, as_of, ttl_sec), keys)
@@ -147,7 +152,7 @@ def _py_list_repr(arr: Column) -> Column:
 
 
 def project_registration(raw: DataFrame) -> DataFrame:
-    """RDAP and WHOIS responses → one registration row per domain."""
+    """RDAP and WHOIS responses → one registration row per (cleaned) domain."""
     r = F.from_json(F.col("body"), _RDAP_BODY)
     w = F.from_json(F.col("body"), _WHOIS_BODY)
     is_rdap = F.col("source") == "rdap"
@@ -168,7 +173,7 @@ def project_registration(raw: DataFrame) -> DataFrame:
     )
     whois_status = F.coalesce(F.try_variant_get(w["status"], "$", "string"), F.lit(""))
     return raw.select(
-        clean_domain(F.col("domain")).alias("domain"),
+        "domain",
         "source",
         F.when(ok, F.when(is_rdap, rdap_registrar).otherwise(F.coalesce(w["registrar"], F.lit("")))).alias("registrar"),
         F.when(
@@ -219,6 +224,12 @@ def enrich_registration(ioc_rows: DataFrame, registration: DataFrame) -> DataFra
     return rows.join(reg, rows["_cd"] == reg["_rd"], "left").drop("_rd", "_cd")
 
 
+def registration_worklist(ioc_rows: DataFrame, registration_keys: DataFrame) -> DataFrame:
+    """Distinct cleaned domains with no fresh registration response."""
+    keys = ioc_rows.where(F.col("type") == "domain").select(clean_domain(F.col("value")).alias("domain")).distinct()
+    return keys.join(registration_keys.select("domain"), "domain", "left_anti")
+
+
 def lookup_worklist(ioc_rows: DataFrame, reputation_keys: DataFrame) -> DataFrame:
     """Distinct routable (route, value) with no fresh snapshot row: what is left to look up."""
     keys = routable_iocs(ioc_rows).where(F.col("route").isNotNull()).select(

@@ -194,7 +194,7 @@ def enhance_query(df: DataFrame, query_col: str = "kb_query", out: str = "enhanc
     return x.withColumn(out, enhanced).drop("_q_iocs")
 
 
-def _block_topk(k: int, qkey_type, id_type):
+def _block_topk(k: int):
     def run(qdf: pd.DataFrame, kdf: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", "id", "file_id", "distance"]
         if qdf.empty or kdf.empty:
@@ -229,6 +229,7 @@ def kb_topk(
     kb: DataFrame,
     k: int = rules.KB_TOP_K,
     block_rows: int = 2048,
+    default_file_id: str = rules.KB_DEFAULT_FILE_ID,
 ) -> DataFrame:
     """Exact cosine top-k of each query among the KB chunks of its ``file_id``.
 
@@ -238,13 +239,15 @@ def kb_topk(
     pair meets in one cogroup task, where numpy scores the block and keeps
     only the k best per query. No pair is ever emitted as a row; the final
     top-k merges ≤ k candidates per KB block. Order: distance rounded to 6
-    digits, then id. Returns ``query_id, rank, id, file_id, distance``.
+    digits, then id, within each (query, file). A null text ``file_id`` is the default file; a row
+    without a vector is no query and no hit (a blank query has none). Returns ``query_id, rank, id, file_id, distance``.
     """
     # fresh attribute ids: the query set may be derived from the KB itself
-    kb = kb.select(F.col("id").alias("id"), F.col("file_id").alias("file_id"), F.col("embedding").alias("embedding")).alias("kb")
-    queries = queries.select(
-        F.col("query_id").alias("query_id"), F.col("file_id").alias("file_id"), F.col("vector").alias("vector")
-    ).alias("qs")
+    of = F.col("file_id")
+    if isinstance(kb.schema["file_id"].dataType, StringType):
+        of = F.coalesce(of, F.lit(default_file_id))
+    kb = kb.select(F.col("id").alias("id"), of.alias("file_id"), F.col("embedding").alias("embedding")).where("embedding is not null").alias("kb")
+    queries = queries.select(F.col("query_id").alias("query_id"), of.alias("file_id"), F.col("vector").alias("vector")).where("vector is not null").alias("qs")
     kbn = kb.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_kb"))
     qn = queries.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_q"))
     sizes = kbn.join(qn, "file_id").select(
@@ -288,11 +291,11 @@ def kb_topk(
     partial = (
         q_b.groupBy("file_id", "kblock", "qblock")
         .cogroup(kb_b.groupBy("file_id", "kblock", "qblock"))
-        .applyInPandas(_block_topk(k, qtype, idtype), schema)
+        .applyInPandas(_block_topk(k), schema)
     )
     from pyspark.sql import Window
 
-    w = Window.partitionBy("query_id").orderBy(F.round("distance", 6), F.col("id"))
+    w = Window.partitionBy("query_id", "file_id").orderBy(F.round("distance", 6), F.col("id"))
     return (
         partial.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)

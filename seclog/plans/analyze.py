@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import kb
-from ..operators.chunking import chunk_count, chunk_text
-from ..operators.funnel import cluster_events, cluster_key, extract_iocs, filter_chunks, merged_iocs, run_summary, suspicious
+from ..operators.chunking import chunk_count, chunk_text, spread
+from ..operators.funnel import cluster_events, cluster_key, extract_whole, filter_chunks, merged_iocs, run_summary, suspicious
 from ..operators.verdicts import attach_verdicts
 from ..session import cut_lineage
-from .inputs import spread
 
 
 @dataclass
@@ -60,9 +59,10 @@ def analyze_logs(
 
 
 def extract_iocs_job(logs: DataFrame, decode: str = "reference") -> DataFrame:
-    """Indicators of each whole log text: ``log_id, total_iocs_found, iocs``."""
-    x = extract_iocs(spread(logs), text_col="text", decode=decode)
-    return x.select("log_id", F.size("iocs").cast("long").alias("total_iocs_found"), "iocs")
+    """Per whole log text the number of its indicators: ``log_id, total_iocs_found``, clean logs included.
+    The indicators themselves are the rows of :func:`extract_whole`."""
+    counts = extract_whole(logs, decode=decode).groupBy("log_id").agg(F.count("*").alias("total_iocs_found"))
+    return logs.select("log_id").join(counts, "log_id", "left").select("log_id", F.coalesce("total_iocs_found", F.lit(0)).cast("long").alias("total_iocs_found"))
 
 
 def index_kb(files: DataFrame, existing: DataFrame | None = None, embed=None, replace: bool = False):

@@ -10,20 +10,6 @@ from ..sources.fixtures import fixture
 from ..sources.tables import table
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin rebalance, only when the scan yields fewer partitions than cores.
-
-    Parsing and regex work is CPU-bound per row. On a large input the scan
-    already has thousands of splits and this is a no-op (no shuffle); a
-    single-row-group file would otherwise run on one core.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * factor)
-
-
 def session(spark: SparkSession) -> SparkSession:
     return configure(spark)
 

@@ -68,6 +68,44 @@ where rk = 1 and not (type = 'domain' and lower(value) in ({FPS})))"""
     return [raw, kept]
 
 
+# A valid UTF-8 sequence in upper-case hex digits, by its number of bytes.
+_UTF8_HEX = (
+    "[0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F])[89AB][0-9A-F]"
+    "|(?:E0[AB][0-9A-F]|ED[89][0-9A-F]|E[1-9ABCEF][89AB][0-9A-F])[89AB][0-9A-F]"
+    "|(?:F0[9AB][0-9A-F]|F[123][89AB][0-9A-F]|F48[0-9A-F])[89AB][0-9A-F][89AB][0-9A-F]"
+)
+
+
+def decode_ctes(src: str, keys: list[str], out: str, steps: str = "url html base64") -> list[str]:
+    """CTEs that decode ``src(keys…, x)`` into ``out(keys…, raw, x)``: URL escapes, HTML entities, one base64 run.
+
+    The tables hold four entities; any other one makes the query fail rather than pass unnoticed. DuckDB decodes
+    strict UTF-8 only, so the bytes of a base64 run are kept as hex, cut into valid sequences, and the rest dropped.
+    """
+    k = ", ".join(keys)
+    url = "case when regexp_matches(x, '%[0-9A-Fa-f]{2}') then url_decode(url_decode(url_decode(x))) else x end" if "url" in steps else "x"
+    entities = (("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"))
+    plain = "h0"
+    for name, char in entities:
+        plain = f"replace({plain}, '{name}', '{char}')"
+    known = "|".join(n.strip("&;") for n, _ in entities) + "|amp"
+    known = f"regexp_replace(h0, '&(?:{known});|&amp', '', 'g')"
+    unknown = f"regexp_matches({known}, '&(?:[A-Za-z][A-Za-z0-9]*;|#)')"
+    html = f"case when {unknown} then error('unknown entity') else regexp_replace({plain}, '&amp;?', '&', 'g') end" if "html" in steps else "h0"
+    if "base64" not in steps:
+        return [f"{out} as (select {k}, raw, {html} as x from (select {k}, x as raw, {url} as h0 from {src}) u)"]
+    return [
+        f"{out}_h as (select {k}, raw, {html} as h from (select {k}, x as raw, {url} as h0 from {src}) u)",
+        f"{out}_m as (select *, regexp_extract(h, {_lit(rules.BASE64_RUN)}, 0) as m, rtrim(regexp_extract(h, {_lit(rules.BASE64_RUN)}, 0), '=') as d from {out}_h)",
+        f"{out}_b as (select *, case when length(m) > 0 and (length(d) % 4 = 0 or (length(d) % 4 = 2 and length(m) - length(d) = 2) "
+        "or (length(d) % 4 = 3 and length(m) - length(d) >= 1)) "
+        f"then hex(from_base64(concat(d, repeat('=', cast((4 - length(d) % 4) % 4 as bigint))))) end as b from {out}_m)",
+        f"{out}_t as (select *, decode(unhex(array_to_string(list_filter(regexp_extract_all(b, '{_UTF8_HEX}|..'), "
+        f"lambda p: regexp_full_match(p, '{_UTF8_HEX}')), ''))) as t from {out}_b)",
+        f"{out} as (select {k}, raw, case when t is not null and regexp_full_match(t, '(?:[^\\p{{C}}\\p{{Z}}]| )*') then replace(h, m, t) else h end as x from {out}_t)",
+    ]
+
+
 def hits(col: str) -> str:
     return f"list_filter({KWS}, lambda kw: contains(lower({col}), kw))"
 
@@ -122,6 +160,26 @@ ORACLES["decode_url"] = with_(*views("seclog")) + (
     "select event_id, case when contains(line, '%') then url_decode(url_decode(url_decode(line))) else line end as decoded from seclog"
 )
 
+ORACLES["decode_html"] = with_(*decode_ctes("(select page_id, html as x from pages) s", ["page_id"], "dec", "html")) + "select page_id, x as decoded from dec"
+ORACLES["decode_base64"] = with_(*views("seclog"), *decode_ctes("(select event_id, line as x from seclog) s", ["event_id"], "dec", "base64")) + (
+    "select event_id, x as decoded from dec"
+)
+ORACLES["decode_full"] = with_(
+    *decode_ctes(
+        "(select concat('doc:', cast(doc_id as varchar)) as log_id, text as x from documents "
+        "union all select concat('page:', cast(page_id as varchar)), html from pages) s",
+        ["log_id"],
+        "dec",
+    )
+) + "select log_id, x as decoded from dec"
+ORACLES["ioc_reference_decode"] = (
+    with_(*views("seclog"), *decode_ctes("(select event_id, line as x from seclog) s", ["event_id"], "src"), *ioc_ctes("src", ["event_id"]))
+    + f"select event_id, {_IOC_OUT} from kept_i"
+)
+ORACLES["extract_iocs_documents"] = with_(
+    *decode_ctes("(select doc_id, text as x from documents) s", ["doc_id"], "src"), *ioc_ctes("src", ["doc_id"])
+) + "select d.doc_id, count(k.doc_id) as total_iocs_found from documents d left join kept_i k on k.doc_id = d.doc_id group by 1"
+
 # ------------------------------------------------------------------ keywords / filter
 
 ORACLES["keyword_hits"] = with_(
@@ -171,17 +229,20 @@ def _seclog_chain(decode_none: bool = True) -> list[str]:
 def verdict_ctes() -> list[str]:
     """Tolerant JSON ladder in DuckDB: strict text, fenced body, no trailing
     commas, first '{' to last '}' without trailing commas."""
-    tc = r"',\s*([}\]])', '\1', 'g'"
+    tc = _lit(rules.JSON_TRAILING_COMMA) + r", '\1', 'g'"
     return [
         "vcand as (select log_id, cluster_no, trim(raw) as c1, "
-        r"trim(regexp_extract(trim(raw), '(?s)```(?:json)?\s*\n?(.*?)\n?\s*```', 1)) as c2, "
+        f"trim(regexp_extract(trim(raw), {_lit('(?s)' + rules.JSON_FENCE)}, 1)) as c2, "
         f"regexp_replace(trim(raw), {tc}) as c3, "
         rf"regexp_replace(regexp_extract(trim(raw), '(?s)\{{.*\}}', 0), {tc}) as c4 from verdict_raw)",
         "vjson as (select log_id, cluster_no, coalesce(case when c1 <> '' and json_valid(c1) then c1 end, "
         "case when c2 <> '' and json_valid(c2) then c2 end, case when c3 <> '' and json_valid(c3) then c3 end, "
         "case when c4 <> '' and json_valid(c4) then c4 end) as j from vcand)",
         "verdicts as (select log_id, cluster_no, "
-        "case when json_type(j) = 'OBJECT' then cast(j->>'$.is_threat' as boolean) end as is_threat, "
+        "case when json_type(j) = 'OBJECT' then case json_type(j, '$.is_threat') when 'BOOLEAN' then cast(j->>'$.is_threat' as boolean) "
+        "when 'VARCHAR' then (j->>'$.is_threat') <> '' when 'ARRAY' then json_array_length(j, '$.is_threat') > 0 "
+        "when 'OBJECT' then len(json_keys(j, '$.is_threat')) > 0 when 'NULL' then null "
+        "else cast(j->>'$.is_threat' as double) <> 0 end end as is_threat, "
         "case when json_type(j) = 'OBJECT' then j->>'$.attack_type' end as attack_type, "
         "case when json_type(j) = 'OBJECT' then j->>'$.mitre_id' end as mitre_id, "
         "case when json_type(j) = 'OBJECT' then j->>'$.tactic' end as tactic, "
@@ -220,7 +281,7 @@ ORACLES["cluster_window_300s"] = with_(*_seclog_chain()) + (
 )
 
 
-def _funnel_oracle(logs: str | None = None) -> str:
+def _funnel_oracle(logs: str | None = None, decode: bool = False) -> str:
     logs = logs or (
         "logs as (select concat('doc:', cast(doc_id as varchar)) as log_id, text from documents "
         "union all select concat('page:', cast(page_id as varchar)) as log_id, html as text from pages)"
@@ -229,7 +290,11 @@ def _funnel_oracle(logs: str | None = None) -> str:
     return with_(
         logs,
         ch,
-        "src as (select log_id, chunk_ix, chunk as x from ch)",
+        *(
+            decode_ctes("(select log_id, chunk_ix, chunk as x from ch) s", ["log_id", "chunk_ix"], "src")
+            if decode
+            else ["src as (select log_id, chunk_ix, chunk as x from ch)"]
+        ),
         *ioc_ctes("src", ["log_id", "chunk_ix"]),
         "cnt as (select log_id, chunk_ix, count(*) as n from kept_i group by 1, 2)",
         "ipf as (select log_id, chunk_ix, arg_min(value, ord) as ip from kept_i where type = 'ipv4' group by 1, 2)",
@@ -242,12 +307,15 @@ def _funnel_oracle(logs: str | None = None) -> str:
     )
 
 
-ORACLES["funnel_documents"] = _funnel_oracle() + (
+_FUNNEL_OUT = (
     "select log_id, cluster_id, min(chunk_ix) as first_chunk_ix, count(*) as sample_count, "
     "md5(arg_min(chunk, chunk_ix)) as representative_md5, arg_min(array_to_string(list_sort(hits), '|'), chunk_ix) as keyword_list "
     "from keyed group by 1, 2"
 )
 
+ORACLES["funnel_documents"] = _funnel_oracle() + _FUNNEL_OUT
+ORACLES["funnel_documents_decoded"] = _funnel_oracle(decode=True) + _FUNNEL_OUT
+
 ORACLES["analyze_logs"] = _funnel_oracle().rstrip("\n") + (
     ",\nsn as (select log_id, count(*) as s from keyed group by 1),\n"
     "cn as (select log_id, count(distinct cluster_id) as c from keyed group by 1)\n"
@@ -322,7 +390,7 @@ _AS_OF = f"timestamp '{FIXTURE_AS_OF}'"
 def _fresh(table: str, keys: str, ttl: int) -> str:
     return (
         f"select * from (select *, row_number() over (partition by {keys} order by fetched_at desc) as rn from {table} "
-        f"where epoch({_AS_OF}) - epoch(fetched_at) < {ttl} and epoch({_AS_OF}) - epoch(fetched_at) >= 0) t where rn = 1"
+        f"where epoch({_AS_OF}) - epoch(fetched_at) < {ttl} ) t where rn = 1"
     )
 
 
@@ -354,11 +422,12 @@ def _clean_domain(c: str) -> str:
 
 REGISTRATION_CTES = [
     *views("registration_raw"),
-    f"reg_latest as ({_fresh('registration_raw', 'domain', rules.REGISTRATION_TTL_SEC)})",
+    "reg_clean as (select * replace (" + _clean_domain("domain") + " as domain) from registration_raw)",
+    f"reg_latest as ({_fresh('reg_clean', 'domain', rules.REGISTRATION_TTL_SEC)})",
     "reg_j as (select *, cast(json_extract(body, '$.entities') as json[]) as ents, cast(json_extract(body, '$.events') as json[]) as evs, "
     "cast(json_extract(body, '$.nameservers') as json[]) as nss from reg_latest)",
     "reg_r as (select *, list_filter(ents, lambda e: list_contains(cast(json_extract(e, '$.roles') as varchar[]), 'registrar'))[1] as ent from reg_j)",
-    "reg as (select " + _clean_domain("domain") + " as domain, source, "
+    "reg as (select domain, source, "
     "case when http_status = 200 then case when source = 'rdap' then coalesce(json_extract_string("
     "list_filter(cast(json_extract(ent, '$.vcardArray[1]') as json[]), lambda it: json_extract_string(it, '$[0]') = 'fn')[1], '$[3]'), '') "
     "else coalesce(json_extract_string(body, '$.registrar'), '') end end as registrar, "
@@ -411,7 +480,7 @@ ORACLES["enrich_events"] = with_(
 ORACLES["lookup_worklist"] = with_(*views("reputation_raw"), *_seclog_chain()) + (
     f"select distinct {_ROUTE} as ioc_type, value as ioc_value from merged m where {_ROUTE} is not null "
     f"and not exists (select 1 from reputation_raw r where r.ioc_type = {_ROUTE} and r.ioc_value = m.value "
-    f"and epoch({_AS_OF}) - epoch(r.fetched_at) < {rules.REPUTATION_TTL_SEC} and epoch({_AS_OF}) - epoch(r.fetched_at) >= 0)"
+    f"and epoch({_AS_OF}) - epoch(r.fetched_at) < {rules.REPUTATION_TTL_SEC})"
 )
 
 # ------------------------------------------------------------------ knowledge base
@@ -462,7 +531,7 @@ ORACLES["kb_index_report"] = with_(
     "from files f left join cnts c on c.file_order = f.file_order left join holders h on h.content_hash = f.content_hash"
 )
 
-ORACLES["kb_query_text"] = with_(*_seclog_chain()) + (
+_KB_QUERY = (
     "select c.log_id, c.cluster_id, case when len(parts) > 0 then array_to_string(parts, ' ') "
     "else substring(c.representative_chunk, 1, 200) end as kb_query from ("
     "select c.*, list_concat(list_filter([s.sha, s.dom], lambda v: v is not null), "
@@ -471,6 +540,20 @@ ORACLES["kb_query_text"] = with_(*_seclog_chain()) + (
     "first(value order by first_chunk_ix, first_ioc_ix) filter (where type = 'domain') as dom from merged group by 1, 2) s "
     "on s.log_id = c.log_id and s.cluster_id = c.cluster_id) c"
 )
+ORACLES["kb_query_text"] = with_(*_seclog_chain()) + _KB_QUERY
+_SOC = " or ".join(f"contains(lower(q.kb_query), {_lit(k)})" for k in rules.SOC_QUERY_KEYWORDS)
+ORACLES["enhance_query"] = with_(
+    *_seclog_chain(),
+    f"q as ({_KB_QUERY})",
+    *decode_ctes("(select log_id, cluster_id, kb_query as x from q) s", ["log_id", "cluster_id"], "qsrc"),
+    *ioc_ctes("qsrc", ["log_id", "cluster_id"], tag="q"),
+    f"top as (select log_id, cluster_id, string_agg(value, ' ' order by ioc_ix) as vals from kept_q where ioc_ix < {rules.ENHANCE_IOC_VALUES} group by 1, 2)",
+) + (
+    "select q.log_id, q.cluster_id, q.kb_query, case when trim(q.kb_query) = '' then '' "
+    f"when top.vals is not null then concat(top.vals, ' ', {_lit(rules.ENHANCE_IOC_SUFFIX)}) "
+    f"when not ({_SOC}) then concat(q.kb_query, ' ', {_lit(rules.ENHANCE_PLAIN_SUFFIX)}) else q.kb_query end as enhanced_query "
+    "from q left join top on top.log_id = q.log_id and top.cluster_id = q.cluster_id"
+)
 
 _VEC = (
     "e as (select vec_id, label, cast(embedding as double[]) as v from embeddings)",

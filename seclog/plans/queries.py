@@ -9,18 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import intel, kb, report
-from ..operators.chunking import chunk_count, chunk_text
+from ..operators.chunking import chunk_count, chunk_text, spread
 from ..operators.funnel import (
-    chunk_iocs,
     cluster_events,
     cluster_key,
     cluster_windows,
     extract_iocs,
+    extract_whole,
     filter_chunks,
     ioc_summary,
     merged_iocs,
@@ -33,7 +33,7 @@ from ..sources.fixtures import FIXTURE_AS_OF
 from ..session import cut_lineage
 from ..sources.tables import table
 from . import inputs
-from .inputs import spread
+from .analyze import extract_iocs_job
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -99,8 +99,10 @@ register("ioc_all")(_make_ioc_query(None))
 @register("ioc_ipv4_documents")
 def ioc_ipv4_documents(spark, sf):
     """P19 shape: addresses over each whole document text (no chunking)."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return _ioc_rows(extract_iocs(docs, text_col="text", decode="none", types=["ipv4"]), ["doc_id"])
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = extract_whole(docs, keys=["doc_id"], decode="none", types=["ipv4"])
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("type_ix", "block_ix", "ioc_ix")) - 1
+    return found.select("doc_id", place.cast("int").alias("ioc_ix"), "type", "value", "confidence", "context")
 
 
 @register("ioc_pages")
@@ -121,9 +123,8 @@ def ioc_reference_decode(spark, sf):
 @register("extract_iocs_documents")
 def extract_iocs_documents(spark, sf):
     """Per document, the indicator count over the whole decoded text."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    x = extract_iocs(docs, text_col="text", decode="reference")
-    return x.select("doc_id", F.size("iocs").cast("long").alias("total_iocs_found"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("log_id"), "text")
+    return extract_iocs_job(docs).withColumnRenamed("log_id", "doc_id")
 
 
 # ------------------------------------------------------------------ decoding
@@ -204,10 +205,11 @@ def suspicious_q(spark, sf):
 
 # ------------------------------------------------------------------ clustering
 
-def _seclog_keyed(spark, sf, decode="none"):
-    """Suspicious seclog lines with cluster keys, materialised once (reliable
-    checkpoint) because clusters, merged indicators and counts all read it."""
-    return cut_lineage(cluster_key(suspicious(_seclog_filtered(spark, sf, decode))))
+def _seclog_keyed(spark, sf, decode="none", shared=False):
+    """Suspicious seclog lines with cluster keys; ``shared``: written once (reliable checkpoint) for
+    queries that read them more than once."""
+    keyed = cluster_key(suspicious(_seclog_filtered(spark, sf, decode)))
+    return cut_lineage(keyed) if shared else keyed
 
 
 @register("cluster_key")
@@ -288,7 +290,7 @@ def parse_verdicts_q(spark, sf):
 
 def _seclog_events(spark, sf):
     """Clusters with verdicts attached (J4) and their merged-indicator counts."""
-    keyed = _seclog_keyed(spark, sf)
+    keyed = _seclog_keyed(spark, sf, shared=True)
     clusters = _clusters(keyed)
     verdicts = parse_verdicts(spread(inputs.verdict_raw(spark, sf)), keep=["log_id", "cluster_no"])
     events = attach_verdicts(clusters, verdicts, on=[("log_id", "log_id"), ("event_id", "cluster_no")])
@@ -377,7 +379,7 @@ def _reputation(spark, sf):
 
 
 def _registration(spark, sf):
-    raw = inputs.registration_raw(spark, sf)
+    raw = intel.with_clean_domain(inputs.registration_raw(spark, sf))
     snap = intel.fresh_snapshot(raw, ["domain"], FIXTURE_AS_OF, rules.REGISTRATION_TTL_SEC)
     return intel.project_registration(snap)
 
@@ -526,7 +528,7 @@ def kb_index_report_q(spark, sf):
 @register("kb_query_text")
 def kb_query_text_q(spark, sf):
     """Knowledge-base query text per seclog cluster."""
-    keyed = _seclog_keyed(spark, sf)
+    keyed = _seclog_keyed(spark, sf, shared=True)
     clusters = _clusters(keyed)
     return report.kb_query_text(clusters, ioc_summary(merged_iocs(keyed))).select("log_id", "cluster_id", "kb_query")
 
@@ -534,7 +536,7 @@ def kb_query_text_q(spark, sf):
 @register("enhance_query")
 def enhance_query_q(spark, sf):
     """P10: enhancement of each cluster's KB query (indicator values or SOC suffix)."""
-    keyed = _seclog_keyed(spark, sf)
+    keyed = _seclog_keyed(spark, sf, shared=True)
     q = report.kb_query_text(_clusters(keyed), ioc_summary(merged_iocs(keyed)))
     return kb.enhance_query(q.select("log_id", "cluster_id", "kb_query")).select(
         "log_id", "cluster_id", "kb_query", "enhanced_query"

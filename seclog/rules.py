@@ -37,6 +37,9 @@ IOC_PATTERNS: list[tuple[str, str, bool, int]] = [
     ("mutex", r"\\BaseNamedObjects\\[^\s\"'\\]+", True, 0),
 ]
 
+# FIXED VALUES — the top-level domains of the domain pattern above.
+DOMAIN_TLDS = ["com", "net", "org", "io", "cn", "ru", "tk", "xyz", "top", "info", "biz", "cc", "me", "co", "dev", "app", "cloud"]
+
 # FIXED VALUES — characters stripped from the right of every value after
 # surrounding whitespace is removed.
 VALUE_RSTRIP_CHARS = ".,;:)"
@@ -49,6 +52,10 @@ DEFAULT_CONFIDENCE = 0.7
 # FIXED VALUES — context characters kept on each side of a match.
 CONTEXT_WINDOW = 80
 
+# Characters after a block of a whole text that its matches may need: the longest user-agent match after
+# its first blank (200 and its context), with room for the header's own blanks.
+BLOCK_AFTER = 400
+
 # FIXED VALUES — domain values dropped after extraction (exact, lower-case).
 FALSE_POSITIVE_DOMAINS = [
     "localhost", "example.com", "test.local", "internal.corp",
@@ -96,11 +103,13 @@ SOC_QUERY_KEYWORDS = [
     "threat", "indicator", "exploit", "webshell", "injection",
 ]
 
-# FIXED VALUES — prompt assembly.
-PROMPT_SAMPLE_CHARS = 3000
-PROMPT_NO_CONTEXT = "无"
+# FIXED VALUES — preview.
 PREVIEW_CHARS = 5000
 
+# FIXED VALUES — the fence and the trailing comma that verdict texts may have.
+JSON_FENCE = r"```(?:json)?\s*\n?(.*?)\n?\s*```"
+JSON_TRAILING_COMMA = r",\s*([}\]])"
+
 # FIXED VALUES — verdict parsing and run summary texts.
 VERDICT_PARSE_ERROR = "llm_json_parse_failed"
 SUMMARY_CLEAN = "未发现安全威胁"

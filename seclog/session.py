@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,20 +39,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings to an existing session."""
+    """Apply the runtime SQL settings to an existing session; fails if one cannot be set, since results depend on them."""
     for k, v in RUNTIME_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # a locked/static setting on a managed cluster
-            pass
+        spark.conf.set(k, v)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables.
 
-    On a cluster this is ``spark.checkpoint.dir`` as configured for the
-    cluster. Only when it is unset (local tests) a private folder is created.
+    On a cluster this is ``spark.checkpoint.dir`` as configured for it; without that setting a cluster job fails,
+    because executors share no local folder. Only a ``local`` session gets a private folder, removed at exit.
     """
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -58,7 +57,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate data needs a folder that all executors share")
     local = tempfile.mkdtemp(prefix="seclog-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return sc.getCheckpointDir().rstrip("/")

@@ -81,13 +81,6 @@ def view_sql(name: str, dialect: str = "spark") -> str:
     return sql
 
 
-def cte(*names: str) -> str:
-    """``with`` clause defining the named views for a DuckDB oracle query."""
-    return "with " + ",\n".join(f"{n} as ({view_sql(n, 'duckdb')})" for n in names) + "\n"
-
-
 def fixture(spark: SparkSession, name: str, events: DataFrame) -> DataFrame:
     """Build a fixture view from an ``events`` DataFrame (Spark dialect)."""
-    view = f"seclog_events_{id(events):x}"
-    events.createOrReplaceTempView(view)
-    return spark.sql(re.sub(r"\bfrom events\b", f"from {view}", view_sql(name, "spark")))
+    return spark.sql(re.sub(r"\bfrom events\b", "from {events}", view_sql(name, "spark").replace("{", "{{").replace("}", "}}")), events=events)

@@ -3,7 +3,8 @@ raw lookup responses, and the JSON result sink."""
 
 from __future__ import annotations
 
-import codecs
+import re
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,13 +38,18 @@ def read_logs(
 
     A file is never split, so each log is whole in one row; many files give
     many tasks. Filters on ``length`` are applied before content is read.
-    Zero-length files are not listed by the binaryFile source (documented
-    deviation: such a log has no chunks anyway).
+    Zero-length files, which the binaryFile source leaves out, are added from its own file
+    listing with empty content and no modification time.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", _glob(extensions))
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(path)
+    files = reader.load(path)
+    listed = spark.createDataFrame([(unquote(re.sub("^file:/+", "file:/", f)),) for f in files.inputFiles()], "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti").select(
+        "path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")
+    )
+    return files.unionByName(empty)
 
 
 def admit_logs(files: DataFrame, max_mb: int = rules.LOG_MAX_MB) -> tuple[DataFrame, DataFrame]:
@@ -61,29 +67,27 @@ def admit_logs(files: DataFrame, max_mb: int = rules.LOG_MAX_MB) -> tuple[DataFr
     return accepted, rejected
 
 
-def _legacy_decode(b):
-    for enc in ("gbk", "latin-1"):
-        try:
-            return codecs.decode(b, enc)
-        except (UnicodeDecodeError, LookupError):
-            continue
-    return codecs.decode(b, "utf-8", errors="replace")
+@F.pandas_udf(StringType())
+def _gbk(s: pd.Series) -> pd.Series:
+    """Texts of GBK bytes; null where the bytes are not GBK."""
+    decoded = s.map(lambda b: None if b is None else b.decode("gbk", "replace"))
+    return decoded.where(~decoded.str.contains("\ufffd", regex=False, na=True), None)
 
 
-@F.pandas_udf(StringType())
-def _legacy_decode_batch(s: pd.Series) -> pd.Series:
-    return s.map(lambda b: _legacy_decode(bytes(b)) if b is not None else None)
+def _latin1(content: Column) -> Column:
+    """Each byte is the code point of the same number."""
+    return F.decode(content, "ISO-8859-1")
 
 
 def decode_bytes(content: Column) -> Column:
     """Charset ladder UTF-8 → GBK → Latin-1.
 
-    Valid UTF-8 (the common case) is decoded by a JVM cast; only the other
-    rows are shipped (as Arrow batches) to Python's GBK/Latin-1 codecs.
+    Valid UTF-8 (the common case) is decoded by a JVM cast and Latin-1 by the JVM too; only the
+    other rows are shipped (as Arrow batches) to Python's GBK codec.
     """
     as_text = content.cast("string")
     valid = F.is_valid_utf8(as_text)
-    return F.when(valid, as_text).otherwise(_legacy_decode_batch(F.when(~valid, content)))
+    return F.when(valid, as_text).otherwise(F.coalesce(_gbk(F.when(~valid, content)), _latin1(content)))
 
 
 def logs_from_files(files: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def main():
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(queries())
-    spark = local_session()
+    spark = local_session(cores=3)
     con = duck(sf_dir)
     bad = 0
     for n in names:

@@ -1,63 +1,83 @@
-"""Indicator extraction and decoding against a plain-Python model."""
+"""Indicator extraction, decoding and chunking: golden rows, properties and growth."""
+
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-import pymodel
+import golden
 from seclog.operators.chunking import chunk_text
-from seclog.operators.funnel import extract_iocs
-from seclog.plans import inputs
+from seclog.operators.funnel import extract_iocs, extract_whole
+from seclog.operators.kb import enhance_query
+from seclog.plans.analyze import extract_iocs_job
 from seclog.sources.tables import table
 
-EDGE = [
-    "",
-    "   \n\t ",
-    "GET / HTTP/1.1\r\nUser-Agent: Mozilla/5.0 (X11; Linux)\r\nHost: a.evil.xyz\r\n",
-    "src\u00a0203.0.113.9\u00a0dst\u20281.2.3.4",
-    "😀😀 prefix 10.0.0.1 then 😀 evil.com",
-    "éabc.com and abc.com",
-    "bad %zz escape %c3 lone and %253Cscript%253E double",
-    "payload YWJjZGVmZ2hpamtsbW5vcHFyc3R1dnd4eXo= end",
-    "run QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo9 x",
-    "odd QUJDREVGR0hJSktMTU5PUFFSU1RVVldY== y",
-    "hex d41d8cd98f00b204e9800998ecf8427e and da39a3ee5e6b4b0d3255bfef95601890afd80709",
-    "Evil.COM then evil.com then EVIL.com",
-    "url http://x.io/a.b), done; https://y.cc/p?q=1.",
-    "&lt;script&gt;eval(atob('x'))&lt;/script&gt; &amp;&#39; &copy;",
-    "mail a.b+c@d-e.co, reg HKEY_LOCAL_MACHINE\\Soft\\X;",
-    "C:\\Users\\a b\\run.exe and /usr/bin/x.sh and \\BaseNamedObjects\\Mtx1",
-    "x" * 3990 + " 192.168.1.1 " + "y" * 20,
-]
+LONG = "x" * 3990 + " 192.168.1.1 " + "y" * 200
 
 
 @pytest.fixture(scope="module")
 def edge_df(spark):
-    return spark.createDataFrame([(i, t) for i, t in enumerate(EDGE)], "id long, chunk string")
+    return spark.createDataFrame([(i, g[0]) for i, g in enumerate(golden.EDGE)], "id long, chunk string")
 
 
-@pytest.mark.parametrize("mode", ["none", "reference", "safe"])
-def test_edge_rows_match_model(spark, edge_df, mode):
-    rows = extract_iocs(edge_df, decode=mode).orderBy("id").collect()
-    for r in rows:
-        got = [(i.type, i.value, i.confidence, i.context) for i in r.iocs]
-        assert got == pymodel.iocs(r.chunk, mode), (mode, r.id)
+@pytest.mark.parametrize("mode", ["none", "reference"])
+def test_edge_rows(spark, edge_df, mode):
+    for r in extract_iocs(edge_df, decode=mode, keep_decoded=True).collect():
+        text, decoded, plain, after = golden.EDGE[r.id]
+        assert [(i.type, i.value) for i in r.iocs] == (after if mode == "reference" and after is not None else plain), r.id
+        assert mode == "none" or r.decoded == decoded
+        for i in r.iocs:
+            assert i.confidence == (0.9 if i.type in ("md5", "sha1", "sha256") else 0.7)
+            assert i.context == strip(i.context) and i.value in r.decoded
 
 
-@pytest.mark.parametrize("mode", ["none", "reference"])
-def test_tables_match_model(spark, sf, mode):
-    docs = chunk_text(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), keys=["id"])
-    pages = chunk_text(table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")), keys=["id"])
-    lines = inputs.seclog_lines(spark, sf).select(F.col("event_id").alias("id"), F.lit(0).alias("chunk_ix"), F.col("line").alias("chunk"))
-    for df in (docs, pages, lines):
-        for r in extract_iocs(df, decode=mode).collect():
-            got = [(i.type, i.value, i.confidence, i.context) for i in r.iocs]
-            assert got == pymodel.iocs(r.chunk, mode), (r.id, r.chunk_ix)
+def test_safe_mode_keeps_hashes(spark, edge_df):
+    row = next(r for r in extract_iocs(edge_df, decode="safe").collect() if r.chunk.startswith("hex "))
+    assert [i.type for i in row.iocs] == ["md5", "sha1"]
+
+
+def strip(t):
+    return t.replace("\n", " ").strip()
+
+
+def test_context_is_cut_around_the_match(spark):
+    df = spark.createDataFrame([(1, LONG), (2, "a\n1.2.3.4\nb"), (3, "😀" * 100 + " 1.2.3.4 " + "é" * 100)], "id long, chunk string")
+    got = {r.id: r.iocs[0].context for r in extract_iocs(df, decode="none").collect()}
+    assert got == {1: "x" * 79 + " 192.168.1.1 " + "y" * 79, 2: "a 1.2.3.4 b", 3: "😀" * 79 + " 1.2.3.4 " + "é" * 79}
+
+
+def test_long_dotted_runs_do_not_overflow(spark):
+    df = spark.createDataFrame([(n, "a." * n + " !") for n in (2000, 100_000)] + [(1, "a." * 50_000 + "com-x.b")], "id long, chunk string")
+    got = {r.id: [i.value for i in r.iocs] for r in extract_iocs(df, decode="none", types=["domain"]).collect()}
+    assert got[2000] == got[100_000] == [] and got[1] == ["a." * 50_000 + "com"]
 
 
-def test_decoded_text_matches_model(spark, edge_df):
-    rows = extract_iocs(edge_df, decode="reference", keep_decoded=True).collect()
-    for r in rows:
-        assert r.decoded == pymodel.decode(r.chunk), r.id
+def test_whole_texts_are_searched_as_one(spark):
+    """Blocks do not show: the same rows as a search of the whole text."""
+    lines = [f"10.{i % 7}.0.{i % 250} evil{i % 90}.com User-Agent: tool/{i % 5} (x)" + "z" * (i % 300) for i in range(400)]
+    texts = ["\n".join(lines), " ".join(lines), "", "t" * 9000 + " 1.2.3.4", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "log_id int, text string")
+    whole = {r.log_id: [(i.type, i.value, i.context) for i in r.iocs] for r in extract_iocs(df.where("log_id != 1"), text_col="text", decode="none").collect()}
+    got = {}
+    for r in extract_whole(df, decode="none").orderBy("log_id", "type_ix", "block_ix", "ioc_ix").collect():
+        got.setdefault(r.log_id, []).append((r.type, r.value, r.context))
+    for i in (0, 2, 3, 4):
+        assert got.get(i, []) == whole[i]
+    counts = {r.log_id: r.total_iocs_found for r in extract_iocs_job(df, decode="none").collect()}
+    assert counts == {i: len(got.get(i, [])) for i in range(5)}
+
+
+def test_work_grows_with_the_text_only(spark):
+    """16 MB in chunks, and 16,000 indicators in one line, in seconds."""
+    big = spark.createDataFrame([(1, "x😀yz\n" * 3_200_000)], "id long, text string").cache()
+    many = spark.createDataFrame([(1, " ".join(f"10.{i // 62500}.{i // 250 % 250}.{i % 250}" for i in range(16_000)))], "log_id long, text string").cache()
+    assert big.count() == many.count() == 1
+    start = time.time()
+    assert chunk_text(big, keys=["id"]).count() == 4000
+    assert time.time() - start < 5
+    start = time.time()
+    assert extract_iocs_job(many, decode="none").first().total_iocs_found == 16_000
+    assert time.time() - start < 15  # planning included
 
 
 def test_values_are_substrings_of_decoded_text(spark, edge_df):
@@ -74,14 +94,10 @@ def test_chunks_reassemble_text(spark, sf):
     assert bad == 0
 
 
-def test_overlapping_chunks_match_model(spark):
-    texts = ["", "a" * 500, "b" * 951, "0123456789" * 123]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
-    got = {}
-    for r in chunk_text(df, keys=["id"], size=500, overlap=50).collect():
-        got.setdefault(r.id, []).append((r.chunk_ix, r.chunk))
-    for i, t in enumerate(texts):
-        assert [c for _, c in sorted(got.get(i, []))] == pymodel.chunks(t, 500, 50)
+def test_chunks(spark):
+    for text, size, overlap, want in golden.CHUNKS:
+        df = spark.createDataFrame([(1, text), (2, None)], "id long, text string")
+        assert [(r.chunk_ix, r.chunk) for r in chunk_text(df, keys=["id"], size=size, overlap=overlap).collect()] == list(enumerate(want))
 
 
 def test_overlap_not_below_size_is_rejected(spark):
@@ -90,28 +106,6 @@ def test_overlap_not_below_size_is_rejected(spark):
         chunk_text(df, keys=["id"], size=50, overlap=50)
 
 
-def test_base64_step_query_matches_model(spark, sf):
-    from seclog.plans.queries import queries
-
-    lines = {r.event_id: r.line for r in inputs.seclog_lines(spark, sf).collect()}
-    for r in queries()["decode_base64"](spark, sf).collect():
-        assert r.decoded == pymodel.base64_step(lines[r.event_id]), r.event_id
-
-
-def test_enhance_query_matches_model(spark, sf):
-    from seclog.plans.queries import queries
-
-    rows = queries()["enhance_query"](spark, sf).collect()
-    assert rows
-    for r in rows:
-        assert r.enhanced_query == pymodel.enhance(r.kb_query), r.kb_query
-
-
-def test_decode_html_query_matches_model(spark, sf):
-    import html
-
-    from seclog.plans.queries import queries
-
-    pages = {r.page_id: r.html for r in table(spark, sf, "pages").collect()}
-    for r in queries()["decode_html"](spark, sf).collect():
-        assert r.decoded == html.unescape(pages[r.page_id])
+def test_enhanced_queries(spark):
+    df = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(golden.QUERIES)], "id int, kb_query string")
+    assert [r.enhanced_query for r in enhance_query(df).orderBy("id").collect()] == [e for _, e in golden.QUERIES]

@@ -1,54 +1,28 @@
 """Clustering, verdict ladder, keyword hits and roll-up properties."""
 
-import json
+import hashlib
 
-import pytest
 from pyspark.sql import functions as F
 
-import pymodel
+import golden
 from seclog.functions.text import clean_domain, keyword_hits
 from seclog.operators.funnel import cluster_events, cluster_key, filter_chunks, merged_iocs, suspicious
 from seclog.operators.verdicts import parse_verdicts
 from seclog.plans import inputs
 from seclog.plans.queries import queries
 
-JSON_CASES = [
-    '{"is_threat": true, "confidence": 0.8}',
-    '```json\n{"is_threat": false, "attack_type": "x",}\n```',
-    'Result: {"is_threat": true, "mitre_id": "T1059"} end',
-    '{"a": 1}{"b": 2}',
-    '[1, 2]',
-    '"just text"',
-    '{"is_threat": true, "is_threat": false}',
-    'Error: timeout',
-    '',
-    '   ',
-    '{"x": [1, 2,], "is_threat": true}',
-    'null',
-]
-
-
-def test_verdict_ladder_matches_model(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(JSON_CASES)], "id long, raw string")
-    rows = {r.id: r for r in parse_verdicts(df, keep=["id"]).collect()}
-    for i, t in enumerate(JSON_CASES):
-        exp = pymodel.parse_json(t)
-        r = rows[i]
-        if exp is None:
-            assert r.error == "llm_json_parse_failed", t
-        elif isinstance(exp, dict):
-            assert r.error is None, t
-            assert r.is_threat == exp.get("is_threat"), t
-        else:
-            assert r.error is not None and r.error != "llm_json_parse_failed", t
-
-
-def test_cluster_ids_match_model(spark, sf):
-    lines = inputs.seclog_chunks(spark, sf)
-    keyed = cluster_key(suspicious(filter_chunks(lines, decode="reference"))).collect()
-    for r in keyed:
-        found = pymodel.iocs(r.chunk, "reference")
-        assert r.cluster_id == pymodel.cluster_id(found, pymodel.keyword_hits(r.chunk))
+def test_verdict_ladder(spark):
+    df = spark.createDataFrame([(i, v[0]) for i, v in enumerate(golden.VERDICTS)], "id long, raw string")
+    for r in parse_verdicts(df, keep=["id"]).collect():
+        text, threat, error = golden.VERDICTS[r.id]
+        assert (r.is_threat, r.error) == (threat, error), text
+
+
+def test_cluster_ids(spark):
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(golden.CLUSTERS)], "chunk_ix int, chunk string")
+    for r in cluster_key(suspicious(filter_chunks(df, decode="none"))).collect():
+        _, ip, sig = golden.CLUSTERS[r.chunk_ix]
+        assert (r.src_ip, r.signature, r.cluster_id) == (ip, sig, hashlib.md5(f"{ip}:{sig}".encode()).hexdigest()[:12])
 
 
 def test_sample_counts_add_up(spark, sf):
@@ -64,11 +38,10 @@ def test_merged_iocs_are_distinct(spark, sf):
     assert m.count() == m.select("log_id", "cluster_id", "type", "value").distinct().count()
 
 
-def test_keyword_hits_match_model(spark):
-    texts = ["UNION SELECT * from x <SCRIPT>", "cmd.exe ../../etc Mimikatz", "clean"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r.k for r in df.select(keyword_hits(F.col("t")).alias("k")).collect()]
-    assert got == [pymodel.keyword_hits(t) for t in texts]
+def test_keyword_hits(spark):
+    want = {"UNION SELECT * from x <SCRIPT>": ["union select", "<script>"], "cmd.exe ../../etc Mimikatz": ["cmd.exe", "../..", "mimikatz"], "clean": []}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.k for r in df.select("t", keyword_hits(F.col("t")).alias("k")).collect()} == want
 
 
 def test_clean_domain(spark):

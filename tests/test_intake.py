@@ -19,6 +19,7 @@ def _write(d, name, data: bytes):
 def test_charset_ladder_and_admission(spark):
     d = tempfile.mkdtemp(prefix="seclog-intake-")
     samples = {
+        "empty.log": b"",
         "a.log": "src 10.0.0.1 cmd.exe ✓".encode("utf-8"),
         "b.txt": "攻击 来自 10.0.0.2".encode("gbk"),
         "c.json": b"caf\xe9 \xff\xfe 10.0.0.3",
@@ -31,6 +32,7 @@ def test_charset_ladder_and_admission(spark):
     accepted, rejected = admit_logs(files, max_mb=2)
     texts = {os.path.basename(r.log_id): r.text for r in logs_from_files(accepted).collect()}
     assert texts == {
+        "empty.log": "",
         "a.log": samples["a.log"].decode("utf-8"),
         "b.txt": samples["b.txt"].decode("gbk"),
         "c.json": samples["c.json"].decode("latin-1"),
