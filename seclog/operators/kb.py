@@ -150,24 +150,33 @@ def kb_index_report(
     )
 
 
+KB_BUCKETS = 64
+
+
+def _bucket(file_id: Column) -> Column:
+    return F.pmod(F.xxhash64(file_id), F.lit(KB_BUCKETS)).cast("int")
+
+
 def write_kb(table: DataFrame, base_path: str) -> str:
-    """Write the KB as a new version folder partitioned by ``file_id`` and
-    return its path; the caller switches its pointer to it afterwards. A
+    """Write the KB as a new version folder in ``KB_BUCKETS`` partitions by hash of ``file_id`` (a bounded
+    number of folders, each written by a few tasks) and return its path; the caller switches its pointer to it afterwards. A
     version is never overwritten in place, so readers of the previous one are
     unaffected and a failed write leaves no half-updated table."""
     import uuid
 
     path = f"{base_path.rstrip('/')}/v-{uuid.uuid4().hex}"
-    table.select(*KB_COLUMNS).write.partitionBy("file_id").parquet(path)
+    bucketed = table.select(*KB_COLUMNS, _bucket(F.col("file_id")).alias("bucket"))
+    bucketed.repartition(KB_BUCKETS, "bucket").sortWithinPartitions("bucket", "file_id").write.partitionBy("bucket").parquet(path)
     return path
 
 
 def read_kb(spark, path: str, file_id: str | None = None, with_embedding: bool = True) -> DataFrame:
-    """KB scan; a ``file_id`` equality filter prunes partitions, and the
-    metadata-only form does not read the vectors (column pruning)."""
+    """KB scan; a ``file_id`` equality filter prunes partitions (its bucket is computed by Spark's own hash) and row
+    groups, and the metadata-only form does not read the vectors (column pruning)."""
     df = spark.read.parquet(path)
     if file_id is not None:
-        df = df.where(F.col("file_id") == file_id)
+        bucket = spark.range(1).select(_bucket(F.lit(file_id))).first()[0]
+        df = df.where((F.col("bucket") == bucket) & (F.col("file_id") == file_id))
     cols = KB_COLUMNS if with_embedding else [c for c in KB_COLUMNS if c != "embedding"]
     return df.select(*cols)
 

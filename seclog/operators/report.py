@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from .intel import enrich_registration, enrich_reputation
 
 
 def risk_band(confidence: Column) -> Column:
@@ -28,7 +29,7 @@ def display(c: Column, default: str) -> Column:
 def event_display(events: DataFrame) -> DataFrame:
     """Display columns of each event; ``ioc_text`` = '无IOC' when it has no indicators.
 
-    The per-indicator lines stay rows (``ioc_lines``) so a large event never
+    The per-indicator lines stay rows (``report_iocs``) so a large event never
     becomes one giant string.
     """
     cols = [display(F.col(k), v).alias(f"{k}_display") for k, v in rules.DISPLAY_DEFAULTS.items()]
@@ -41,15 +42,21 @@ def event_display(events: DataFrame) -> DataFrame:
     )
 
 
-def ioc_lines(merged: DataFrame, keys: Sequence[str] = ("log_id",)) -> DataFrame:
-    """``type: value`` display line per merged indicator, with its list order."""
-    return merged.select(
-        *keys,
-        "cluster_id",
-        "first_chunk_ix",
-        "first_ioc_ix",
-        F.concat(F.col("type"), F.lit(": "), F.col("value")).alias("line"),
-    )
+def report_iocs(
+    threat_events: DataFrame, merged: DataFrame, reputation: DataFrame, registration: DataFrame, keys: Sequence[str] = ("log_id",)
+) -> DataFrame:
+    """One row per indicator of a threat event: ``type: value`` display line, risk band, ``vt_*`` and ``whois_*``
+    columns, ``event_malicious`` (the event's sum) and its list order ``first_chunk_ix, first_ioc_ix``.
+
+    The event's sum is an aggregate joined back, so an event with very many indicators is no window in one task.
+    """
+    of = [*keys, "cluster_id"]
+    band = threat_events.select(*of, risk_band(F.col("confidence")).alias("risk_band"))
+    rows = enrich_registration(enrich_reputation(merged.join(band, of), reputation), registration)
+    rows = rows.withColumn("line", F.concat(F.col("type"), F.lit(": "), F.col("value")))
+    routed = enrich_reputation(merged.join(band, of, "left_semi"), reputation)
+    totals = routed.groupBy(*of).agg(F.sum(F.coalesce("vt_malicious_count", F.lit(0))).cast("long").alias("event_malicious"))
+    return rows.join(totals, of)
 
 
 def mitre_matrix(threat_events: DataFrame) -> DataFrame:

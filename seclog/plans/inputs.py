@@ -54,10 +54,10 @@ def registration_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kb_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as KB files: order = doc_id, file_id = source, file name per doc."""
+    """Documents as KB files: order = doc_id, a file_id for each but every fiftieth, which index one file again."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("file_order"),
-        F.col("source").alias("file_id"),
+        F.when(F.col("doc_id") % 50 == 0, F.lit("again")).otherwise(F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).alias("file_id"),
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"),
         F.col("text").alias("content"),
     )

@@ -477,6 +477,24 @@ ORACLES["enrich_events"] = with_(
     f"left join reg g on m.type = 'domain' and g.domain = {_clean_domain('m.value')}"
 )
 
+ORACLES["report_iocs"] = with_(
+    *views("reputation_raw", "registration_raw"), *_seclog_chain(), *REPUTATION_CTES[1:], *REGISTRATION_CTES[1:]
+) + (
+    f"select m.log_id, m.cluster_id, m.first_chunk_ix, m.first_ioc_ix, concat(m.type, ': ', m.value) as line, {_ROUTE} as route, "
+    f"{_BAND.replace('confidence', 't.confidence')} as risk_band, r.found as vt_found, r.malicious_count as vt_malicious_count, "
+    "r.community_score as vt_community_score, r.tags as vt_tags, r.error as vt_error, g.registrar as whois_registrar, "
+    "g.creation_date as whois_creation_date, g.name_servers as whois_name_servers, g.error as whois_error, "
+    "cast(sum(coalesce(r.malicious_count, 0)) over (partition by m.log_id, m.cluster_id) as bigint) as event_malicious "
+    "from merged m join threat t on t.log_id = m.log_id and t.cluster_id = m.cluster_id "
+    f"left join rep r on r.ioc_type = {_ROUTE} and r.ioc_value = m.value "
+    f"left join reg g on m.type = 'domain' and g.domain = {_clean_domain('m.value')}"
+)
+
+ORACLES["registration_worklist"] = with_(*views("registration_raw"), *_seclog_chain(), *REGISTRATION_CTES[1:]) + (
+    f"select distinct {_clean_domain('m.value')} as domain from merged m where m.type = 'domain' "
+    f"and not exists (select 1 from reg g where g.domain = {_clean_domain('m.value')})"
+)
+
 ORACLES["lookup_worklist"] = with_(*views("reputation_raw"), *_seclog_chain()) + (
     f"select distinct {_ROUTE} as ioc_type, value as ioc_value from merged m where {_ROUTE} is not null "
     f"and not exists (select 1 from reputation_raw r where r.ioc_type = {_ROUTE} and r.ioc_value = m.value "
@@ -495,7 +513,7 @@ KB_CTES = [
     "from bnew, unnest(range(0, length(content), 450)) as r(o))",
     "existing as (select id, file_id, chunk_index, content_hash, source, content from "
     "(select *, row_number() over (partition by id order by file_order desc) as rn from bchunks) t where rn = 1)",
-    "files as (select doc_id as file_order, source as file_id, concat('doc_', cast(doc_id as varchar), '.txt') as source, text as content, "
+    "files as (select doc_id as file_order, case when doc_id % 50 = 0 then 'again' else concat('doc', cast(doc_id as varchar)) end as file_id, concat('doc_', cast(doc_id as varchar), '.txt') as source, text as content, "
     "substring(sha256(text), 1, 16) as content_hash from documents)",
     "newf as (select f.* from files f join (select content_hash, min(file_order) as file_order from files where length(content) > 0 group by 1) w "
     "on w.content_hash = f.content_hash and w.file_order = f.file_order where f.content_hash not in (select content_hash from existing))",
@@ -557,19 +575,20 @@ ORACLES["enhance_query"] = with_(
 
 _VEC = (
     "e as (select vec_id, label, cast(embedding as double[]) as v from embeddings)",
+    "q as (select vec_id, label, v from e union all select vec_id, label + 1, v from e where vec_id % 10 = 0)",
     "d as (select q.vec_id as query_id, k.vec_id as id, k.label as file_id, "
     "1 - list_inner_product(q.v, k.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(k.v, k.v))) as distance "
-    "from e q join e k on q.label = k.label)",
-    "r as (select *, row_number() over (partition by query_id order by round(distance, 6), id) as rank from d)",
+    "from q join e k on q.label = k.label)",
+    "r as (select *, row_number() over (partition by query_id, file_id order by round(distance, 6), id) as rank from d)",
 )
 
 ORACLES["kb_topk"] = with_(*_VEC) + (
     "select query_id, cast(rank as integer) as rank, id, file_id, round(distance, 6) + 0.0 as distance from r where rank <= 5"
 )
 ORACLES["kb_context"] = with_(*_VEC) + (
-    "select query_id, case when length(ctx) > 1500 then concat(substring(ctx, 1, 1500), chr(10) || '...[截断]') else ctx end as kb_context "
-    "from (select query_id, string_agg(concat('vec ', cast(id as varchar)), chr(10) || '---' || chr(10) order by rank) as ctx "
-    "from r where rank <= 3 group by 1) t"
+    "select query_id, file_id, case when length(ctx) > 1500 then concat(substring(ctx, 1, 1500), chr(10) || '...[截断]') else ctx end as kb_context "
+    "from (select query_id, file_id, string_agg(concat('vec ', cast(id as varchar), ' ', repeat('x', id % 3 * 400)), chr(10) || '---' || chr(10) order by rank) as ctx "
+    "from r where rank <= 3 group by 1, 2) t"
 )
 
 

@@ -459,6 +459,25 @@ def enrich_events_q(spark, sf):
     )
 
 
+@register("report_iocs")
+def report_iocs_q(spark, sf):
+    """One row per indicator of a threat event: display line, risk band, intelligence, and the event's total of
+    malicious votes, with the list order in columns."""
+    _k, _c, events, merged = _seclog_events(spark, sf)
+    return report.report_iocs(threats(events), merged, _reputation(spark, sf), _registration(spark, sf)).select(
+        "log_id", "cluster_id", "first_chunk_ix", "first_ioc_ix", "line", "route", "risk_band", "vt_found", "vt_malicious_count",
+        "vt_community_score", F.array_join("vt_tags", ",").alias("vt_tags"), "vt_error", "whois_registrar", "whois_creation_date",
+        F.array_join("whois_name_servers", ",").alias("whois_name_servers"), "whois_error", "event_malicious",
+    )
+
+
+@register("registration_worklist")
+def registration_worklist_q(spark, sf):
+    """C11: domains without a fresh registration response."""
+    raw = intel.with_clean_domain(inputs.registration_raw(spark, sf))
+    return intel.registration_worklist(merged_iocs(_seclog_keyed(spark, sf)), intel.fresh(raw, FIXTURE_AS_OF, rules.REGISTRATION_TTL_SEC))
+
+
 @register("lookup_worklist")
 def lookup_worklist_q(spark, sf):
     """C11: routable indicators without a fresh reputation response."""
@@ -544,8 +563,11 @@ def enhance_query_q(spark, sf):
 
 
 def _vector_queries(spark, sf):
-    e = inputs.embedding_kb(spark, sf)
-    return e.select(F.col("id").alias("query_id"), "file_id", F.col("embedding").alias("vector"))
+    """Each vector asks its own file, every tenth one the next file too, and some queries have no vector."""
+    e = inputs.embedding_kb(spark, sf).select(F.col("id").alias("query_id"), "file_id", F.col("embedding").alias("vector"))
+    other = e.where("query_id % 10 = 0").withColumn("file_id", F.col("file_id") + 1)
+    blank = e.where("query_id % 10 = 1").select(-F.col("query_id"), "file_id", F.lit(None).cast("array<float>"))
+    return e.unionByName(other).union(blank)
 
 
 @register("kb_topk")
@@ -559,10 +581,10 @@ def kb_topk_q(spark, sf):
 
 @register("kb_context")
 def kb_context_q(spark, sf):
-    """Context text from each vector's top-3 hits (content = 'vec <id>')."""
+    """Context text from each query's top-3 hits in its file; some contexts are cut."""
     hits = kb.kb_topk(_vector_queries(spark, sf), inputs.embedding_kb(spark, sf), k=rules.KB_ANALYSIS_TOP_K)
-    hits = hits.withColumn("content", F.concat(F.lit("vec "), F.col("id").cast("string")))
-    return report.kb_context(hits)
+    hits = hits.withColumn("content", F.concat(F.lit("vec "), F.col("id").cast("string"), F.lit(" "), F.expr("repeat('x', cast(id % 3 * 400 as int))")))
+    return report.kb_context(hits, query_key=("query_id", "file_id"))
 
 
 # ------------------------------------------------------------------ whole chain

@@ -45,23 +45,34 @@ from events"""
 VERDICT_RAW_SQL = """select user_id as log_id, event_id as cluster_no,
  case event_id % 4 when 0 then obj when 1 then concat('```json', chr(10), replace(obj, '}', ',}'), chr(10), '```')
   when 2 then concat('Result: ', obj, ' end') else 'Error: timeout' end as raw
-from (select user_id, event_id, concat('{"is_threat":', case when event_id % 3 = 0 then 'false' else 'true' end, ',"attack_type":"t', event_id % 5, '","mitre_id":"T10', 10 + event_id % 7, '","tactic":"tac', event_id % 3, '","technique_name":"tech', event_id % 7, '","confidence":0.', event_id % 10, ',"evidence":"e","recommendation":"r"}') as obj from events) o"""
+from (select user_id, event_id, concat('{"is_threat":', case when event_id % 13 = 3 then '""' when event_id % 13 = 4 then '"false"' when event_id % 13 = 5 then '0' when event_id % 13 = 6 then '2.5' when event_id % 3 = 0 then 'false' else 'true' end, ',"attack_type":"t', event_id % 5, '","mitre_id":"T10', 10 + event_id % 7, '","tactic":"tac', event_id % 3, '","technique_name":"tech', event_id % 7, '","confidence":0.', event_id % 10, ',"evidence":"e","recommendation":"r"}') as obj from events) o"""
 
 # Reputation responses: two fetches per address (one fresh, one stale at
-# as_of 2024-01-31 00:00:00), statuses 200/404/429.
+# as_of 2024-01-31 00:00:00), statuses 200/404/429; domains with twelve tags;
+# hashes fetched after as_of, statuses 200/404/500.
 REPUTATION_RAW_SQL = """select 'ip' as ioc_type, concat('203.0.113.', k) as ioc_value,
  case k % 4 when 2 then 404 when 3 then 429 else 200 end as http_status,
  case when k % 4 < 2 then concat('{"data":{"attributes":{"last_analysis_stats":{"malicious":', k, case when k % 4 = 0 then ',"suspicious":1' else '' end, '},"reputation":-', k, ',"first_submission_date":1700000000,"tags":["a","b"]}}}') end as body,
  case f when 0 then timestamp '2024-01-30 23:30:00' else timestamp '2024-01-30 20:00:00' end as fetched_at
-from (select distinct user_id % 20 as k from events) t cross join (select 0 as f union all select 1 as f) u"""
+from (select distinct user_id % 20 as k from events) t cross join (select 0 as f union all select 1 as f) u
+union all select 'domain', concat('c2-', k, '.evil.xyz'), 200,
+ concat('{"data":{"attributes":{"last_analysis_stats":{"malicious":', k, '},"tags":["t1","t2","t3","t4","t5","t6","t7","t8","t9","t10","t11","t12"]}}}'), timestamp '2024-01-30 23:40:00'
+from (select distinct event_id % 9 as k from events) d
+union all select 'hash', md5(cast(k as {S})), case when k % 5 = 0 then 404 when k % 5 = 1 then 500 else 200 end,
+ case when k % 5 > 1 then concat('{"data":{"attributes":{"reputation":', k, ',"tags":[]}}}') end, timestamp '2024-01-31 00:10:00'
+from (select distinct event_id % 40 as k from events) h"""
 
-# Registration responses in RDAP (even) and WHOIS (odd) form.
+# Registration responses in RDAP (even) and WHOIS (odd) form; every third domain has a later response under another
+# spelling, with seven name servers.
 REGISTRATION_RAW_SQL = """select concat('c2-', k, '.evil.xyz') as domain, case when k % 2 = 0 then 'rdap' else 'whois' end as source,
  case when k % 4 = 2 then 404 else 200 end as http_status,
  case when k % 4 = 0 then concat('{"events":[{"eventAction":"registration","eventDate":"2020-01-0', k + 1, '"},{"eventAction":"expiration","eventDate":"2030-01-01"}],"nameservers":[{"ldhName":"NS1.X.ORG"},{"other":1}],"entities":[{"roles":["registrar"],"vcardArray":["vcard",[["version",{},"text","4.0"],["fn",{},"text","Reg', k, '"]]]}],"status":["active"]}')
   when k % 2 = 1 then concat('{"registrar":"Reg', k, '","creation_date":["2020-01-0', k, '","2021-01-01"],"expiration_date":["2030-01-01"],"name_servers":["NS1.X.ORG"],"status":"ok"}') end as body,
  timestamp '2024-01-30 23:00:00' as fetched_at
-from (select distinct event_id % 9 as k from events) t"""
+from (select distinct event_id % 9 as k from events) t
+union all select concat(' HTTPS://C2-', k, '.Evil.XYZ:443/x'), 'whois', 200,
+ concat('{"registrar":"Late', k, '","creation_date":"2021-02-03","name_servers":["A.x","B.x","C.x","D.x","E.x","F.x","G.x"]}'), timestamp '2024-01-30 23:30:00'
+from (select distinct event_id % 9 as k from events) s where k % 3 = 0"""
 
 # The point in time the snapshot fixtures are judged at.
 FIXTURE_AS_OF = "2024-01-31 00:00:00"

@@ -48,10 +48,10 @@ def test_kb_versioned_write_and_pruned_read(spark, sf, tmp_path):
     files = inputs.kb_document_files(spark, sf)
     table, report = index_kb(files)
     path = kb.write_kb(table, str(tmp_path))
-    one = kb.read_kb(spark, path, file_id="src1", with_embedding=False)
+    one = kb.read_kb(spark, path, file_id="doc1", with_embedding=False)
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "src1" in plan
-    assert one.count() == table.where(F.col("file_id") == "src1").count()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(file_id,doc1)" in plan
+    assert one.count() == table.where(F.col("file_id") == "doc1").count()
     assert report.where(F.col("status") == "success").count() == kb.kb_new_docs(files).count()
 
 
