@@ -54,9 +54,11 @@ def with_clean_domain(raw: DataFrame) -> DataFrame:
     return raw.withColumn("domain", clean_domain(F.col("domain")))
 
 
-def fresh_snapshot(raw: DataFrame, keys: Sequence[str], as_of: str, ttl_sec: int) -> DataFrame:
-    """Latest fresh response per key (what the TTL cache would return)."""
-    return latest(fresh(raw, as_of, ttl_sec), keys)
+def fresh_snapshot(raw: DataFrame, keys: Sequence[str], as_of: str, ttl_sec: int, drop_errors: bool = False) -> DataFrame:
+    """Latest fresh response per key (what the TTL cache would return). Failures are remembered like
+    answers; with ``drop_errors`` only statuses 200 and 404 count."""
+    kept = raw.where(F.col("http_status").isin(200, rules.REPUTATION_NOT_FOUND_STATUS)) if drop_errors else raw
+    return latest(fresh(kept, as_of, ttl_sec), keys)
 
 
 _REPUTATION_BODY = StructType(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .. import rules
+from ..session import cut_lineage
 from ..functions.text import chunk_id, content_hash
 from .chunking import chunk_text
 from .funnel import extract_iocs
@@ -30,21 +31,24 @@ def hash_files(files: DataFrame, content_col: str = "content") -> DataFrame:
     return files.withColumn("content_hash", content_hash(F.col(content_col)))
 
 
-def kb_new_docs(files: DataFrame, existing: DataFrame | None = None, order: str = "file_order") -> DataFrame:
-    """Files to index: non-empty, first of their content hash in ``order`` and
+def kb_new_keys(files: DataFrame, existing: DataFrame | None = None, order: str = "file_order") -> DataFrame:
+    """``content_hash`` and ``order`` of the files to index: non-empty, first of their content hash in ``order`` and
     not already present in ``existing``.
 
-    First-per-hash is an aggregate (``min(order)``, collapsed map-side even if
-    one hash holds a third of all files) followed by a semi-join on
-    ``(content_hash, order)`` — both columns as keys, so the hot hash does not
-    land in one task.
+    Only hashes and keys are shuffled. First-per-hash is an aggregate (``min(order)``), so a hash that a third of
+    all files share is collapsed on the map side.
     """
-    h = hash_files(files).where(F.length("content") > 0)
+    h = hash_files(files).where(F.length("content") > 0).select("content_hash", order)
     winners = h.groupBy("content_hash").agg(F.min(order).alias(order))
-    firsts = h.join(winners, ["content_hash", order], "left_semi")
     if existing is not None:
-        firsts = firsts.join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
-    return firsts
+        winners = winners.join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
+    return winners
+
+
+def kb_new_docs(files: DataFrame, existing: DataFrame | None = None, order: str = "file_order") -> DataFrame:
+    """The rows of ``files`` that :func:`kb_new_keys` names, with their ``content_hash``. Texts are hashed once (the keys are
+    written) and joined last."""
+    return files.join(cut_lineage(kb_new_keys(files, existing, order)), order)
 
 
 def kb_chunks(
@@ -124,7 +128,8 @@ def kb_index_report(
 ) -> DataFrame:
     """One row per input file: success (chunk count), skipped (duplicate content,
     with the file_id holding it) or error (nothing to chunk)."""
-    h = hash_files(files)
+    # the texts themselves are not joined
+    h = hash_files(files).select(order, "file_id", "content_hash", (F.length("content") == 0).alias("empty"))
     counts = new_chunks.groupBy(order).agg(F.count(F.lit(1)).alias("chunks"))
     holders = new_chunks.groupBy("content_hash").agg(F.min_by("file_id", F.col(order)).alias("holder"))
     if existing is not None:
@@ -134,7 +139,7 @@ def kb_index_report(
         )
     r = h.join(counts, order, "left").join(holders, "content_hash", "left")
     status = (
-        F.when(F.length("content") == 0, F.lit("error"))
+        F.when(F.col("empty"), F.lit("error"))
         .when(F.col("chunks").isNotNull(), F.lit("success"))
         .otherwise(F.lit("skipped"))
     )

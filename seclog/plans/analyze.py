@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -14,6 +14,7 @@ from ..operators.chunking import chunk_count, chunk_text, spread
 from ..operators.funnel import cluster_events, cluster_key, extract_whole, filter_chunks, merged_iocs, run_summary, suspicious
 from ..operators.verdicts import attach_verdicts
 from ..session import cut_lineage
+from ..sources.logs import admit_logs, logs_from_files, read_logs
 
 
 @dataclass
@@ -65,6 +66,12 @@ def extract_iocs_job(logs: DataFrame, decode: str = "reference") -> DataFrame:
     return logs.select("log_id").join(counts, "log_id", "left").select("log_id", F.coalesce("total_iocs_found", F.lit(0)).cast("long").alias("total_iocs_found"))
 
 
+def extract_iocs_files(spark: SparkSession, path: str, decode: str = "reference", max_mb: int = rules.IOC_ONLY_MAX_MB) -> tuple[DataFrame, DataFrame]:
+    """E2 over log files of at most ``max_mb`` MiB: (counts per file, rejected files)."""
+    accepted, rejected = admit_logs(read_logs(spark, path), max_mb)
+    return extract_iocs_job(logs_from_files(accepted), decode), rejected
+
+
 def index_kb(files: DataFrame, existing: DataFrame | None = None, embed=None, replace: bool = False):
     """(new KB table, per-file report) for ``files(file_order, file_id, source, content)``."""
     new = kb.kb_new_docs(files, existing)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from .. import rules
 from ..sources.fixtures import FIXTURE_AS_OF, view_sql
+from .queries import DOCS_PER_LOG
 
 
 def _lit(s: str) -> str:
@@ -593,14 +594,13 @@ ORACLES["kb_context"] = with_(*_VEC) + (
 
 
 # ------------------------------------------------------------------ intake and streaming
-# Each document is written by Spark's text writer as one file: its text plus a
-# final newline.
-_FILE_LOGS = "logs as (select doc_id as log_id, concat(text, chr(10)) as text from documents)"
+# Spark's text writer puts a newline after each document's text.
+_FILE_LOGS = f"logs as (select doc_id // {DOCS_PER_LOG} as log_id, concat(string_agg(text, chr(10) order by doc_id), chr(10)) as text from documents group by 1)"
 
 ORACLES["stream_logs"] = _funnel_oracle(_FILE_LOGS).rstrip("\n") + (
     ",\nsn as (select log_id, count(*) as s from keyed group by 1),\n"
     "cn as (select log_id, count(distinct cluster_id) as c from keyed group by 1)\n"
-    "select l.log_id as doc_id, case when coalesce(sn.s, 0) = 0 then '未发现安全威胁' "
+    "select l.log_id as log_no, case when coalesce(sn.s, 0) = 0 then '未发现安全威胁' "
     "else printf('发现%d个安全事件，共%d条可疑日志聚类而成', 0, sn.s) end as summary, "
     "cast((length(l.text) + 3999) // 4000 as bigint) as total_chunks_processed, "
     "cast(coalesce(sn.s, 0) as bigint) as suspicious_chunks, cast(coalesce(cn.c, 0) as bigint) as clustered_events "
@@ -608,7 +608,7 @@ ORACLES["stream_logs"] = _funnel_oracle(_FILE_LOGS).rstrip("\n") + (
 )
 
 ORACLES["read_logs"] = (
-    "select doc_id, cast(length(text) + 1 as bigint) as n_chars, md5(concat(text, chr(10))) as text_md5 from documents"
+    with_(_FILE_LOGS) + "select log_id as log_no, cast(length(text) as bigint) as n_chars, md5(text) as text_md5 from logs"
 )
 
 
@@ -621,6 +621,24 @@ ORACLES["stream_cluster_window_300s"] = with_(*_seclog_chain()) + (
     "(select max(ts) from events) - interval 10 minute"
 )
 
+_LETTERS = "[" + ", ".join(f"cast(length(content) - length(replace(content, '{c}', '')) as double)" for c in "aeiorst") + "]"
+ORACLES["kb_end_to_end"] = with_(
+    _FILE_LOGS,
+    "f as (select log_id, text, sha256(text) as h from logs)",
+    "u as (select f.* from f join (select h, min(cast(log_id as varchar)) as m from f group by 1) w on w.h = f.h and w.m = cast(f.log_id as varchar))",
+    "c as (select concat('log', cast(log_id as varchar)) as home, cast(o // 450 as integer) as ix, substring(text, o + 1, 500) as content "
+    "from u, unnest(range(0, length(text), 450)) as r(o))",
+    f"v as (select *, concat(home, '_chunk_', cast(ix as varchar)) as id, {_LETTERS} as e from c)",
+    "n as (select * from v where list_sum(e) > 0)",
+    "d as (select q.home as query_id, k.id, k.content, round(1 - list_inner_product(q.e, k.e) / (sqrt(list_inner_product(q.e, q.e)) * "
+    "sqrt(list_inner_product(k.e, k.e))), 6) as dist from n q join n k on q.ix = 0)",
+    "t as (select *, row_number() over (partition by query_id order by dist, id) as rank from d)",
+    f"x as (select query_id, string_agg(content, chr(10) || '---' || chr(10) order by rank) as ctx from t where rank <= {rules.KB_ANALYSIS_TOP_K} group by 1)",
+    f"y as (select query_id, case when length(ctx) > {rules.KB_CONTEXT_MAX_CHARS} then concat(substring(ctx, 1, {rules.KB_CONTEXT_MAX_CHARS}), "
+    f"{_lit(rules.KB_CONTEXT_TRUNCATION_MARK)}) else ctx end as ctx from x)",
+) + "select query_id, cast(length(ctx) as integer) as n_chars, md5(ctx) as context_md5 from y"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 

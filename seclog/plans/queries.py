@@ -490,7 +490,7 @@ def lookup_worklist_q(spark, sf):
 
 def _existing_kb(spark, sf):
     bench = inputs.kb_benchmark_files(spark, sf)
-    return kb.kb_upsert(None, kb.kb_chunks(kb.kb_new_docs(bench)))
+    return cut_lineage(kb.kb_upsert(None, kb.kb_chunks(kb.kb_new_docs(bench))))
 
 
 def _doc_index(spark, sf):
@@ -504,8 +504,9 @@ def _doc_index(spark, sf):
 @register("kb_new_docs")
 def kb_new_docs_q(spark, sf):
     """Documents to index (first of each content hash, not in the KB yet)."""
-    _f, _e, new, _c = _doc_index(spark, sf)
-    return new.select("file_order", "file_id", "source", "content_hash")
+    files = inputs.kb_document_files(spark, sf)
+    keys = kb.kb_new_keys(files, _existing_kb(spark, sf)).select("file_order", "content_hash")
+    return files.select("file_order", "file_id", "source").join(keys, "file_order")
 
 
 @register("kb_chunks")
@@ -544,6 +545,30 @@ def kb_index_report_q(spark, sf):
     return kb.kb_index_report(files, chunks, existing)
 
 
+def _letters(content):
+    """A vector of letter counts: an ``embed`` function that SQL can repeat."""
+    return F.array(*[(F.length(content) - F.length(F.replace(content, F.lit(c), F.lit("")))).cast("float") for c in "aeiorst"])
+
+
+@register("kb_end_to_end")
+def kb_end_to_end_q(spark, sf):
+    """E4 + J3 + P12: files read as KB documents, indexed with vectors, written as a version and read again; the context
+    that each file's first chunk finds in the whole KB."""
+    from ..session import checkpoint_dir
+    from ..sources.logs import read_kb_docs
+    from .analyze import index_kb
+
+    files = read_kb_docs(spark, f"{_stage_documents_as_files(spark, sf)}/src", recursive=True)
+    files = files.withColumn("file_id", F.concat(F.lit("log"), F.regexp_extract("file_order", r"log_no=(\d+)", 1)))
+    new, _report = index_kb(files, embed=_letters)
+    stored = kb.read_kb(spark, kb.write_kb(new, f"{checkpoint_dir(spark)}/kb"))
+    rows = stored.where("exists(embedding, x -> x != 0)").withColumn("home", F.col("file_id")).withColumn("file_id", F.lit(rules.KB_DEFAULT_FILE_ID))
+    asked = rows.where("chunk_index = 0").select(F.col("home").alias("query_id"), "file_id", F.col("embedding").alias("vector"))
+    hits = kb.kb_topk(asked, rows.select("id", "file_id", "embedding"), k=rules.KB_ANALYSIS_TOP_K)
+    found = hits.join(stored.select("id", "content"), "id")
+    return report.kb_context(found).select("query_id", F.length("kb_context").alias("n_chars"), F.md5("kb_context").alias("context_md5"))
+
+
 @register("kb_query_text")
 def kb_query_text_q(spark, sf):
     """Knowledge-base query text per seclog cluster."""
@@ -606,22 +631,27 @@ def queries() -> dict[str, Query]:
 
 # ------------------------------------------------------------------ intake and streaming
 
+#: Documents in each staged log file.
+DOCS_PER_LOG = 25
+
+
 def _stage_documents_as_files(spark, sf) -> str:
-    """Spark writes every document as its own log file (``doc_id=N/part-*.txt``)
+    """Spark writes the documents as log files of ``DOCS_PER_LOG`` neighbouring ids (``log_no=N/part-*.txt``)
     under the shared checkpoint folder; returns the folder."""
     import uuid
 
     from ..session import checkpoint_dir
 
     root = f"{checkpoint_dir(spark)}/intake-{uuid.uuid4().hex}"
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(f"{root}/src")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.expr(f"doc_id div {DOCS_PER_LOG}").alias("log_no"))
+    whole = docs.repartition("log_no").sortWithinPartitions("log_no", "doc_id").select("text", "log_no")
+    whole.write.partitionBy("log_no").text(f"{root}/src")
     return root
 
 
 @register("stream_logs")
 def stream_logs_q(spark, sf):
-    """Documents written as files, picked up by a binaryFile
+    """Documents written as log files, picked up by a binaryFile
     stream (availableNow), admitted, decoded and analysed per micro-batch;
     returns the run rows the stream wrote (decode off, so SQL can check it)."""
     from ..streaming.intake import stream_logs
@@ -631,7 +661,7 @@ def stream_logs_q(spark, sf):
     q.awaitTermination()
     runs = spark.read.parquet(f"{root}/out/runs")
     return runs.select(
-        F.regexp_extract("log_id", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"),
+        F.regexp_extract("log_id", r"log_no=(\d+)", 1).cast("long").alias("log_no"),
         "summary",
         "total_chunks_processed",
         "suspicious_chunks",
@@ -648,7 +678,7 @@ def read_logs_q(spark, sf):
     accepted, _rejected = admit_logs(read_logs(spark, f"{root}/src"))
     logs = logs_from_files(accepted)
     return logs.select(
-        F.regexp_extract("log_id", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"),
+        F.regexp_extract("log_id", r"log_no=(\d+)", 1).cast("long").alias("log_no"),
         F.length("text").cast("long").alias("n_chars"),
         F.md5("text").alias("text_md5"),
     )

@@ -95,9 +95,9 @@ def logs_from_files(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("log_id"), decode_bytes(F.col("content")).alias("text"))
 
 
-def read_kb_docs(spark: SparkSession, path: str, file_id: str | None = None) -> DataFrame:
+def read_kb_docs(spark: SparkSession, path: str, file_id: str | None = None, recursive: bool = False) -> DataFrame:
     """KB documents: whole UTF-8 files as ``file_order, file_id, source, content``."""
-    df = spark.read.text(path, wholetext=True)
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
     p = F.col("_metadata.file_path")
     return df.select(
         p.alias("file_order"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seclog.operators.funnel import cluster_key, cluster_windows, filter_chunks, suspicious
 from seclog.plans import inputs
+from seclog.plans.analyze import extract_iocs_files
 from seclog.sources.logs import admit_logs, logs_from_files, read_logs
 from seclog.streaming.intake import stream_cluster_windows
 
@@ -37,6 +38,9 @@ def test_charset_ladder_and_admission(spark):
         "b.txt": samples["b.txt"].decode("gbk"),
         "c.json": samples["c.json"].decode("latin-1"),
     }
+    counts, over = extract_iocs_files(spark, d, max_mb=1)
+    assert {os.path.basename(r.log_id): r.total_iocs_found for r in counts.collect()} == {"a.log": 1, "b.txt": 1, "c.json": 1, "empty.log": 0}
+    assert [os.path.basename(r.path) for r in over.collect()] == ["big.log"]
     rej = {os.path.basename(r.path): r.reason for r in rejected.collect()}
     assert rej == {"big.log": "FILE_TOO_LARGE"}
 
