@@ -169,6 +169,27 @@ def type_iocs(
 _DOMAIN_PATTERN = next(p for t, p, _, _ in rules.IOC_PATTERNS if t == "domain")
 
 
+def any_indicator(x: Column, drop_domains: Sequence[str] = tuple(rules.FALSE_POSITIVE_DOMAINS)) -> Column:
+    """Whether :func:`iocs_from_decoded` would find anything, without positions, contexts or duplicates: each pattern stops
+    at its first match, and only the domains are listed, because some do not count."""
+    found = F.lit(False)
+    for t, pattern, ignore_case, _group in sorted(rules.IOC_PATTERNS, key=lambda p: p[0] == "domain"):
+        if t == "domain":
+            runs = F.regexp_extract_all(x, F.lit(pattern_regex(DOMAIN_RUN, ignore_case)), F.lit(0))
+            hit = F.exists(runs, lambda r: ~F.lower(F.regexp_extract(r, DOMAIN_IN_RUN, 0)).isin("", *drop_domains))
+        else:
+            hit = x.rlike(pattern_regex(pattern, ignore_case))
+        pre = _prefilter(t, x)
+        found = found | (hit if pre is None else F.when(pre, hit).otherwise(F.lit(False)))
+    return found
+
+
+def first_address(x: Column) -> Column:
+    """The value of the first ipv4 indicator; null if there is none."""
+    pattern = next(p for t, p, _, _ in rules.IOC_PATTERNS if t == "ipv4")
+    return F.nullif(F.regexp_extract(x, pattern_regex(pattern, False), 0), F.lit(""))
+
+
 def select_patterns(types: Sequence[str] | None = None, patterns=None):
     specs = list(patterns if patterns is not None else rules.IOC_PATTERNS)
     if types is None:

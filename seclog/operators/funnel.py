@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.decode import with_decoded
-from ..functions.iocs import IOC_ARRAY, ioc_rows, is_blank, iocs_from_decoded
+from ..functions.iocs import IOC_ARRAY, any_indicator, first_address, ioc_rows, is_blank, iocs_from_decoded
 from ..functions.text import keyword_hits
 from .chunking import spread, text_blocks
 
@@ -123,6 +123,18 @@ def cluster_key(df: DataFrame) -> DataFrame:
     return df.withColumns({"src_ip": ip, "signature": sig, "cluster_id": cid})
 
 
+def cluster_ids(chunks: DataFrame, keys: Sequence[str] = ("log_id",), text_col: str = "chunk", decode: str = "reference") -> DataFrame:
+    """``keys…, cluster_id`` for each chunk, null for one that is not suspicious: what counting needs, found
+    without building the indicators."""
+    raw = F.col(text_col)
+    x = F.col("decoded")
+    staged = with_decoded(chunks, text_col, "decoded", decode)
+    # out of a generator, so that the three columns are computed once and before what is done with them
+    parts = staged.select(*keys, F.inline(F.array(F.struct(any_indicator(x).alias("_any"), first_address(x).alias("_ip"), keyword_hits(raw).alias("_hits")))))
+    cid = F.substring(F.md5(F.concat_ws(":", F.coalesce("_ip", F.lit(rules.CLUSTER_UNKNOWN_IP)), signature(F.col("_hits")))), 1, rules.CLUSTER_ID_LENGTH)
+    return parts.select(*keys, F.when(F.col("_any") | (F.size("_hits") > 0), cid).alias("cluster_id"))
+
+
 def cluster_events(
     keyed: DataFrame,
     keys: Sequence[str] = ("log_id",),
@@ -239,8 +251,16 @@ def run_summary(
             F.sum(F.coalesce(F.col("n_iocs"), F.lit(0))).cast("long").alias("total_iocs"),
         )
         out = out.join(ev, list(keys), "left")
-    else:
-        out = out.withColumn("threat_events", F.lit(None).cast("long")).withColumn("total_iocs", F.lit(None).cast("long"))
+    return run_rows(out, keys)
+
+
+def run_rows(counts: DataFrame, keys: Sequence[str] = ("log_id",)) -> DataFrame:
+    """Run rows from ``keys…, total_chunks_processed, suspicious_chunks, clustered_events`` and, if there were
+    verdicts, ``threat_events, total_iocs``; missing counts are 0."""
+    out = counts
+    for c in ("threat_events", "total_iocs"):
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("long"))
     s = F.coalesce(F.col("suspicious_chunks"), F.lit(0)).cast("long")
     t = F.coalesce(F.col("threat_events"), F.lit(0)).cast("long")
     summary = F.when(s == 0, F.lit(rules.SUMMARY_CLEAN)).otherwise(
@@ -249,7 +269,7 @@ def run_summary(
     return out.select(
         *keys,
         summary.alias("summary"),
-        F.col("total_chunks_processed").cast("long").alias("total_chunks_processed"),
+        F.coalesce("total_chunks_processed", F.lit(0)).cast("long").alias("total_chunks_processed"),
         s.alias("suspicious_chunks"),
         F.coalesce(F.col("clustered_events"), F.lit(0)).cast("long").alias("clustered_events"),
         t.alias("threat_events"),

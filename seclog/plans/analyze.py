@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..operators import kb
 from ..operators.chunking import chunk_count, chunk_text, spread
-from ..operators.funnel import cluster_events, cluster_key, extract_whole, filter_chunks, merged_iocs, run_summary, suspicious
+from ..operators.funnel import cluster_events, cluster_ids, cluster_key, extract_whole, filter_chunks, merged_iocs, run_rows, run_summary, suspicious
 from ..operators.verdicts import attach_verdicts
 from ..session import cut_lineage
 from ..sources.logs import admit_logs, logs_from_files, read_logs
@@ -59,6 +59,18 @@ def analyze_logs(
     return Analysis(runs, clusters, merged, events)
 
 
+def summarize_logs(logs: DataFrame, decode: str = "reference", chunk_size: int = rules.ANALYSIS_CHUNK_SIZE) -> DataFrame:
+    """The run rows of :func:`analyze_logs` alone: one pass over the chunks, which only need their cluster."""
+    ids = cluster_ids(spread(chunk_text(logs, keys=["log_id"], size=chunk_size)), decode=decode)
+    per = ids.groupBy("log_id", "cluster_id").agg(F.count("*").alias("sample_count"))
+    counts = per.groupBy("log_id").agg(
+        F.sum("sample_count").alias("total_chunks_processed"),
+        F.sum(F.when(F.col("cluster_id").isNotNull(), F.col("sample_count"))).alias("suspicious_chunks"),
+        F.count("cluster_id").alias("clustered_events"),
+    )
+    return run_rows(logs.select("log_id").join(counts, "log_id", "left"))
+
+
 def extract_iocs_job(logs: DataFrame, decode: str = "reference") -> DataFrame:
     """Per whole log text the number of its indicators: ``log_id, total_iocs_found``, clean logs included.
     The indicators themselves are the rows of :func:`extract_whole`."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import intel, kb, report
-from ..operators.chunking import chunk_count, chunk_text, spread
+from ..operators.chunking import chunk_text, spread
 from ..operators.funnel import (
     cluster_events,
     cluster_key,
@@ -33,7 +33,7 @@ from ..sources.fixtures import FIXTURE_AS_OF
 from ..session import cut_lineage
 from ..sources.tables import table
 from . import inputs
-from .analyze import extract_iocs_job
+from .analyze import extract_iocs_job, summarize_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -617,12 +617,7 @@ def kb_context_q(spark, sf):
 @register("analyze_logs")
 def analyze_logs_q(spark, sf):
     """E1 roll-up over documents and pages as log files: one result row per log."""
-    logs = inputs.text_logs(spark, sf)
-    ch = spread(chunk_text(logs, keys=["log_id"]))
-    f = filter_chunks(ch, decode="none")
-    clusters = cluster_events(cluster_key(suspicious(f)))
-    totals = logs.select("log_id", chunk_count(F.col("text")).alias("total_chunks_processed"))
-    return run_summary(totals, None, clusters)
+    return summarize_logs(inputs.text_logs(spark, sf), decode="none")
 
 
 def queries() -> dict[str, Query]:

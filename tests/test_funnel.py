@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import golden
 from seclog.functions.text import clean_domain, keyword_hits
-from seclog.operators.funnel import cluster_events, cluster_key, filter_chunks, merged_iocs, suspicious
+from seclog.operators.funnel import cluster_events, cluster_ids, cluster_key, filter_chunks, merged_iocs, suspicious
 from seclog.operators.verdicts import parse_verdicts
 from seclog.plans import inputs
 from seclog.plans.queries import queries
@@ -64,3 +64,15 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() >= 0
     assert "summary" in df.columns
+
+
+def test_cluster_ids_without_indicators_agree(spark, sf):
+    """The counting form gives each chunk the cluster of the full form, or null."""
+    lines = inputs.seclog_chunks(spark, sf).select("log_id", "chunk_ix", "chunk")
+    odd = ["google.com", "google.com and GOOGLE.com.", "a.com-x", "x " * 10, "", " \n", "User-Agent: short", "User-Agent: long enough", "1.2.3.4.5", "example.com evil.com"]
+    odd = spark.createDataFrame([(0, i, t) for i, t in enumerate(odd)], lines.schema)
+    for df in (lines, odd):
+        full = filter_chunks(df, decode="reference")
+        want = {(r.log_id, r.chunk_ix): r.cluster_id if r.is_suspicious else None for r in cluster_key(full).collect()}
+        got = {(r.log_id, r.chunk_ix): r.cluster_id for r in cluster_ids(df, keys=("log_id", "chunk_ix"), decode="reference").collect()}
+        assert got == want
