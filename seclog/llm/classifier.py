@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, id_fold, table, utf8
+from .common import cut_lineage, id_fold, table, text_batches, utf8
 
 BITS = 18
 MAX_ROWS = 16_000
@@ -117,6 +117,7 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS) -> np.ndarray | None:
     """Weights learnt from ``docs`` (``doc_id, text``) and a 0/1 column of ``labels``, outside fold 0."""
+    text_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (id_fold(F.col("doc_id"), FOLDS) != 0))
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("label"))
     known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows)

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage  # noqa: F401  (re-exported to the operators)
 
-#: The white space that separates words: ``[\x20\x09-\x0D]``. ``bytes.split()`` cuts at exactly these.
-WHITE = " \t\n\x0b\x0c\r"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read by Spark (any path or store that Spark can read)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches of this session hold at most so many rows: whole texts are long, and the default of ten
+    thousand would take a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def id_fold(key: Column, folds: int) -> Column:
     """``crc32(key as text) mod folds``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
@@ -62,8 +64,6 @@ def ranked(df: DataFrame, group: str, order: list[Column], rank: str) -> DataFra
     dealt = df.withColumn(copy, F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     # written once: sampled range bounds may differ when a lost partition is made anew
     dealt = cut_lineage(dealt.withColumn(at, F.spark_partition_id()))
-    from pyspark.sql import Window as W
-
     g = F.struct(F.col(f"`{group}`"))  # a struct is never null, so null groups join
     counts = dealt.groupBy(g.alias("__g"), at).agg(F.count("*").alias("__n"))
     offsets = counts.withColumn(base, F.sum("__n").over(W.partitionBy("__g").orderBy(at)) - F.col("__n")).drop("__n")
@@ -71,15 +71,3 @@ def ranked(df: DataFrame, group: str, order: list[Column], rank: str) -> DataFra
     numbered = dealt.withColumn(own, F.row_number().over(W.partitionBy(at, f"`{group}`").orderBy(*order, copy)) - 1)
     joined = numbered.join(offsets, (g == F.col("__g")) & (F.col(at) == F.col("__at")))
     return joined.withColumn(rank, F.col(own) + F.col(base)).drop(at, own, base, copy, "__g", "__at")
-
-
-def arrow_rows(fn: Callable[[list], Iterable], columns: list[str], kinds: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from one that maps a batch (a list of columns) to its output columns."""
-    schema = pa.schema([pa.field(c, k) for c, k in zip(columns, kinds)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = fn(b.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) if not isinstance(x, pa.Array) else x.cast(k) for x, k in zip(out, kinds)], schema=schema)
-
-    return run

@@ -25,14 +25,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_fold, table, utf8, with_small
+from .common import cut_lineage, fresh, id_fold, table, text_batches, utf8, with_small
 
 TRAIN_BYTES = 8 << 20
 FOLDS = 5
 #: Stands before every text.
 PAD = b"\n\n\n"
 #: Bytes scored at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 UNKNOWN = "und"
 
 
@@ -184,8 +184,6 @@ def learn(rows: DataFrame, train_bytes: int = TRAIN_BYTES) -> Trees | None:
     """Trees from ``lang, text`` (UTF-8 bytes); None if there are no bytes to learn from."""
     rows = rows.where("lang is not null and octet_length(text) > 0").withColumn("h", F.xxhash64("lang", "text"))
     have = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumn("langs", F.count("*").over(W.partitionBy()))
-    from .common import cut_lineage
-
     part = F.lit(float(train_bytes)) / F.col("langs")
     have = cut_lineage(have.select("lang", part.alias("part"), (part * 0.8 / F.col("bytes")).alias("rate")))
     # a uniform number from the hash; about 0.8 of the part is drawn, and what goes over the part is left out
@@ -229,14 +227,13 @@ def predict(text: Column, trees: Trees | None, sc) -> Column:
 
 def learn_from(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_bytes: int = TRAIN_BYTES) -> Trees | None:
     """Trees learnt from the rows whose fold of ``doc_id`` is not 0."""
+    text_batches(docs.sparkSession)
     train = docs.where(id_fold(F.col(f"`{doc_id}`"), FOLDS) != 0)
     return learn(train.select(F.col(f"`{lang}`").alias("lang"), utf8(F.col(f"`{text}`")).alias("text")), train_bytes)
 
 
 def keep_known(docs: DataFrame, langs: list[str] | None = None, least: float = 0.5, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose text is in one of ``langs`` (all learnt ones by default) with at least this score."""
-    from .common import fresh
-
     guess = fresh(docs, "guess")
     found = docs.withColumn(guess, predict(F.col(f"`{text}`"), learn_from(docs, text, lang, doc_id), docs.sparkSession.sparkContext))
     keep = (F.col(f"{guess}.lang") != UNKNOWN) & (F.col(f"{guess}.score") >= least)

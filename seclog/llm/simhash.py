@@ -29,10 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, fresh, table, utf8
+from .common import cut_lineage, fresh, table, text_batches, utf8, whole_row_hash
 
 SEED = 42
 #: Shingles hashed at once.
@@ -189,6 +190,7 @@ def near_duplicates(docs: DataFrame, key: Column, k: int = 3, radius: int = 3, t
 
     ``key`` may be any orderable expression. The result has one narrow row for each row of ``docs``.
     """
+    text_batches(docs.sparkSession)
     printed = cut_lineage(docs.select(key.alias("key"), fingerprint(F.col(f"`{text}`"), k).alias("fp")))
     nodes = cut_lineage(printed.groupBy("fp").agg(F.min("key").alias("least")))
     roots = components(links(nodes.select("fp"), radius))
@@ -201,10 +203,6 @@ def near_duplicates(docs: DataFrame, key: Column, k: int = 3, radius: int = 3, t
 def keep_one(docs: DataFrame, k: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest ``doc_id`` (null ids last), and of
     rows with that id the one whose row hash is smallest; repeated rows count as one."""
-    from pyspark.sql import Window as W
-
-    from .common import whole_row_hash
-
     row, last, seen = fresh(docs, "row"), fresh(docs, "last"), fresh(docs, "seen")
     marked = docs.withColumn(row, whole_row_hash(docs)).withColumn(last, F.col(f"`{doc_id}`").isNull())
     key = F.struct(F.col(last).alias("last"), F.col(f"`{doc_id}`").alias("id"), F.col(row).alias("row"))
