@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut_lineage, table, utf8, with_small
+from .common import checkpoint_dir, cut_lineage, table, text_batches, utf8, with_small
 
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed and a new one begun beyond this many bytes or records.
@@ -59,13 +59,18 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def plain_url(url: str) -> str:
+    """The url with blanks and control characters percent-encoded, so that it fits on a line."""
+    return re.sub(r"[\x00-\x20\x7f\x85\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def record(page_id: int | None, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: int | None) -> bytes:
     """A WARC/1.1 record: a response, or (payload None) a revisit."""
     http = EOL.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % size, b"", b""])
     block = http + (payload or b"")
     head = ["WARC/1.1", "WARC-Type: " + ("response" if payload is not None else "revisit"), f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+        head.append("WARC-Target-URI: " + plain_url(url))
     if payload is None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -129,7 +134,7 @@ def members(read: ReadAt, size: int) -> list[Member]:
     tail_at = max(0, size - 22 - 65535)
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(b"PK\5\6")
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(b"PK\5\6", 0, end)  # these four bytes may stand in the comment
     if end < 0:
         raise ValueError("not a ZIP file")
@@ -193,7 +198,7 @@ class Package:
         pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         data = pack.compress(record(page_id, url, payload, digest, size, refers_to)) + pack.flush()
         self.member.write(data)
-        host, slash, path = re.sub(r"^[^:]*://", "", url or "").partition("/")
+        host, slash, path = re.sub(r"^[^:]*://", "", plain_url(url or "")).partition("/")
         fields = {"url": url, "mime": "text/html" if payload is not None else "warc/revisit", "status": "200", "digest": f"sha1:{digest}", "length": str(len(data)), "offset": str(self.at), "filename": RECORDS}
         self.lines.append(f"{','.join(reversed(host.split('.')))}){slash}{path} {re.sub(r'[^0-9]', '', DATE)} {json.dumps(fields)}\n")
         self.count += 1
@@ -234,6 +239,7 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 
     Payloads are not shuffled unless the digests that occur twice are too many to broadcast.
     """
+    text_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", utf8(F.col("html")).alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
     twice = rows.where(F.col("size") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
@@ -333,3 +339,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_packages(table(spark, sf_dir, "pages"), folder)
     found = read_packages(manifest, folder, payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The digest's 40 hex digits are cut into eights of 20 bits, and each into four base32 digits.
+SQL = """
+with p as (select page_id, coalesce(html, '') html from pages),
+f as (select html, min(page_id) first from p group by 1),
+d as (select p.page_id, octet_length(encode(p.html))::bigint size, sha1(p.html) h, first from p join f on f.html = p.html),
+w as (select *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, i * 5 + 1, 5))::int) v from d)
+select page_id, size payload_bytes, array_to_string(list_transform(v, lambda x:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x & 31) + 1, 1)), '') payload_digest,
+  case when page_id = first or first is null then 'response' else 'revisit' end record_type,
+  case when page_id is distinct from first then first end refers_to
+from w
+"""
