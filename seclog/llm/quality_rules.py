@@ -27,11 +27,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, fresh, table, utf8, with_small
+from .common import cut_lineage, fresh, table, text_batches, utf8, with_small
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-RISK, DELTA = 0.02, 0.05
+RISK, DELTA = 0.03, 0.05
 
 #: Rules (expressions over the base counts, worse is larger) and their cutoffs, loosest first: a text is
 #: rejected if the value is over the cutoff.
@@ -126,10 +126,10 @@ def certified(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> Data
     per_rule = cut_lineage(per_rule.groupBy("stratum", "rule", "passed").agg(F.sum("n").alias("n")))
     strata = per_rule.select("stratum").distinct().count()
     level, part = delta / max(1, strata * len(RULES)), risk / len(RULES)
-    # one row for each cutoff: how many good rows it rejects, of how many
-    cuts = F.array(*[F.sequence(F.lit(1), F.lit(len(c))) for c in grid])
+    # one row for each cutoff: how many good rows it rejects, of how many; the first is passed by those alone that pass all
+    cuts, sizes = F.array(*[F.sequence(F.lit(1), F.lit(len(c))) for c in grid]), F.array(*[F.lit(len(c)) for c in grid])
     tried = per_rule.select("stratum", "rule", "passed", "n", F.explode(cuts[F.col("rule")]).alias("nth"))
-    tried = tried.groupBy("stratum", "rule", "nth").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("passed") >= F.col("nth"), F.col("n")).otherwise(0)).alias("k"))
+    tried = tried.groupBy("stratum", "rule", "nth").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("passed") > sizes[F.col("rule")] - F.col("nth"), F.col("n")).otherwise(0)).alias("k"))
     # a count far over its mean cannot be certified, so its tail needs no summing
     mean = F.col("n") * part
     tried = tried.withColumn("p", _tail(F.when(F.col("k") <= mean, F.col("k")).otherwise(F.col("n")), F.col("n"), F.lit(part)))
@@ -162,6 +162,7 @@ def judged(measured: DataFrame, cutoffs: DataFrame, f: str, stratum: str, kept:
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that the rules keep. Two passes over the texts and no shuffle of them."""
+    text_batches(docs.sparkSession)
     f, kept = fresh(docs, "measures"), fresh(docs, "kept")
     measured = cut_lineage(docs.select(f"`{doc_id}`", f"`{stratum}`", features(F.col(f"`{text}`")).alias(f)))
     cutoffs = certified(labelled_good(measured, labels, f, doc_id, stratum), risk, delta)
@@ -172,9 +173,43 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdicts: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept``."""
+    text_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     measured = cut_lineage(docs.select("doc_id", "lang", features(F.col("text")).alias("m")))
     cutoffs = certified(labelled_good(measured, table(spark, sf_dir, "labels"), "m", "doc_id", "lang"))
     out = judged(measured, cutoffs, "m", "lang", "kept")
     failed = base_failed(F.col("m.n_words"), F.col("m.n_repeat_words"))
     return out.select("doc_id", *[F.col(f"m.{c}") for c in FEATURES[:-1]], failed.alias("base_failed"), "kept")
+
+
+def _sql() -> str:
+    values = ", ".join(f"({i}, case when n_words > 0 then ({expr})::double end)" for i, (expr, _) in enumerate(RULES.values()))
+    cuts = ", ".join(f"({i}, {j + 1}, {c}::double)" for i, (_, grid) in enumerate(RULES.values()) for j, c in enumerate(grid))
+    tail = "least(1.0, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))))"
+    tail = f"case when n <= 0 or k >= n or k > n * {{p}} then 1.0 else {tail} end".replace("{p}", repr(RISK / len(RULES)))
+    white = "[^\\x20\\x09-\\x0D]"
+    return f"""
+with w as materialized (select doc_id, lang, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{white}+') ws, row_number() over () r from documents),
+g as (select r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] g from w, unnest(range(1, len(ws) - 1)) u(i)),
+rep as (select r, count(distinct i + o) n from (select r, i, count(*) over (partition by r, g) c from g), unnest(range(0, 3)) v(o) where c > 1 group by 1),
+dup as (select r, sum(c - 1) n from (select r, l, count(*) c from w, unnest(string_split(t, chr(10))) v(l) where regexp_matches(l, '{white}') group by all) group by 1),
+m as materialized (select w.doc_id, lang, len(ws)::bigint n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols, coalesce(dup.n, 0)::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words,
+  len(list_filter(ws, lambda x: regexp_matches(x, '[!?#*$%&|<>]{{2}}$')))::bigint n_marked
+  from w left join rep on rep.r = w.r left join dup on dup.r = w.r),
+j as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words base_failed from m),
+v as materialized (select doc_id, lang, base_failed, rule, x from j, (values {values}) q(rule, x)),
+q as (select doc_id from labels where quality is not null group by 1 having max(quality) = 1),
+good as (select v.* from v join q on q.doc_id = v.doc_id where not base_failed),
+cuts as (select * from (values {cuts}) c(rule, nth, cut)),
+t as (select lang, good.rule, nth, cut, count(*) n, count(*) filter (x > cut) k from good join cuts on cuts.rule = good.rule group by all),
+p as (select *, {tail} p, count(distinct coalesce(lang, '') || (lang is null)) over () strata from t),
+o as (select *, max((p > {DELTA} / (strata * {len(RULES)}))::int) over (partition by lang, rule order by nth) failed from p),
+best as (select lang, rule, arg_max(cut, nth) cut from o where failed = 0 group by all),
+bad as (select j.doc_id, j.lang, bool_or(coalesce(x > cut, false)) bad from j, (values {values}) q(rule, x) left join best on best.rule = q.rule and best.lang is not distinct from j.lang group by all)
+select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not bad kept
+from j join bad on bad.doc_id = j.doc_id
+"""
+
+
+SQL = _sql()

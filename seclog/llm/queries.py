@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filter
+from . import mixing, quality_rules, url_filter, warc
 from .ann import op3_ann
 from .bpe import op6_bpe
 from .classifier import op10_classifier
@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL}
+    return {"op2_warc": warc.SQL, "op4_quality_rules": quality_rules.SQL, "op5_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL}
