@@ -10,8 +10,10 @@ n-gram's hash; each segment's task holds all counts of its n-grams and leaves ou
 smallest power of two at which at most half of its bits are set. A missing n-gram counts 0.
 
 ``P(w | h) = (c(h, w) + KAPPA * P(w)) / (c(h) + KAPPA)`` and ``P(w) = (c(w) + 1) / (N + V + 1)``, all c from the
-filter, ``c(h, w)`` at most ``c(h)``. The base score has exact counts of single tokens: each block of documents meets
-the counts of its own tokens by a join, so no vocabulary is ever in one place.
+filter, ``c(h, w)`` at most ``c(h)``. The base score has exact counts of single tokens: each block of documents asks
+the segments for the counts of its own tokens, so no vocabulary is ever in one place. Segments are as many as blocks, so that
+a segment has about a block's share. Blocks are cut as the texts are scanned; all that is shuffled is packed and
+compressed, and texts are shuffled once, to meet their counts.
 
 A null or empty text has the end token alone. Repeated rows count and are scored each time. Without training
 texts N and V are 0 and every probability is 1 in the unigram model.
@@ -23,23 +25,28 @@ import itertools
 import math
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, id_fold, table, utf8
+from .common import checkpoint_dir, id_fold, table, text_batches, utf8
 
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text that are counted and scored together.
 BLOCK_BYTES = 8 << 20
-FILTER_BYTES = 64 << 20
+FILTER_BYTES = 16 << 20
 HASHES = 3
 KAPPA = 8.0
 #: No word holds a blank, so this is none.
 END = b" "
-LOW_BITS = 40
+#: Bits of an n-gram's hash below its segment. A segment has the n-grams of about a block at any size of the corpus, so a
+#: handful of them fall together.
+LOW_BITS = 34
+KEY_BYTES = (LOW_BITS + 7) // 8
 _LOW = np.uint64((1 << LOW_BITS) - 1)
 
 
@@ -73,13 +80,24 @@ class Tokens:
         self.pair_keys = _mix(hashed[before] * np.uint64(0x9E3779B97F4A7C15) + hashed[self.ids])
 
 
+    def dealt(self, segments: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The distinct tokens by segment, then as bytes: the segments that occur, the tokens' ids in this order, and
+        where a new segment begins."""
+        order = np.array(sorted(range(len(self.kinds)), key=self.kinds.__getitem__), np.int64)
+        segment = _segment(self.word_keys, segments)[order]
+        by = np.argsort(segment, kind="stable")
+        order, segment = order[by], segment[by]
+        cuts = np.flatnonzero(segment[1:] != segment[:-1]) + 1
+        return segment[np.r_[0, cuts]].tolist(), order, cuts
+
+
 # ------------------------------------------------------------------ counting
 
 def _pack(keys: np.ndarray, n: np.ndarray) -> bytes:
     """Sorted keys below 2**LOW_BITS and their counts, small."""
     import zstandard
 
-    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8]
+    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
     return zstandard.compress(np.ascontiguousarray(steps.T).tobytes() + np.ascontiguousarray(n.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
@@ -87,12 +105,12 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
     raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    width = LOW_BITS // 8 + 8
+    width = KEY_BYTES + 8
     size = len(raw) // width
     raw = raw.reshape(width, size)
     steps = np.zeros((size, 8), np.uint8)
-    steps[:, : LOW_BITS // 8] = raw[: LOW_BITS // 8].T
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(raw[LOW_BITS // 8 :].T).view("<u8").ravel()
+    steps[:, :KEY_BYTES] = raw[:KEY_BYTES].T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(raw[KEY_BYTES:].T).view("<u8").ravel()
 
 
 def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -106,34 +124,108 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-COUNTED = "token binary, block long, segment long, n long"
+def _pack_numbers(n: np.ndarray) -> bytes:
+    import zstandard
 
+    return zstandard.compress(np.ascontiguousarray(n.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
-def _counted(segments: int):
-    """Of a block: each token with its count in training texts, and its n-grams' counts packed by segment."""
 
-    def run(t: pa.Table) -> pa.Table:
-        tokens = Tokens(t.column("text").to_pylist())
-        train = np.repeat(np.array(t.column("train").to_pylist(), bool), tokens.sizes)
-        block, words = t.column("block")[0].as_py(), tokens.ids[train]
-        n = np.bincount(words, minlength=len(tokens.kinds))
-        seen = np.flatnonzero(n)
-        pairs, times = _summed(tokens.pair_keys[train], np.ones(len(words), np.uint64))
-        keys, counts = np.r_[tokens.word_keys[seen], pairs], np.r_[n[seen].astype(np.uint64), times]
-        segment = _segment(keys, segments)
-        order = np.lexsort((keys & _LOW, segment))
-        keys, counts, segment = (keys & _LOW)[order], counts[order], segment[order]
-        first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(segment) else np.empty(0, np.int64)
-        packs = [_pack(k, c) for k, c in zip(np.split(keys, first[1:]), np.split(counts, first[1:]))] if len(first) else []
-        none, m = [None] * len(packs), len(tokens.kinds)
-        return pa.table({
-            "token": pa.array(tokens.kinds + packs, pa.binary()), "block": pa.array([block] * m + none, pa.int64()),
-            "segment": pa.array([None] * m + segment[first].tolist(), pa.int64()), "n": pa.array(n.tolist() + [0] * len(packs), pa.int64()),
-        })
+def _unpack_numbers(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+COUNTED = "kind int, block long, segment long, data binary, n binary"
+#: Kinds of rows, all of a block: its tokens of a segment (joined by line ends) and their counts in training texts; its
+#: n-grams of a segment and their counts; its documents.
+TOKENS, NGRAMS, DOCUMENTS = 0, 1, 2
+_COUNTED = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("segment", pa.int64()), ("data", pa.binary()), ("n", pa.binary())])
+
+
+def _rows(kind: int, block: int, segment: list[int], data: list[bytes], n: list[bytes] | None = None) -> pa.RecordBatch:
+    m = len(data)
+    cols = [[kind] * m, [block] * m, segment, data, [None] * m if n is None else n]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _COUNTED)], schema=_COUNTED)
+
+
+def _packed_table(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _counted_block(t: pa.Table, block: int, segments: int) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    tokens = Tokens(t.column("text").to_pylist())
+    train = np.repeat(~np.array(t.column("held_out").to_pylist(), bool), tokens.sizes)
+    words = tokens.ids[train]  # of training texts
+    n = np.bincount(words, minlength=len(tokens.kinds))
+    yield _rows(DOCUMENTS, block, [0], [_packed_table(t)])
+    segment, order, cuts = tokens.dealt(segments)
+    parts = [[tokens.kinds[i] for i in at] for at in np.split(order, cuts)]
+    yield _rows(TOKENS, block, segment, [zstandard.compress(b"\n".join(p), 9) for p in parts], [_pack_numbers(x) for x in np.split(n[order], cuts)])
+    seen = np.flatnonzero(n)
+    pairs, times = _summed(tokens.pair_keys[train], np.ones(len(words), np.uint64))
+    keys, counts = np.r_[tokens.word_keys[seen], pairs], np.r_[n[seen].astype(np.uint64), times]
+    segment = _segment(keys, segments)
+    order = np.lexsort((keys & _LOW, segment))
+    keys, counts, segment = (keys & _LOW)[order], counts[order], segment[order]
+    if len(keys):
+        first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        packs = [_pack(k, c) for k, c in zip(np.split(keys, first[1:]), np.split(counts, first[1:]))]
+        yield _rows(NGRAMS, block, segment[first].tolist(), packs)
+
+
+def _counted(segments: int, block_bytes: int):
+    """mapInArrow over documents: they are cut into blocks as they come, and each block gives rows of all three kinds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, left = TaskContext.get().partitionId() << 32, None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                t = pa.Table.from_batches([b])
+                left = t if left is None else pa.concat_tables([left, t])
+            if left is None or not left.num_rows:
+                continue
+            ends = np.cumsum(pc.binary_length(left.column("text")).to_numpy())
+            start = 0
+            while start < len(ends):
+                size = ends - (ends[start - 1] if start else 0)
+                stop = max(start + 1, int(np.searchsorted(size, block_bytes, side="right")))
+                if stop >= len(ends) and b is not None:
+                    break  # the next batch may fill this block
+                yield from _counted_block(left.slice(start, stop - start), number, segments)
+                number, start = number + 1, stop
+            left = left.slice(start)
 
     return run
 
 
+KNOWN = "block long, segment long, c binary, total long, kinds long"
+
+
+def _known(t: pa.Table) -> pa.Table:
+    """Of a segment: for each block the counts, over all blocks, of its tokens in their order; and the segment's sums."""
+    import zstandard
+
+    counts: defaultdict[bytes, int] = defaultdict(int)
+    words = [zstandard.decompress(x.as_py()).split(b"\n") for x in t.column("data")]
+    for own, n in zip(words, t.column("n")):
+        for w, k in zip(own, _unpack_numbers(n.as_py()).tolist()):
+            counts[w] += k
+    packs = [_pack_numbers(np.fromiter(map(counts.__getitem__, own), np.uint64, len(own))) for own in words]
+    m, segment = len(words), t.column("segment")[0].as_py()
+    return pa.table({
+        "block": pa.array([*t.column("block").to_pylist(), None], pa.int64()), "segment": pa.array([segment] * (m + 1), pa.int64()), "c": pa.array([*packs, None], pa.binary()),
+        "total": pa.array([*[None] * m, sum(counts.values())], pa.int64()), "kinds": pa.array([*[None] * m, sum(k > 0 for k in counts.values())], pa.int64()),
+    })
+
+
 # ------------------------------------------------------------------ the filter
 
 def _places(low: np.ndarray, level: int, i: int, bits: int) -> np.ndarray:
@@ -149,7 +241,7 @@ def _filled(bits: int):
     """Of a segment's packed counts: the lowest level that it holds, and its bits."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py()) for x in t.column("token")]
+        parts = [_unpack(x.as_py()) for x in t.column("data")]
         keys, n = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
         levels, floor = _level(n), 1
         # k bits for each entry set half of the bits if there are ln(2) / k entries a bit
@@ -204,10 +296,13 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 def _scored(shared, total: int, kinds: int):
     mass = total + kinds + 1
 
-    def run(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
+    def run(pack: pa.Table, known: pa.Table) -> pa.Table:
+        docs = pa.ipc.open_stream(pack.column("data")[0].as_py()).read_all()
         tokens, model = Tokens(docs.column("text").to_pylist()), shared.value
-        known = dict(zip(dictionary.column("token").to_pylist(), dictionary.column("c").to_pylist()))
-        c = np.array([known[k] for k in tokens.kinds], np.float64)  # every token of a block is in its dictionary
+        # a segment answers for the block's tokens in their order
+        packs = [x for _, x in sorted(zip(known.column("segment").to_pylist(), known.column("c").to_pylist()))]
+        c = np.empty(len(tokens.kinds))
+        c[tokens.dealt(model.segments)[1]] = np.concatenate([_unpack_numbers(x) for x in packs])
         near = model(tokens.word_keys)
         single = (near + 1) / mass
         pairs, at = np.unique(tokens.pair_keys, return_inverse=True)
@@ -222,40 +317,35 @@ def _scored(shared, total: int, kinds: int):
             "base_score": pa.array(add(np.log10((c + 1) / mass)[tokens.ids]), pa.float64()), "score": pa.array(add(np.log10(chance)), pa.float64()),
         })
 
-    def whole(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({n: pa.array([], k) for n, k in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        return run(docs, dictionary)
-
-    return whole
+    return run
 
 
 def scored(docs: DataFrame, filter_bytes: int = FILTER_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of ``doc_id, text``."""
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select("doc_id", utf8(F.col("text")).alias("text"), (id_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
     segments = max(64, blocks)
     bits = max(64, filter_bytes // segments * 8)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     folder = f"{checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
 
-    counted = rows.select("text", (~F.col("held_out")).alias("train"), "block").groupBy("block").applyInArrow(_counted(segments), COUNTED)
-    counted.write.option("compression", "zstd").parquet(f"{folder}/counted")  # read three times
-    counted = spark.read.schema(COUNTED).parquet(f"{folder}/counted")
-    tokens = counted.where("block is not null").select("block", "token", "n")
-    tokens.groupBy("token").agg(F.sum("n").alias("c")).write.option("compression", "zstd").parquet(f"{folder}/vocabulary")
-    vocabulary = spark.read.schema("token binary, c long").parquet(f"{folder}/vocabulary")
-    total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    # the blocks are those that this table has: a task that runs again may cut others, but only one run's rows are in it
+    rows.select("doc_id", "text", "held_out").mapInArrow(_counted(segments, block_bytes), COUNTED).write.option("compression", "zstd").parquet(f"{folder}/counted")
+    counted = lambda kind: spark.read.schema(COUNTED).parquet(f"{folder}/counted").where(F.col("kind") == kind)
+    counted(TOKENS).drop("kind").groupBy("segment").applyInArrow(_known, KNOWN).write.option("compression", "zstd").parquet(f"{folder}/known")
+    known = spark.read.schema(KNOWN).parquet(f"{folder}/known")
+    total, kinds = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
 
-    packed = counted.where("segment is not null").select("segment", "token")
-    filled = packed.groupBy("segment").applyInArrow(_filled(bits), "segment long, floor long, bits binary")
+    packs = counted(NGRAMS).select("segment", "data")
+    filled = packs.groupBy("segment").applyInArrow(_filled(bits), "segment long, floor long, bits binary")
     # filter_bytes in all, and as much again while it is put together
     shared = spark.sparkContext.broadcast(CountFilter(segments, bits, filled.toLocalIterator()))
 
-    dictionary = tokens.select("block", "token").join(vocabulary, "token")
-    out = rows.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(_scored(shared, total, kinds), SCORED)
+    answers = known.where("block is not null").select("block", "segment", "c")
+    documents = counted(DOCUMENTS).select("block", "data")
+    out = documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(shared, total, kinds), SCORED)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

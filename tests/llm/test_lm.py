@@ -4,10 +4,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from seclog.llm.lm import KAPPA, CountFilter, Tokens, _filled, _level, _pack, _segment, _unpack, scored
-import pyarrow as pa
+from seclog.llm.lm import KAPPA, LOW_BITS, CountFilter, Tokens, _filled, _level, _pack, _segment, _unpack, scored
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -31,7 +31,7 @@ def test_scores_against_exact_counts(spark, sf, block):
 
 
 def test_packing():
-    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 40, 1000, dtype=np.uint64))
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << LOW_BITS, 1000, dtype=np.uint64))
     n = np.arange(1, len(keys) + 1, dtype=np.uint64) ** 3
     a, b = _unpack(_pack(keys, n))
     assert (a == keys).all() and (b == n).all()
@@ -46,8 +46,8 @@ def test_filter_levels_and_floor():
     for bits, floor in ((1 << 18, 1), (1 << 12, 4)):
         rows = []
         for s in range(4):
-            mine = np.argsort(keys[segment == s] & np.uint64((1 << 40) - 1))
-            pack = _pack((keys[segment == s] & np.uint64((1 << 40) - 1))[mine], n[segment == s][mine])
+            mine = np.argsort(keys[segment == s] & np.uint64((1 << LOW_BITS) - 1))
+            pack = _pack((keys[segment == s] & np.uint64((1 << LOW_BITS) - 1))[mine], n[segment == s][mine])
             t = _filled(bits)(pa.table({"segment": [s], "data": [pack]}))
             rows.append((s, t.column("floor")[0].as_py(), t.column("bits")[0].as_py()))
         f = CountFilter(4, bits, rows)
