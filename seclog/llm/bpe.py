@@ -14,6 +14,7 @@ each row's result depends on its own text alone; other columns are kept whatever
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from .common import table, utf8
+from .common import table, text_batches, utf8
 
-LEAF_BYTES = 32
-#: Distinct pieces that a worker remembers; the memory starts anew when it is full.
-CACHE_PIECES = 200_000
+LEAF_BYTES = 6
+#: Distinct chunks of text, and of leaves, seams and pairs each, that a worker remembers; a memory starts anew when it is full.
+CACHE_CHUNKS, CACHE_PARTS = 200_000, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,19 +39,51 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class _Known(dict):
+    """Results by argument."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, x):
+        if len(self) >= CACHE_PARTS:
+            self.clear()
+        out = self[x] = self.of(x)
+        return out
+
+
 class Codec:
     """Encodes pieces (byte strings) to ids by merge ranks, and ids to bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable = _Known(lambda ab: self._merge(self.token[ab[0]] + self.token[ab[1]]) == list(ab))
+        self._leaf = _Known(self._merge)
+        self._seam = _Known(lambda lr: self._merge(self.decode(lr[0] + lr[1])))
 
     def _merge(self, data: bytes) -> list[int]:
-        """Merges the pair of lowest rank, the leftmost of equals, until none is left. O(n log n)."""
+        """Merges the pair of lowest rank, the leftmost of equals, until none is left."""
+        return self._merge_short(data) if len(data) <= 24 else self._merge_long(data)
+
+    def _merge_short(self, data: bytes) -> list[int]:
+        """By looking at all pairs again after each merge."""
+        rank, none = self.ranks.get, len(self.ranks)
+        parts = [data[i : i + 1] for i in range(len(data))]
+        pairs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], none)
+        return [self.ranks[p] for p in parts]
+
+    def _merge_long(self, data: bytes) -> list[int]:
+        """By a heap of pairs: O(n log n)."""
         n, ranks = len(data), self.ranks
-        if n < 2:
-            return [ranks[data]] if n else []
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at i
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
         heapify(heap)
@@ -76,20 +109,16 @@ class Codec:
 
     def stable(self, a: int, b: int) -> bool:
         """Is [a, b] the encoding of its bytes?"""
-        if (known := self._stable.get((a, b))) is None:
-            if len(self._stable) > CACHE_PIECES:
-                self._stable.clear()
-            known = self._stable[a, b] = self._merge(self.token[a] + self.token[b]) == [a, b]
-        return known
+        return self._stable[a, b]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings."""
-        if not left or not right:
-            return left or right
+        if not left or not right or self.stable(left[-1], right[0]):
+            return left + right
         width = 1
         while True:
             a, b = max(0, len(left) - width), min(len(right), width)
-            seam = self._merge(self.decode(left[a:] + right[:b]))
+            seam = self._seam[tuple(left[a:]), tuple(right[:b])] if width < 8 else self._merge(self.decode(left[a:] + right[:b]))
             if (a == 0 or self.stable(left[a - 1], seam[0])) and (b == len(right) or self.stable(seam[-1], right[b])):
                 return left[:a] + seam + right[b:]
             width *= 2
@@ -98,11 +127,11 @@ class Codec:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
         if len(data) <= LEAF_BYTES:
-            return self._merge(data)
+            return self._leaf[data]
         half = len(data) // 2
         return self.join(self.encode(data[:half]), self.encode(data[half:]))
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
@@ -118,34 +147,47 @@ def _vocabulary(path: str) -> pa.Array:
     return pa.array([token.get(i) for i in range(max(token, default=-1) + 1)], pa.large_binary())
 
 
-class _Pieces(dict):
-    """Ids by piece, encoded on first use."""
+class _Chunks(dict):
+    """Ids by chunk of text, encoded on first use."""
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    def __init__(self, codec: Codec, pattern: str):
+        import regex
+
+        self.codec, self.split = codec, regex.compile(pattern).findall
+
+    def encoded(self, text: str) -> list[int]:
+        return [i for piece in self.split(text) for i in self.codec.encode(piece.encode("utf-8", "replace"))]
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_PIECES:
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        if len(self) >= CACHE_CHUNKS:
             self.clear()
-        out = self[piece] = tuple(self.codec.encode(piece.encode("utf-8", "replace")))
+        out = self[text] = tuple(self.encoded(text))
         return out
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> _Pieces:
-    return _Pieces(_codec(path))
+def _chunks(path: str, pattern: str) -> _Chunks:
+    return _Chunks(_codec(path), pattern)
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
-    """Text to ``array<int>`` of token ids. ``path``: a rank file that every worker can open."""
+def encode(text: Column, path: str, pattern: str, blanks: str = " \n") -> Column:
+    """Text to ``array<int>`` of token ids. ``path``: a rank file that every worker can open.
+
+    ``blanks``: characters at which matches of ``pattern`` may begin but not go on after others, so that the text
+    may be cut between a non-space and one of them, and what lies between two cuts be remembered. A text with other
+    white space is not cut. Empty: never cut.
+    """
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
-        import regex
-
-        split, known, out, ends = regex.compile(pattern).findall, _pieces(path), array("i"), [0]
+        known, out, ends = _chunks(path, pattern), array("i"), [0]
+        other, cut = re.compile(f"[^\\S{blanks}]").search, re.compile(f"[{blanks}]*[^{blanks}]+|[{blanks}]+").findall
         for t in texts:
-            out.extend(chain.from_iterable(map(known.__getitem__, split(t.as_py().decode("utf-8", "replace")))))
+            t = t.as_py().decode("utf-8", "replace")
+            if blanks and not other(t):
+                out.extend(chain.from_iterable(map(known.__getitem__, cut(t))))
+            else:
+                out.extend(known.encoded(t))
             ends.append(len(out))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(out, np.intc) if out else [], pa.int32()))
 
@@ -175,6 +217,7 @@ def decode(tokens: Column, path: str) -> Column:
 
 def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", tokens: str = "tokens") -> DataFrame:
     """``docs`` and a column of token ids."""
+    text_batches(docs.sparkSession)
     return docs.withColumn(tokens, encode(F.col(f"`{text}`"), path, pattern))
 
 
