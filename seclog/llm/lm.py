@@ -5,9 +5,10 @@ first word. Unigrams and bigrams of the training texts are counted over the whol
 level ``1 + floor(log2 c)``; the filter holds the n-gram once for each level up to its own, and a query probes
 level after level until one is missing. The estimate is the middle of the last level's range.
 
-The filter has a fixed number of bytes, whatever the corpus: it is broadcast. It is cut into segments by the
-n-gram's hash; each segment's task holds all counts of its n-grams and leaves out those below a floor, the
-smallest power of two at which at most half of its bits are set. A missing n-gram counts 0.
+The filter is cut into segments by the n-gram's hash and grows with the counted n-grams: a segment has
+``ENTRY_BITS`` bits for each of its entries, so no count is left out at any size of the corpus. It is never in one place: each
+segment's task holds its own part and answers each block of documents for the block's n-grams. An n-gram without a count
+counts 0, but for about one in 200 that the filter takes for seen.
 
 ``P(w | h) = (c(h, w) + KAPPA * P(w)) / (c(h) + KAPPA)`` and ``P(w) = (c(w) + 1) / (N + V + 1)``, all c from the
 filter, ``c(h, w)`` at most ``c(h)``. The base score has exact counts of single tokens: each block of documents asks
@@ -38,8 +39,11 @@ from .common import checkpoint_dir, id_fold, table, text_batches, utf8
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text that are counted and scored together.
 BLOCK_BYTES = 8 << 20
+#: Bytes of the whole filter at least, however few the entries.
 FILTER_BYTES = 16 << 20
 HASHES = 3
+#: Bits of the filter for each entry at least: a missing one is then found once in 200 times.
+ENTRY_BITS = 16
 KAPPA = 8.0
 #: No word holds a blank, so this is none.
 END = b" "
@@ -90,6 +94,14 @@ class Tokens:
         cuts = np.flatnonzero(segment[1:] != segment[:-1]) + 1
         return segment[np.r_[0, cuts]].tolist(), order, cuts
 
+    def grams(self, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the distinct tokens, then of the distinct pairs; their segments; their order by segment and low bits; and
+        for each position the number of its pair."""
+        pairs, at = np.unique(self.pair_keys, return_inverse=True)
+        keys = np.r_[self.word_keys, pairs]
+        segment = _segment(keys, segments)
+        return keys, segment, np.lexsort((keys & _LOW, segment)), at
+
 
 # ------------------------------------------------------------------ counting
 
@@ -138,7 +150,7 @@ def _unpack_numbers(data: bytes) -> np.ndarray:
 
 COUNTED = "kind int, block long, segment long, data binary, n binary"
 #: Kinds of rows, all of a block: its tokens of a segment (joined by line ends) and their counts in training texts; its
-#: n-grams of a segment and their counts; its documents.
+#: n-grams of a segment and their counts there (0: in held-out texts alone); its documents.
 TOKENS, NGRAMS, DOCUMENTS = 0, 1, 2
 _COUNTED = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("segment", pa.int64()), ("data", pa.binary()), ("n", pa.binary())])
 
@@ -167,16 +179,12 @@ def _counted_block(t: pa.Table, block: int, segments: int) -> Iterator[pa.Record
     segment, order, cuts = tokens.dealt(segments)
     parts = [[tokens.kinds[i] for i in at] for at in np.split(order, cuts)]
     yield _rows(TOKENS, block, segment, [zstandard.compress(b"\n".join(p), 9) for p in parts], [_pack_numbers(x) for x in np.split(n[order], cuts)])
-    seen = np.flatnonzero(n)
-    pairs, times = _summed(tokens.pair_keys[train], np.ones(len(words), np.uint64))
-    keys, counts = np.r_[tokens.word_keys[seen], pairs], np.r_[n[seen].astype(np.uint64), times]
-    segment = _segment(keys, segments)
-    order = np.lexsort((keys & _LOW, segment))
+    keys, segment, order, at = tokens.grams(segments)
+    counts = np.r_[n, np.bincount(at[train], minlength=len(keys) - len(n))].astype(np.uint64)
     keys, counts, segment = (keys & _LOW)[order], counts[order], segment[order]
-    if len(keys):
-        first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-        packs = [_pack(k, c) for k, c in zip(np.split(keys, first[1:]), np.split(counts, first[1:]))]
-        yield _rows(NGRAMS, block, segment[first].tolist(), packs)
+    first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+    packs = [_pack(k, c) for k, c in zip(np.split(keys, first[1:]), np.split(counts, first[1:]))]
+    yield _rows(NGRAMS, block, segment[first].tolist(), packs)
 
 
 def _counted(segments: int, block_bytes: int):
@@ -237,22 +245,28 @@ def _level(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(np.float64))[1].astype(np.int64)  # 1 + floor(log2 n)
 
 
+def _bits_set(keys: np.ndarray, n: np.ndarray, bits: int) -> tuple[int, bytes]:
+    """The lowest level that so many bits hold with half of them free, and the bits."""
+    levels, floor = _level(n), 1
+    # k bits for each entry set half of the bits if there are ln(2) / k entries a bit
+    while HASHES * np.maximum(levels - floor + 1, 0).sum() > bits * math.log(2):
+        floor += 1
+    out = np.zeros(bits, bool)
+    for level in range(floor, int(levels.max(initial=0)) + 1):
+        held = keys[levels >= level]
+        for i in range(HASHES):
+            out[_places(held, level, i, bits)] = True
+    return floor, np.packbits(out, bitorder="little").tobytes()
+
+
 def _filled(bits: int):
     """Of a segment's packed counts: the lowest level that it holds, and its bits."""
 
     def run(t: pa.Table) -> pa.Table:
         parts = [_unpack(x.as_py()) for x in t.column("data")]
         keys, n = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-        levels, floor = _level(n), 1
-        # k bits for each entry set half of the bits if there are ln(2) / k entries a bit
-        while HASHES * np.maximum(levels - floor + 1, 0).sum() > bits * math.log(2):
-            floor += 1
-        out = np.zeros(bits, bool)
-        for level in range(floor, int(levels.max(initial=0)) + 1):
-            held = keys[levels >= level]
-            for i in range(HASHES):
-                out[_places(held, level, i, bits)] = True
-        return pa.table({"segment": pa.array([t.column("segment")[0].as_py()], pa.int64()), "floor": pa.array([floor], pa.int64()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+        floor, data = _bits_set(keys, n, bits)
+        return pa.table({"segment": pa.array([t.column("segment")[0].as_py()], pa.int64()), "floor": pa.array([floor], pa.int64()), "bits": pa.array([data], pa.binary())})
 
     return run
 
@@ -268,6 +282,10 @@ class CountFilter:
             self.data[segment] = np.frombuffer(data, np.uint8)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
+        return _estimate(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The last level found; 0 for none."""
         segment, low = _segment(keys, self.segments), keys & _LOW
         base, flat = segment * (self.bits // 8), self.data.ravel()
         level = self.floor[segment] - 1  # of the last level found
@@ -284,8 +302,36 @@ class CountFilter:
             found = left[level[left] < 0]
             level[found] = -1 - level[found]
             left = found
-        none = level < self.floor[segment]
-        return np.where(none, 0.0, (np.exp2(level - 1.0) + np.exp2(level * 1.0) - 1) / 2)
+        return np.where(level < self.floor[segment], 0, level)
+
+
+def _estimate(level: np.ndarray) -> np.ndarray:
+    """The middle of each level's range."""
+    return np.where(level == 0, 0.0, (np.exp2(level - 1.0) + np.exp2(level * 1.0) - 1) / 2)
+
+
+ANSWERED = "block long, segment long, c binary"
+
+
+def _answered(least: int):
+    """Of a segment's packed counts: for each block the levels, found in the segment's filter, of its n-grams in their order."""
+
+    def run(t: pa.Table) -> pa.Table:
+        import zstandard
+
+        parts = [_unpack(x.as_py()) for x in t.column("data")]
+        sizes = [len(k) for k, _ in parts]
+        all_, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+        keys, counts = _summed(all_, n)
+        held = counts > 0
+        entries = int(_level(counts[held]).sum())
+        bits = max(least, math.ceil(entries * ENTRY_BITS / 8) * 8)  # enough for level 1, so the floor is 1
+        levels = CountFilter(1, bits, [(0, *_bits_set(keys[held], counts[held], bits))]).levels(keys).astype(np.uint8)
+        own = np.split(levels[np.searchsorted(keys, all_)], np.cumsum(sizes)[:-1])
+        packs = pa.array([zstandard.compress(x.tobytes(), 3) for x in own], pa.binary())
+        return pa.table({"block": t.column("block"), "segment": t.column("segment"), "c": packs})
+
+    return run
 
 
 # ------------------------------------------------------------------ scoring
@@ -293,21 +339,25 @@ class CountFilter:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(shared, total: int, kinds: int):
+def _scored(segments: int, total: int, kinds: int):
     mass = total + kinds + 1
 
     def run(pack: pa.Table, known: pa.Table) -> pa.Table:
+        import zstandard
+
         docs = pa.ipc.open_stream(pack.column("data")[0].as_py()).read_all()
-        tokens, model = Tokens(docs.column("text").to_pylist()), shared.value
-        # a segment answers for the block's tokens in their order
-        packs = [x for _, x in sorted(zip(known.column("segment").to_pylist(), known.column("c").to_pylist()))]
+        tokens = Tokens(docs.column("text").to_pylist())
+        # a segment answers for the block's tokens, and for its n-grams, in their order
+        packs = sorted(zip(known.column("kind").to_pylist(), known.column("segment").to_pylist(), known.column("c").to_pylist()))
         c = np.empty(len(tokens.kinds))
-        c[tokens.dealt(model.segments)[1]] = np.concatenate([_unpack_numbers(x) for x in packs])
-        near = model(tokens.word_keys)
+        c[tokens.dealt(segments)[1]] = np.concatenate([_unpack_numbers(x) for kind, _, x in packs if kind == TOKENS])
+        keys, _, order, at = tokens.grams(segments)
+        level = np.empty(len(keys), np.uint8)
+        level[order] = np.frombuffer(b"".join(zstandard.decompress(x) for kind, _, x in packs if kind == NGRAMS), np.uint8)
+        near, pairs = np.split(_estimate(level.astype(np.int64)), [len(tokens.kinds)])
         single = (near + 1) / mass
-        pairs, at = np.unique(tokens.pair_keys, return_inverse=True)
         context = near[tokens.before]
-        both = np.minimum(model(pairs)[at], context)
+        both = np.minimum(pairs[at], context)
         chance = np.minimum(1.0, (both + KAPPA * single[tokens.ids]) / (context + KAPPA))
         first = tokens.ends - tokens.sizes
         add = lambda x: np.add.reduceat(x, first)
@@ -328,7 +378,7 @@ def scored(docs: DataFrame, filter_bytes: int = FILTER_BYTES, block_bytes: int =
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
     segments = max(64, blocks)
-    bits = max(64, filter_bytes // segments * 8)
+    least = max(64, filter_bytes // segments * 8)
     folder = f"{checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
 
     # the blocks are those that this table has: a task that runs again may cut others, but only one run's rows are in it
@@ -338,14 +388,11 @@ def scored(docs: DataFrame, filter_bytes: int = FILTER_BYTES, block_bytes: int =
     known = spark.read.schema(KNOWN).parquet(f"{folder}/known")
     total, kinds = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
 
-    packs = counted(NGRAMS).select("segment", "data")
-    filled = packs.groupBy("segment").applyInArrow(_filled(bits), "segment long, floor long, bits binary")
-    # filter_bytes in all, and as much again while it is put together
-    shared = spark.sparkContext.broadcast(CountFilter(segments, bits, filled.toLocalIterator()))
-
-    answers = known.where("block is not null").select("block", "segment", "c")
+    levels = counted(NGRAMS).select("block", "segment", "data").groupBy("segment").applyInArrow(_answered(least), ANSWERED)
+    answers = known.where("block is not null").select(F.lit(TOKENS).alias("kind"), "block", "segment", "c")
+    answers = answers.unionByName(levels.select(F.lit(NGRAMS).alias("kind"), "block", "segment", "c"))
     documents = counted(DOCUMENTS).select("block", "data")
-    out = documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(shared, total, kinds), SCORED)
+    out = documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(segments, total, kinds), SCORED)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -65,3 +65,11 @@ def test_tokens():
     t = Tokens([b"A b\x0ba", b"", b"a"])
     assert t.sizes.tolist() == [4, 1, 2] and [t.kinds[i] for i in t.ids] == [b"a", b"b", b"a", b" ", b" ", b"a", b" "]
     assert [t.kinds[i] for i in t.before] == [b" ", b"a", b"b", b"a", b" ", b" ", b"a"]
+
+
+def test_a_small_filter_grows_with_its_entries(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    wide = {r.doc_id: r.score / r.n_tokens for r in scored(docs, filter_bytes=8 << 20).collect()}
+    small = {r.doc_id: r.score / r.n_tokens for r in scored(docs, filter_bytes=1 << 10).collect()}
+    far = np.array([small[i] - wide[i] for i in wide])
+    assert abs(far.mean()) < 0.01 and np.abs(far).max() < 0.2  # no count is left out
