@@ -7,9 +7,10 @@ the next shorter context, and at last 8 bits. The statistics are frozen after le
 its last three bytes only and a text's exact code length is a sum of table entries. The language
 with the shortest code wins (ties: the smaller name). ``score`` is its share ``1 / sum(2 ** (best - length))``.
 
-Learning reads at most ``train_bytes`` bytes in all, an equal part for each language, chosen by a hash of the
-row: that bounds the trees, which are broadcast. A null text or one without a letter is ``und`` with
-score 0, as is every text if nothing could be learnt. Repeated rows count each time in learning and get the same prediction.
+Learning reads at most ``train_bytes`` bytes in all, an equal part for each language: that bounds the trees, which
+are broadcast. What is read are pieces of texts, at most a 64th of the part long, drawn by a hash of text and offset, so
+every language that has bytes is learnt, however long its texts. A null text or one without a letter is ``und`` with
+score 0, as is every text if nothing could be learnt. Equal pieces count once in learning; repeated rows get the same prediction.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import types as T
 from .common import cut_lineage, fresh, id_fold, table, text_batches, utf8, with_small
 
 TRAIN_BYTES = 8 << 20
+#: Bytes of a piece of text at most, and pieces that a language's part holds at least.
+PIECE, PIECES = 4096, 64
 FOLDS = 5
 #: Stands before every text.
 PAD = b"\n\n\n"
@@ -183,13 +186,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(rows: DataFrame, train_bytes: int = TRAIN_BYTES) -> Trees | None:
     """Trees from ``lang, text`` (UTF-8 bytes); None if there are no bytes to learn from."""
     rows = rows.where("lang is not null and octet_length(text) > 0").withColumn("h", F.xxhash64("lang", "text"))
-    have = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumn("langs", F.count("*").over(W.partitionBy()))
+    texts = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("bytes"))  # copies once
+    have = texts.groupBy("lang").agg(F.sum("bytes").alias("bytes")).withColumn("langs", F.count("*").over(W.partitionBy()))
     part = F.lit(float(train_bytes)) / F.col("langs")
-    have = cut_lineage(have.select("lang", part.alias("part"), (part * 0.8 / F.col("bytes")).alias("rate")))
+    size = F.greatest(F.lit(1), F.least(F.lit(PIECE), F.floor(part / PIECES))).cast("int")
+    have = cut_lineage(have.select("lang", part.alias("part"), size.alias("size"), (part * 0.8 / F.col("bytes")).alias("rate")))
     # a uniform number from the hash; about 0.8 of the part is drawn, and what goes over the part is left out
-    near = with_small(rows, have, ["lang"], "inner").where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < F.col("rate"))
+    near = with_small(rows, have, ["lang"], "inner")
+    places = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / F.col("size")).cast("int"))
+    drawn_at = F.filter(places, lambda i: (F.shiftrightunsigned(F.xxhash64("h", i), 11) / F.lit(float(1 << 53))) < F.col("rate"))
+    pieces = near.select("lang", "part", "size", "h", "text", F.explode(drawn_at).alias("i"))
+    pieces = pieces.select("lang", "part", F.xxhash64("h", "i").alias("h"), F.substring("text", F.col("i") * F.col("size") + 1, F.col("size")).alias("text"))
+    pieces = pieces.groupBy("lang", "text").agg(F.min("h").alias("h"), F.max("part").alias("part"))
     upto = F.sum(F.octet_length("text")).over(W.partitionBy("lang").orderBy("h").rowsBetween(W.unboundedPreceding, 0))
-    drawn = near.withColumn("upto", upto).where(F.col("upto") <= F.col("part")).select("lang", "text")
+    drawn = pieces.withColumn("upto", upto).where(F.col("upto") <= F.col("part")).select("lang", "text")
     counts = drawn.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counts.toPandas()  # at most train_bytes rows
     return grow(found) if len(found) else None

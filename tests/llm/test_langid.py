@@ -77,3 +77,14 @@ def test_stage_keeps_learnt_languages(spark):
     out = keep_known(docs)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == set(range(60))
     assert {r.lang for r in keep_known(docs, ["de"]).collect()} == {"de"}
+
+
+def test_long_texts_and_copies_are_learnt(spark):
+    """A text longer than its language's part, and one with thousands of copies."""
+    long = [(x, " ".join(f"{x}{i * i % 9973}" for i in range(20_000))) for x in ("de", "fr")]
+    rows = [*long, *[("en", "the same words again " * 60)] * 3000, ("en", "some other words")]
+    texts = spark.createDataFrame(rows, "lang string, text string").select("lang", F.col("text").cast("binary").alias("text"))
+    trees = learn(texts, 20_000)
+    assert trees.langs == ["de", "en", "fr"] and len(trees.window_cost) <= 20_000
+    lengths = trees.lengths([b"the same words again", b"some other words", b"de1024 de4096", b"fr1024 fr4096"])
+    assert [trees.langs[k] for k in lengths.argmin(axis=1)] == ["en", "en", "de", "fr"]
