@@ -2,12 +2,57 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Callable, Hashable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage  # noqa: F401  (re-exported to the operators)
 
+#: Bytes that a worker may spend on what it remembers of earlier texts.
+REMEMBERED_BYTES = 16 << 20
+
+
+class Remembered(dict):
+    """Numbers of keys, and for each key some rows of whole numbers, made on first use and forgotten when they take too much.
+
+    ``make(key)`` gives ``columns`` lists of equal length. Numbers hold until the next :meth:`trim`.
+    """
+
+    def __init__(self, make: Callable[[Hashable], tuple[list[int], ...]], columns: int = 1, limit: int = REMEMBERED_BYTES):
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.columns, self.ends, self.held = [array("i") for _ in range(columns)], array("q", [0]), 0
+
+    def __missing__(self, key) -> int:
+        for column, values in zip(self.columns, self.make(key)):
+            column.extend(values)
+        self.ends.append(len(self.columns[0]))
+        size = len(key) if isinstance(key, (str, bytes)) else len(key[0])
+        # the key, its number and its place in the table; what is rare is long and wide
+        self.held += 200 + 4 * size + 4 * len(self.columns) * (self.ends[-1] - self.ends[-2])
+        out = self[key] = len(self.ends) - 2
+        return out
+
+    def trim(self) -> None:
+        """Starts anew if more than the limit is held."""
+        if self.held > self.limit:
+            self.clear()
+            self.columns, self.ends, self.held = [array("i") for _ in self.columns], array("q", [0]), 0
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """How many rows each number has, and the columns of all, in the order of ``numbers``."""
+        if not len(numbers):
+            return np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in self.columns]
+        ends = np.array(self.ends)
+        first, count = ends[numbers], ends[numbers + 1] - ends[numbers]
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return count, [np.array(c, np.int64)[at] if len(c) < len(at) else np.frombuffer(c, np.intc)[at].astype(np.int64) for c in self.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read by Spark (any path or store that Spark can read)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
