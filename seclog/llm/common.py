@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Hashable
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,44 +13,55 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, cut_lineage  # noqa: F401  (re-exported to the operators)
 
 #: Bytes that a worker may spend on what it remembers of earlier texts.
-REMEMBERED_BYTES = 16 << 20
+REMEMBERED_BYTES = 32 << 20
 
 
-class Remembered(dict):
-    """Numbers of keys, and for each key some rows of whole numbers, made on first use and forgotten when they take too much.
+class Remembered:
+    """Whole numbers by text, made on first use and forgotten when they take too much.
 
-    ``make(key)`` gives ``columns`` lists of equal length. Numbers hold until the next :meth:`trim`.
+    ``make(texts)`` gives how many numbers each text has, and the numbers of all. Of two generations the elder goes when
+    the younger holds half of ``limit`` bytes; what is used passes to the younger.
     """
 
-    def __init__(self, make: Callable[[Hashable], tuple[list[int], ...]], columns: int = 1, limit: int = REMEMBERED_BYTES):
-        super().__init__()
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = REMEMBERED_BYTES):
         self.make, self.limit = make, limit
-        self.columns, self.ends, self.held = [array("i") for _ in range(columns)], array("q", [0]), 0
-
-    def __missing__(self, key) -> int:
-        for column, values in zip(self.columns, self.make(key)):
-            column.extend(values)
-        self.ends.append(len(self.columns[0]))
-        size = len(key) if isinstance(key, (str, bytes)) else len(key[0])
-        # the key, its number and its place in the table; what is rare is long and wide
-        self.held += 200 + 4 * size + 4 * len(self.columns) * (self.ends[-1] - self.ends[-2])
-        out = self[key] = len(self.ends) - 2
-        return out
-
-    def trim(self) -> None:
-        """Starts anew if more than the limit is held."""
-        if self.held > self.limit:
-            self.clear()
-            self.columns, self.ends, self.held = [array("i") for _ in self.columns], array("q", [0]), 0
-
-    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """How many rows each number has, and the columns of all, in the order of ``numbers``."""
-        if not len(numbers):
-            return np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in self.columns]
-        ends = np.array(self.ends)
-        first, count = ends[numbers], ends[numbers + 1] - ends[numbers]
-        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return count, [np.array(c, np.int64)[at] if len(c) < len(at) else np.frombuffer(c, np.intc)[at].astype(np.int64) for c in self.columns]
+        self._begin()
+        self._elder = self._place, self._ends, self._values
+
+    def _begin(self) -> None:
+        self._place: dict[str, int] = {}
+        self._ends, self._values, self.held = array("q", [0]), array("i"), 0
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What ``make`` gives for these texts."""
+        if self.held > self.limit // 2:
+            self._elder = self._place, self._ends, self._values
+            self._begin()
+        if new := set(texts).difference(self._place):
+            elder, *rows = self._elder
+            old = [t for t in new if t in elder]
+            self._add(old, *_rows(*rows, np.fromiter(map(elder.__getitem__, old), np.int64, len(old))))
+            fresh = [t for t in new if t not in elder]
+            self._add(fresh, *self.make(fresh))
+        return _rows(self._ends, self._values, np.fromiter(map(self._place.__getitem__, texts), np.int64, len(texts)))
+
+    def _add(self, texts: list[str], counts: np.ndarray, values: np.ndarray) -> None:
+        first = len(self._ends) - 1
+        self._place.update(zip(texts, range(first, first + len(texts))))
+        self._ends.frombytes((self._ends[-1] + np.cumsum(counts, dtype=np.int64)).tobytes())
+        self._values.frombytes(np.asarray(values).astype(np.intc).tobytes())
+        # a text, its number and its place in the table, and what was made of it
+        self.held += 200 * len(texts) + 2 * sum(map(len, texts)) + 4 * len(values)
+
+
+def _rows(ends: array, values: array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and values of the runs with these numbers, one after the other."""
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.intc)
+    end = np.frombuffer(ends, np.int64)
+    first, count = end[at], end[at + 1] - end[at]
+    flat = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return count, np.frombuffer(values, np.intc)[flat] if len(values) else np.zeros(0, np.intc)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +69,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets Arrow batches of this session hold at most so many rows: whole texts are long, and the default of ten
-    thousand would take a worker's memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def text_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Lets Arrow batches of this session hold at most so many rows and bytes: whole texts are long, and the defaults of ten
+    thousand rows and 64 MiB would take a worker's memory. Spark reads these settings when it plans a job, so they stay
+    set; smaller ones are left alone, and results do not depend on them."""
+    for name, most, unit in (("maxRecordsPerBatch", rows, ""), ("maxBytesPerBatch", size, "b")):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, f"{most}{unit}")
 
 
 def id_fold(key: Column, folds: int) -> Column:

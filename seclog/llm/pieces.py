@@ -7,9 +7,8 @@ repeated blanks. The normalised characters are merged by the pieces' scores, and
 recorded offsets to the bytes of the source that it stands for. Characters that no piece has become byte pieces: the last
 of them spans the character, those before it nothing.
 
-No piece holds a blank sign after another character, so a text may be cut in front of blanks, and in any place whose two
-neighbours stand side by side in no piece; what lies between two cuts is encoded by itself and remembered within a bound of
-bytes. A null text counts as empty: no pieces. Repeated rows and ties need no rule, since a row's result depends on its own
+No piece holds a blank sign after another character, so a text may be cut in front of blanks; what lies between two cuts is
+encoded by itself and remembered within a bound of bytes. A null text counts as empty: no pieces. Repeated rows and ties need no rule, since a row's result depends on its own
 text alone; other columns are kept whatever their names, and an empty table gives an empty result. Bytes that are not
 UTF-8 count as U+FFFD. Models with user-defined or unused pieces, or of another kind than BPE, are refused.
 """
@@ -28,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, table, utf8
+from .common import Remembered, table, text_batches, utf8
+from .merging import Merges, splits
 
 BLANK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Characters of a run that is merged along with others.
+LONG = 64
 SPAN = "array<struct<id:int,begin:int,end:int>>"
 
 
@@ -144,55 +146,69 @@ class Model:
         self.unknown = self.kind.index(UNKNOWN)
         self.byte = [i for i, k in enumerate(self.kind) if k == BYTE] if trainer.get(35) else []
         self.unknown_text = trainer.get(44, " ⁇ ".encode()).decode()
-        # neighbours inside some piece; nothing merges across other pairs
-        self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        if any(a_b[1] == BLANK != a_b[0] for a_b in self.pairs):
+        self.id = {p: i for p, (_, i) in self.score.items()}
+        self._ready()
+        # characters and bytes of what each piece stands for, once its blanks are blanks; byte pieces: see ``taken``
+        kind = np.array(self.kind)
+        self.chars = np.where(kind == NORMAL, [len(p) for p in self.piece], 1)
+        self.bytes = np.where(kind == NORMAL, [len(p.replace(BLANK, " ").encode()) for p in self.piece], 1)
+        self.code = np.array([int(p[3:5], 16) if k == BYTE else -1 for p, k in zip(self.piece, self.kind)])
+        if any(BLANK in p.lstrip(BLANK) for p in self.score):
             raise ValueError("a piece goes on over a blank")
         self.plain = not self.normalise.trie and not self.normalise.remove_extra and self.normalise.blank == BLANK
 
     # -------------------------------------------------------------- merging
 
-    def pieces(self, chars: str) -> list[tuple[int, int]]:
-        """Normalised characters as (id, characters), in order; byte pieces before a character's last have none."""
-        out, start = [], 0
-        if len(chars) > 16:
-            for i in range(1, len(chars)):
-                if chars[i - 1 : i + 1] not in self.pairs:
-                    out += self._merged(chars[start:i])
-                    start = i
-        return out + self._merged(chars[start:])
-
-    def _merged(self, chars: str) -> list[tuple[int, int]]:
-        if (whole := self.score.get(chars)) is not None and len(chars) == 1:
-            return [(whole[1], 1)]
-        out = []
-        for part in self._short(chars) if len(chars) <= 24 else self._long(chars):
-            if (known := self.score.get(part)) is not None:
-                out.append((known[1], len(part)))
-            elif self.byte:
-                codes = part.encode()
-                out += [(self.byte[c], 0) for c in codes[:-1]] + [(self.byte[codes[-1]], 1)]
-            else:
-                out.append((self.unknown, len(part)))
+    def _ready(self) -> None:
+        """What two neighbours merge to and when; symbols of single characters by code point (unknown ones are beyond the ids)."""
+        rank = {s: r for r, s in enumerate(sorted({s for s, _ in self.score.values()}))}
+        of = {i: rank[s] for s, i in self.score.values()}
+        self.merges = Merges(splits(self.id, of.__getitem__), len(self.piece) + 0x110000)
+        self._char = np.arange(len(self.piece), len(self.piece) + 0x110000, dtype=np.int32)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self._char[ord(p)] = i
+
+    def pieces(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many pieces each run of normalised characters has, and the ids of all. Runs of over ``LONG`` characters are
+        merged one by one, the others at the same time."""
+        size = np.array([len(c) if len(c) <= LONG else 0 for c in chunks], np.int64)
+        text = "".join(c for c in chunks if len(c) <= LONG)
+        ids, run = self.merges(self._char[np.frombuffer(text.encode("utf-32-le"), np.uint32)], np.repeat(np.arange(len(chunks)), size))
+        parts, where = [ids], [run]
+        for k, c in enumerate(chunks):
+            if len(c) > LONG:
+                parts.append(np.array([self.id[p] if p in self.id else self._char[ord(p)] for p in self._long(c)], np.int32))
+                where.append(np.full(len(parts[-1]), k))
+        ids, run = np.concatenate(parts), np.concatenate(where)
+        if len(parts) > 1:
+            by = np.argsort(run, kind="stable")
+            ids, run = ids[by], run[by]
+        odd = ids >= len(self.piece)  # a character that no piece has
+        if odd.any():
+            codes = [self._unknown(chr(c)) for c in (ids[odd] - len(self.piece)).tolist()]
+            count = np.ones(len(ids), np.int64)
+            count[odd] = list(map(len, codes))
+            ids, run, odd = np.repeat(ids, count), np.repeat(run, count), np.repeat(odd, count)
+            ids[odd] = [i for c in codes for i in c]
+        return np.bincount(run, minlength=len(chunks)), ids
+
+    def _unknown(self, char: str) -> list[int]:
+        """Byte pieces if there are any."""
+        return [self.byte[c] for c in char.encode()] if self.byte else [self.unknown]
+
+    def taken(self, ids: np.ndarray, sizes: np.ndarray, of_bytes: bool) -> np.ndarray:
+        """What each piece takes, by ``sizes`` of ids; of a character's byte pieces the last takes all, the others nothing."""
+        out, code = sizes[ids], self.code[ids]
+        lead = np.flatnonzero((code >= 0) & (code & 0xC0 != 0x80))
+        if len(lead):
+            out[code >= 0] = 0
+            size = np.array([1, 2, 3, 4])[(code[lead] >= 0xC0).astype(int) + (code[lead] >= 0xE0) + (code[lead] >= 0xF0)]
+            out[lead + size - 1] = size if of_bytes else 1
         return out
 
-    def _short(self, chars: str) -> list[str]:
-        """Merges the pair of best score, the leftmost of equals, until none is left, looking at all pairs each time."""
-        score, none = self.score.get, (float("inf"), 0)
-        parts = list(chars)
-        pairs = [score(chars[i : i + 2], none)[0] for i in range(len(chars) - 1)]
-        while pairs and (best := min(pairs)) != none[0]:
-            i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = score(parts[i - 1] + parts[i], none)[0]
-            if i < len(pairs):
-                pairs[i] = score(parts[i] + parts[i + 1], none)[0]
-        return parts
-
     def _long(self, chars: str) -> list[str]:
-        """The same by a heap of pairs: O(n log n)."""
+        """The pieces of a long run, by a heap of pairs: O(n log n)."""
         n, score = len(chars), self.score
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at i
         heap = [(s[0], i, i + 2) for i in range(n - 1) if (s := score.get(chars[i : i + 2])) is not None]
@@ -269,52 +285,42 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model = model(path)
-        self.known = Remembered(self._spans if self.model.plain else self._sizes, columns=2)
-        self.cut = re.compile(f"[ {BLANK}]*[^ {BLANK}]+|[ {BLANK}]+").findall
-
-    def _sizes(self, chars: str) -> tuple[list[int], list[int]]:
-        """Ids, and how many normalised characters each takes."""
-        found = self.model.pieces(chars)
-        return [i for i, _ in found], [n for _, n in found]
-
-    def _spans(self, chunk: str | tuple[str]) -> tuple[list[int], list[int]]:
-        """Ids, and how many bytes of the source each takes, of a chunk whose characters all stay but for blanks. In a
-        tuple: the first one of a text, with the blank in front, which takes none."""
-        first = isinstance(chunk, tuple) and self.model.normalise.dummy_prefix
-        chunk = chunk[0] if isinstance(chunk, tuple) else chunk
-        size = [0] * first + [len(c.encode()) for c in chunk]
-        ids, chars = self._sizes(BLANK * first + chunk.replace(" ", BLANK))
-        out, at = [], 0
-        for n in chars:
-            out.append(sum(size[at : at + n]))
-            at += n
-        return ids, out
+        self.known = Remembered(self.model.pieces)
+        self.cut = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """How many pieces each text has, and all pieces' ids, begins and ends."""
-        known, numbers, chunks, sources = self.known, [], [], []
-        known.trim()
-        for t in texts:
-            if self.model.plain:
-                parts = self.cut(t)
-                if parts:
-                    parts[0] = (parts[0],)
+        m, parts, chunks, sources = self.model, [], [], {}
+        for k, t in enumerate(texts):
+            # the source of a text whose characters all stay follows from its pieces; others record it
+            if m.plain and BLANK not in t:
+                chars = (BLANK if m.normalise.dummy_prefix and t else "") + t.replace(" ", BLANK)
             else:
-                chars, source = self.model.normalise(t)
-                parts = self.cut(chars)
-                sources.append(source)
-            chunks.append(len(parts))
-            numbers.extend(map(known.__getitem__, parts))
-        count, (ids, size) = known.gather(np.array(numbers, np.int64))
-        of = np.repeat(np.arange(len(texts)), chunks)
-        counts = np.bincount(of, count, len(texts)).astype(np.int64) if len(of) else np.zeros(len(texts), np.int64)
-        end = np.cumsum(size, dtype=np.int64)
-        first = np.repeat(np.cumsum(counts) - counts, counts)
-        before = np.concatenate([[0], end])[first]
-        begin, end = end - size - before, end - before
-        if sources:  # from normalised characters to bytes of the source
-            begin, end = ([s[i] for s, part in zip(sources, np.split(x, np.cumsum(counts)[:-1])) for i in part.tolist()] for x in (begin, end))
-        return counts, ids, np.asarray(begin, np.int64), np.asarray(end, np.int64)
+                chars, sources[k] = m.normalise(t)
+            cut = self.cut(chars)
+            chunks.append(len(cut))
+            parts += cut
+        count, ids = self.known(parts)
+        ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(chunks)]).astype(np.int64)]
+        counts = np.diff(ends)
+        size = m.taken(ids, m.bytes, True)
+        some = ends[:-1][counts > 0]
+        if m.normalise.dummy_prefix:
+            size[some] -= 1  # the blank in front is not in the text
+        begin, end = _running(size, ends)
+        if sources:
+            chars_begin, chars_end = _running(m.taken(ids, m.chars, False), ends)
+            for k, source in sources.items():
+                at, source = slice(ends[k], ends[k + 1]), np.array(source)
+                begin[at], end[at] = source[chars_begin[at]], source[chars_end[at]]
+        return counts, ids, begin, end
+
+
+def _running(size: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces of these sizes begin and end, in each run apart."""
+    end = np.concatenate([[0], np.cumsum(size)])
+    before = np.repeat(end[ends[:-1]], np.diff(ends))
+    return end[:-1] - before, end[1:] - before
 
 
 @lru_cache(maxsize=2)
@@ -342,8 +348,9 @@ def _groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
         yield out
 
 
-def _ends(counts: np.ndarray) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+def _span_lists(counts: np.ndarray, *columns: np.ndarray) -> pa.Array:
+    rows = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["id", "begin", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), rows)
 
 
 def encode(text: Column, path: str) -> Column:
@@ -352,10 +359,8 @@ def encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf(SPAN)
     def pieces(texts: pa.Array) -> pa.Array:
-        parts = [_encoder(path)(group) for group in _groups(texts)]
-        counts, *cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4)]
-        rows = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in cols], ["id", "begin", "end"])
-        return pa.ListArray.from_arrays(_ends(counts), rows)
+        parts = [_span_lists(*_encoder(path)(group)) for group in _groups(texts)]
+        return pa.concat_arrays(parts) if parts else _span_lists(*[np.zeros(0, np.int64)] * 4)
 
     return pieces(utf8(text))
 
@@ -397,19 +402,20 @@ def encode_decode(text: Column, path: str) -> Column:
 
     @F.arrow_udf(f"pieces {SPAN}, decoded string")
     def both(texts: pa.Array) -> pa.Array:
-        all_, back = [], []
+        parts, back = [], []
         for group in _groups(texts):
-            all_.append(part := _encoder(path)(group))
-            back += _decoded(path, part[0], part[1])
-        counts, *cols = [np.concatenate([p[k] for p in all_]) if all_ else np.zeros(0, np.int64) for k in range(4)]
-        rows = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in cols], ["id", "begin", "end"])
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(_ends(counts), rows), pa.array(back, pa.string())], ["pieces", "decoded"])
+            found = _encoder(path)(group)
+            parts.append(_span_lists(*found))
+            back += _decoded(path, *found[:2])
+        lists = pa.concat_arrays(parts) if parts else _span_lists(*[np.zeros(0, np.int64)] * 4)
+        return pa.StructArray.from_arrays([lists, pa.array(back, pa.string())], ["pieces", "decoded"])
 
     return both(utf8(text))
 
 
 def with_pieces(docs: DataFrame, path: str, text: str = "text", out: str = "pieces") -> DataFrame:
     """``docs`` and a column of pieces with their source spans."""
+    text_batches(docs.sparkSession)
     return docs.withColumn(out, encode(F.col(f"`{text}`"), path))
 
 
@@ -417,6 +423,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded and decoded again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
     import public_tokenizers as public
 
+    text_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = docs.select("doc_id", encode_decode(F.col("text"), public.path("piece_bpe_32k.model")).alias("both"))
     ids = F.col("both.pieces.id")

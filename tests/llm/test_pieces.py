@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as public
 import pytest
 import sentencepiece
@@ -57,8 +58,6 @@ def test_any_text(encoder, plain, text):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([0, 1, 2, 3, 130, 198, 162, 243, 259, 264, 300, 1233, 28705, 30575]), max_size=12))
 def test_any_ids_decode_as_the_plain_library(plain, ids):
-    import numpy as np
-
     want = plain.decode(ids)
     assert model(PATH).decode(ids) == want
     assert _decoded(PATH, np.array([len(ids)]), np.array(ids, np.int64)) == [want]
@@ -123,12 +122,21 @@ def test_remembered_within_its_bound(plain):
     small.known.limit = 20_000
     rng, most = random.Random(6), 0
     for _ in range(200):
-        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+        text = " ".join(f"w{rng.randrange(10**6)} the" for _ in range(30))
         assert [i for i, _, _ in one(small, text)] == plain.encode(text)
         most = max(most, small.known.held)
-    assert most < 20_000 + 30 * 400
-    rows = Remembered(lambda k: ([len(k)] * len(k),))
-    assert rows.gather([rows["ab"], rows["c"], rows["ab"]] and __import__("numpy").array([0, 1, 0]))[1][0].tolist() == [2, 2, 1, 2, 2]
+    assert most < 10_000 + 60 * 400
+    made = []
+
+    def make(texts):
+        made.extend(texts)
+        return np.array([len(t) for t in texts], np.int64), np.array([len(t) for t in texts for _ in t], np.int64)
+
+    rows = Remembered(make, limit=900)
+    for _ in range(3):
+        counts, values = rows(["ab", "c", "ab", ""])
+        assert counts.tolist() == [2, 1, 2, 0] and values.tolist() == [2, 2, 1, 2, 2]
+    assert sorted(made) == ["", "ab", "c"]  # passed on from one generation to the next
 
 
 def test_columns(spark, plain):
