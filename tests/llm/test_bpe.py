@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seclog.llm.bpe import Codec, _chunks, decode, encode, read_ranks
+from seclog.llm.bpe import Codec, _chunks, decode, encode, encode_decode, read_ranks
 from seclog.llm.queries import queries
 
 PATH = public.path("byte_bpe_50k.tiktoken")
@@ -58,7 +58,24 @@ def test_texts_as_the_plain_library_encodes_them(spark, plain):
 
 def test_uncut_texts_give_the_same(plain):
     text = "a  b\n\n c'd\n" * 3
-    assert _chunks(PATH, public.PATTERN).encoded(text) == plain.encode_ordinary(text)
+    for blanks in (" \n", ""):
+        counts, ids = _chunks(PATH, public.PATTERN, blanks)([text, "", text[:5]])
+        assert ids.tolist() == plain.encode_ordinary(text) + plain.encode_ordinary(text[:5]) and counts[1] == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=80), st.text("aeth r", max_size=60).map(str.encode)), max_size=12))
+def test_all_trees_at_a_time(codec, pieces):
+    counts, ids = codec.encode_all(pieces)
+    ends = counts.cumsum().tolist()
+    assert [ids[e - c : e].tolist() for e, c in zip(ends, counts.tolist())] == [codec.encode(p) if p else [] for p in pieces]
+
+
+def test_encode_and_decode_in_one_pass(spark, plain):
+    texts = ["Hello  world", "", None, " ", "é\U0001f9ff b\t", "word " * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in df.select("text", encode_decode(F.col("text"), PATH, public.PATTERN).alias("b")).collect():
+        assert r.b.tokens == plain.encode_ordinary(r.text or "") and bytes(r.b.decoded) == (r.text or "").encode()
 
 
 def test_query(spark, sf, plain):
