@@ -1,23 +1,25 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a number per text that grows as the text gets worse. Fixed cutoffs, loosest first, are tried
-on the labelled holdout: for each stratum, rule and cutoff, the number of good texts that it would reject is
-a binomial count. A cutoff is certified if the exact binomial tail ``P(X <= rejected | n, risk)`` is at most
-``delta`` divided by the number of strata and rules (Bonferroni over these; within a rule the cutoffs are
-tested in fixed order and the test stops at the first failure, which needs no further correction). Each
-rule has an equal part of the risk, so with probability ``1 - delta`` no stratum loses more than
-``risk`` of its good texts, all rules together. A rule whose loosest cutoff fails rejects nothing there.
-
-Only rows with a good label enter the counts; the cutoffs do not depend on the data. Strata are the
-values of a column (null is a stratum of its own). A stratum with too few labelled rows certifies nothing.
-A null text has no words and counts as empty. A document with several labels is good if any of them is 1;
-null labels count as none. Repeated rows count each time. No labels: only the base rules decide.
+Each rule is a number per text that grows as the text gets worse. The cutoffs form one fixed sequence (``SEQUENCE``): from
+a vector of cutoffs to the next, one rule gets one cutoff stricter, and a text is rejected if any of its values is over.
+On the labelled holdout the number of good texts that a vector would reject is a binomial count. For each stratum the
+vectors are tested in order: one is certified if the exact binomial tail ``P(X <= rejected | n, risk)`` is at most ``delta``
+divided by the number of strata (Bonferroni), and the test stops at the first failure, which needs no further
+correction. With probability ``1 - delta`` no stratum loses more than ``risk`` of its good texts, all rules together. A
+stratum needs ``ln(delta / strata) / ln(1 - risk)`` good texts at least (144 at four strata), else only the base rules decide.
+
+Only rows with a good label that the base rules pass enter the counts; the cutoffs do not depend on the data. Equal texts of a
+stratum count once, since copies are no independent trials. Strata are the values of a column (null is a stratum of its own).
+A null text has no words and counts as empty. A document with several labels is good if any of them is 1; null labels count as
+none. Repeated rows are judged alike. No labels, or an empty table: only the base rules decide. Other columns are kept whatever
+their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, fresh, table, text_batches, utf8, with_small
+from .common import checkpoint_dir, cut_lineage, fresh, table, text_batches, utf8, with_small
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -42,7 +44,13 @@ RULES = {
     "marked_words": ("n_marked / n_words", [0.9, 0.7, 0.5, 0.35, 0.25, 0.15]),
 }
 
+#: The order in which rules become strict, each through all its cutoffs before the next begins.
+ORDER = ["symbols_per_word", "marked_words", "dup_lines_per_100_words", "repeat_share"]
+#: (rule, cutoff) by step; the vector of a step has the last cutoff of each rule so far.
+SEQUENCE = [(list(RULES).index(name), cut) for name in ORDER for cut in RULES[name][1]]
+
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marked"]
+MEASURES = T.StructType([T.StructField(f, T.LongType()) for f in FEATURES])
 _MARKED = re.compile(rb"[!?#*$%&|<>]{2}(?=[\x20\x09-\x0D]|\Z)")
 
 
@@ -77,7 +85,7 @@ CONTINUATION = [bytes([b]) for b in range(0x80, 0xC0)]
 def features(text: Column) -> Column:
     """A struct of FEATURES (longs)."""
 
-    @F.arrow_udf(T.StructType([T.StructField(f, T.LongType()) for f in FEATURES]))
+    @F.arrow_udf(MEASURES)
     def counted(texts: pa.Array) -> pa.Array:
         rows = np.array([measures(t.as_py()) for t in texts], np.int64).reshape(-1, len(FEATURES))
         return pa.StructArray.from_arrays([pa.array(rows[:, i].copy()) for i in range(len(FEATURES))], FEATURES)
@@ -112,40 +120,42 @@ def _tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_tail(int(a), int(b), float(c)) for a, b, c in zip(k, n, p)], dtype="float64")
 
 
+def vector(step: int) -> list[float | None]:
+    """The cutoffs of a step, one for each rule (None: no cutoff yet)."""
+    out: list[float | None] = [None] * len(RULES)
+    for rule, cut in SEQUENCE[: step + 1]:
+        out[rule] = cut
+    return out
+
+
 def certified(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """``stratum, cutoffs``: an array with each rule's certified cutoff (null: none).
 
     ``good``: rows of the good holdout, columns ``stratum`` and ``values`` (an array with a value per rule).
-    Rows are counted by (stratum, rule, number of cutoffs passed), which is small whatever the input.
+    Rows are counted by (stratum, first step that rejects them), which is small whatever the input.
     """
-    grid = [c for _, c in RULES.values()]
-    # cutoffs run from loose to strict, so a value passes the first so many; a null value passes none
-    passed = [sum((F.when(F.col("values")[i] > c, 1).otherwise(0) for c in cuts), F.lit(0)) for i, cuts in enumerate(grid)]
-    counts = good.groupBy("stratum", *[p.alias(f"p{i}") for i, p in enumerate(passed)]).agg(F.count("*").alias("n"))
-    per_rule = counts.select("stratum", "n", F.posexplode(F.array(*[f"p{i}" for i in range(len(grid))])).alias("rule", "passed"))
-    per_rule = cut_lineage(per_rule.groupBy("stratum", "rule", "passed").agg(F.sum("n").alias("n")))
-    strata = per_rule.select("stratum").distinct().count()
-    level, part = delta / max(1, strata * len(RULES)), risk / len(RULES)
-    # one row for each cutoff: how many good rows it rejects, of how many; the first is passed by those alone that pass all
-    cuts, sizes = F.array(*[F.sequence(F.lit(1), F.lit(len(c))) for c in grid]), F.array(*[F.lit(len(c)) for c in grid])
-    tried = per_rule.select("stratum", "rule", "passed", "n", F.explode(cuts[F.col("rule")]).alias("nth"))
-    tried = tried.groupBy("stratum", "rule", "nth").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("passed") > sizes[F.col("rule")] - F.col("nth"), F.col("n")).otherwise(0)).alias("k"))
+    never = len(SEQUENCE)
+    # steps grow stricter, so what a step rejects all later ones do; a null value is never over
+    first = F.least(*[F.when(F.col("values")[rule] > cut, step).otherwise(never) for step, (rule, cut) in enumerate(SEQUENCE)])
+    counts = cut_lineage(good.groupBy("stratum", first.alias("first")).agg(F.count("*").alias("n")))
+    level = delta / max(1, counts.select("stratum").distinct().count())
+    tried = counts.select("stratum", "first", "n", F.explode(F.sequence(F.lit(0), F.lit(never - 1))).alias("step"))
+    tried = tried.groupBy("stratum", "step").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("first") <= F.col("step"), F.col("n")).otherwise(0)).alias("k"))
     # a count far over its mean cannot be certified, so its tail needs no summing
-    mean = F.col("n") * part
-    tried = tried.withColumn("p", _tail(F.when(F.col("k") <= mean, F.col("k")).otherwise(F.col("n")), F.col("n"), F.lit(part)))
-    failed = F.max((F.col("p") > level).cast("int")).over(W.partitionBy("stratum", "rule").orderBy("nth"))
-    best = tried.withColumn("failed", failed).where("failed = 0").groupBy("stratum", "rule").agg(F.max("nth").alias("nth"))
-    cut_of = F.array(*[F.array(*map(F.lit, c)) for c in grid])
-    wide = best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == i, cut_of[i][F.col("nth") - 1])).alias(f"c{i}") for i in range(len(grid))])
-    return cut_lineage(wide.select("stratum", F.array(*[f"c{i}" for i in range(len(grid))]).alias("cutoffs")))
+    mean = F.col("n") * risk
+    tried = tried.withColumn("p", _tail(F.when(F.col("k") <= mean, F.col("k")).otherwise(F.col("n")), F.col("n"), F.lit(risk)))
+    failed = F.max((F.col("p") > level).cast("int")).over(W.partitionBy("stratum").orderBy("step"))
+    best = tried.withColumn("failed", failed).where("failed = 0").groupBy("stratum").agg(F.max("step").alias("step"))
+    vectors = F.array(*[F.array(*[F.lit(c).cast("double") for c in vector(step)]) for step in range(never)])
+    return cut_lineage(best.select("stratum", vectors[F.col("step")].alias("cutoffs")))
 
 
-def labelled_good(measured: DataFrame, labels: DataFrame, f: str, doc_id: str, stratum: str) -> DataFrame:
-    """The good rows of the holdout: ``stratum, values``."""
+def labelled_good(measured: DataFrame, labels: DataFrame, f: str, digest: str, doc_id: str, stratum: str) -> DataFrame:
+    """The good rows of the holdout, equal texts of a stratum once: ``stratum, values``."""
     good = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__q")).where("__q = 1")
     held = measured.join(good, F.col(f"`{doc_id}`") == F.col("__id"), "left_semi")
     held = held.where(~base_failed(F.col(f"`{f}`.n_words"), F.col(f"`{f}`.n_repeat_words")))  # what the base rejects is not the method's
-    return held.select(F.struct(F.col(f"`{stratum}`").alias("of")).alias("stratum"), F.array(*rule_values(f)).alias("values"))
+    return held.select(F.struct(F.col(f"`{stratum}`").alias("of")).alias("stratum"), F.col(f"`{digest}`").alias("digest"), F.array(*rule_values(f)).alias("values")).distinct()
 
 
 def judged(measured: DataFrame, cutoffs: DataFrame, f: str, stratum: str, kept: str) -> DataFrame:
@@ -161,13 +171,14 @@ def judged(measured: DataFrame, cutoffs: DataFrame, f: str, stratum: str, kept:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Two passes over the texts and no shuffle of them."""
-    text_batches(docs.sparkSession)
-    f, kept = fresh(docs, "measures"), fresh(docs, "kept")
-    measured = cut_lineage(docs.select(f"`{doc_id}`", f"`{stratum}`", features(F.col(f"`{text}`")).alias(f)))
-    cutoffs = certified(labelled_good(measured, labels, f, doc_id, stratum), risk, delta)
-    again = docs.withColumn(f, features(F.col(f"`{text}`")))
-    return judged(again, cutoffs, f, stratum, kept).where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that the rules keep. The texts are measured once, written with their measures, and not shuffled."""
+    spark, f, digest, kept = docs.sparkSession, fresh(docs, "measures"), fresh(docs, "digest"), fresh(docs, "kept")
+    text_batches(spark)
+    path = f"{checkpoint_dir(spark)}/quality-{uuid.uuid4().hex}"
+    docs.withColumns({f: features(F.col(f"`{text}`")), digest: F.md5(utf8(F.col(f"`{text}`")))}).write.parquet(path)
+    measured = spark.read.schema(T.StructType([*docs.schema.fields, T.StructField(f, MEASURES), T.StructField(digest, T.StringType())])).parquet(path)
+    cutoffs = certified(labelled_good(measured, labels, f, digest, doc_id, stratum), risk, delta)
+    return judged(measured, cutoffs, f, stratum, kept).where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,8 +186,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_repeat_words, base_failed, kept``."""
     text_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    measured = cut_lineage(docs.select("doc_id", "lang", features(F.col("text")).alias("m")))
-    cutoffs = certified(labelled_good(measured, table(spark, sf_dir, "labels"), "m", "doc_id", "lang"))
+    measured = cut_lineage(docs.select("doc_id", "lang", features(F.col("text")).alias("m"), F.md5(utf8(F.col("text"))).alias("digest")))
+    cutoffs = certified(labelled_good(measured, table(spark, sf_dir, "labels"), "m", "digest", "doc_id", "lang"))
     out = judged(measured, cutoffs, "m", "lang", "kept")
     failed = base_failed(F.col("m.n_words"), F.col("m.n_repeat_words"))
     return out.select("doc_id", *[F.col(f"m.{c}") for c in FEATURES[:-1]], failed.alias("base_failed"), "kept")
@@ -184,28 +195,30 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     values = ", ".join(f"({i}, case when n_words > 0 then ({expr})::double end)" for i, (expr, _) in enumerate(RULES.values()))
-    cuts = ", ".join(f"({i}, {j + 1}, {c}::double)" for i, (_, grid) in enumerate(RULES.values()) for j, c in enumerate(grid))
+    steps = ", ".join(f"({step}, {rule}, {cut}::double)" for step, (rule, cut) in enumerate(SEQUENCE))
     tail = "least(1.0, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))))"
-    tail = f"case when n <= 0 or k >= n or k > n * {{p}} then 1.0 else {tail} end".replace("{p}", repr(RISK / len(RULES)))
+    tail = f"case when n <= 0 or k >= n or k > n * {{p}} then 1.0 else {tail} end".replace("{p}", repr(RISK))
     white = "[^\\x20\\x09-\\x0D]"
     return f"""
 with w as materialized (select doc_id, lang, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{white}+') ws, row_number() over () r from documents),
 g as (select r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] g from w, unnest(range(1, len(ws) - 1)) u(i)),
 rep as (select r, count(distinct i + o) n from (select r, i, count(*) over (partition by r, g) c from g), unnest(range(0, 3)) v(o) where c > 1 group by 1),
 dup as (select r, sum(c - 1) n from (select r, l, count(*) c from w, unnest(string_split(t, chr(10))) v(l) where regexp_matches(l, '{white}') group by all) group by 1),
-m as materialized (select w.doc_id, lang, len(ws)::bigint n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars,
+m as materialized (select w.doc_id, lang, t, len(ws)::bigint n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols, coalesce(dup.n, 0)::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words,
   len(list_filter(ws, lambda x: regexp_matches(x, '[!?#*$%&|<>]{{2}}$')))::bigint n_marked
   from w left join rep on rep.r = w.r left join dup on dup.r = w.r),
 j as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words base_failed from m),
-v as materialized (select doc_id, lang, base_failed, rule, x from j, (values {values}) q(rule, x)),
+v as materialized (select doc_id, lang, t, rule, x from j, (values {values}) q(rule, x) where not base_failed),
 q as (select doc_id from labels where quality is not null group by 1 having max(quality) = 1),
-good as (select v.* from v join q on q.doc_id = v.doc_id where not base_failed),
-cuts as (select * from (values {cuts}) c(rule, nth, cut)),
-t as (select lang, good.rule, nth, cut, count(*) n, count(*) filter (x > cut) k from good join cuts on cuts.rule = good.rule group by all),
+steps as (select * from (values {steps}) c(step, rule, cut)),
+good as (select lang, t, rule, max(x) x from v join q on q.doc_id = v.doc_id group by all),
+firsts as (select lang, t, coalesce(min(step) filter (x > cut), {len(SEQUENCE)}) first from good join steps on steps.rule = good.rule group by all),
+t as (select lang, step, count(*) n, count(*) filter (first <= step) k from firsts, (select distinct step from steps) group by all),
 p as (select *, {tail} p, count(distinct coalesce(lang, '') || (lang is null)) over () strata from t),
-o as (select *, max((p > {DELTA} / (strata * {len(RULES)}))::int) over (partition by lang, rule order by nth) failed from p),
-best as (select lang, rule, arg_max(cut, nth) cut from o where failed = 0 group by all),
+o as (select *, max((p > {DELTA} / strata)::int) over (partition by lang order by step) failed from p),
+last as (select lang, max(step) step from o where failed = 0 group by all),
+best as (select lang, rule, arg_max(cut, steps.step) cut from last join steps on steps.step <= last.step group by all),
 bad as (select j.doc_id, j.lang, bool_or(coalesce(x > cut, false)) bad from j, (values {values}) q(rule, x) left join best on best.rule = q.rule and best.lang is not distinct from j.lang group by all)
 select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not bad kept
 from j join bad on bad.doc_id = j.doc_id

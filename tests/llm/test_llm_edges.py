@@ -48,6 +48,14 @@ def empty(spark, tmp_path_factory):
     return d
 
 
+#: Names that the operators use themselves.
+CLASHES = {
+    "labels": "text lang n stratum values score row __q",
+    "pages": "host path rule verdict payload digest record_type row page doc_id text",
+    "embeddings": "vector x dim shard block row score rank query_id place component n key zone_pack",
+}
+
+
 def save(spark, d, docs, labels, pages, vectors):
     for name, data, kind in (
         ("documents", docs, DOCS),
@@ -55,10 +63,15 @@ def save(spark, d, docs, labels, pages, vectors):
         ("pages", pages, "page_id long, url string, html string"),
         ("embeddings", vectors, "vec_id long, embedding array<float>"),
     ):
-        spark.createDataFrame(data, kind).coalesce(2).write.parquet(f"{d}/{name}.parquet")
+        df = spark.createDataFrame(data, kind).coalesce(2)
+        if name == "embeddings":
+            df = df.withColumn("label", F.expr("if(vec_id < 2000, cast(vec_id % 3 as int), null)"))
+        for extra in CLASHES.get(name, "").split():
+            df = df.withColumn(extra, F.lit("x"))
+        df.write.parquet(f"{d}/{name}.parquet")
 
 
-PER_ROW = {"op1_simhash": "documents", "op2_warc": "pages", "op4_quality_rules": "documents", "op5_url_filter": "pages", "op6_bpe": "documents", "op7_langid": "documents", "op8_lm": "documents", "op9_mixing": "documents", "op10_classifier": "documents"}
+PER_ROW = {"op1_simhash": "documents", "op2_warc": "pages", "op4_quality_rules": "documents", "op5_url_filter": "pages", "op6_bpe": "documents", "op7_langid": "documents", "op8_lm": "documents", "op9_mixing": "documents", "op10_classifier": "documents", "op13_sentencepiece": "documents"}
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
@@ -83,6 +96,8 @@ def test_defined_results_of_odd_texts(spark, edge):
         assert one("op7_langid", i).lang_pred == "und" and one("op7_langid", i).score == 0.0
         assert one("op8_lm", i).n_tokens == 1
         assert one("op9_mixing", i).size == 0 and one("op9_mixing", i).taken == 0
+    pieces = {r.doc_id: r for r in queries()["op13_sentencepiece"](spark, edge).collect()}
+    assert pieces[1].n_tokens == pieces[2].n_tokens == pieces[None].n_tokens == 0 and pieces[4].n_tokens > 30_000
     assert one("op6_bpe", 1).n_tokens == 0 and one("op6_bpe", 1).ids_sha256 == one("op6_bpe", 2).decoded_sha256
     assert one("op7_langid", 6).lang_pred == "und"
     assert len({one("op10_classifier", i).score for i in (None, 1, 2, 3)}) == 1
@@ -101,6 +116,14 @@ def test_vectors_that_take_no_part(spark, edge):
         assert [(r.vec_id, r.score) for r in mine] == [(i, 0.0) for i in same[:10]]  # ties: smaller ids
 
 
+def test_vectors_in_the_new_operators(spark, edge):
+    rows = queries()["op11_hard_negatives"](spark, edge)
+    assert rows.count() > 0 and rows.where("anchor_id % 50 != 0 or negative_id = anchor_id or 50 * positive_score > 100 * negative_score").count() == 0
+    white = queries()["op12_whitening"](spark, edge).groupBy("vec_id").agg(F.count("*").alias("n")).collect()
+    # 300 vectors of three dimensions, the repeated id 0, the null id; null, empty, non-finite and lonely ones have none
+    assert {r.vec_id for r in white} == {*range(300), 600, None} and {r.vec_id: r.n for r in white}[5] == 3
+
+
 @pytest.mark.parametrize("at", ["empty", "edge"])
 def test_pipeline(spark, request, at):
     d = request.getfixturevalue(at)
