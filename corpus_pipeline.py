@@ -16,8 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seclog.llm.bpe import decode, with_tokens
-from seclog.llm.common import checkpoint_dir, fresh, table
+from seclog.llm.bpe import encode_decode
+from seclog.llm.common import checkpoint_dir, fresh, table, text_batches
 from seclog.llm.langid import keep_known
 from seclog.llm.mixing import mixed
 from seclog.llm.quality_rules import keep_good
@@ -50,10 +50,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, checked by decoding: ``doc_id, lang, source, n_tokens, tokens, round_trip``."""
     import public_tokenizers as public
 
-    path, at, back = public.path("byte_bpe_50k.tiktoken"), fresh(docs, "tokens"), fresh(docs, "back")
-    coded = with_tokens(docs, path, public.PATTERN, tokens=at).withColumn(back, decode(F.col(at), path))
-    same = F.col(back) == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "lang", "source", F.size(at).cast("long").alias("n_tokens"), F.col(at).alias("tokens"), same.alias("round_trip"))
+    path, both = public.path("byte_bpe_50k.tiktoken"), fresh(docs, "both")
+    text_batches(spark)
+    coded = docs.withColumn(both, encode_decode(F.col("text"), path, public.PATTERN))
+    ids, same = F.col(f"{both}.tokens"), F.col(f"{both}.decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return coded.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids.alias("tokens"), same.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Stage]] = [
