@@ -1,13 +1,12 @@
 """Indicator extraction as one array-valued column expression.
 
 For every pattern the text is scanned by ``regexp_extract_all`` (the pattern is
-a literal, so Spark compiles it once per task): once for the matches, once for
-the gaps in front of each match, and for a pattern with a value group once for
-that group. A single ``aggregate`` pass over the matches then derives each
-match position (sum of earlier gaps and matches, in code points like Python),
-trims the value, drops repeats of the lower-cased value (first wins), drops
-allow-listed domains and cuts the context window. The text travels inside the
-accumulator, so the lambda never re-evaluates an upstream expression.
+a literal, so Spark compiles it once per task): once for the matches and, if there
+are any, once for the gaps in front of them, and for a pattern with a value group
+once for that group. Gaps and matches are all of the text up to the last match, so a match's
+context is joined from its neighbours, without positions. Repeats of a lower-cased
+value (first wins) go by sorting, so a row with very many matches takes time in proportion
+to their number (times its logarithm).
 
 Cheap necessary-condition prefilters (``contains``) skip the regex work for
 texts that cannot match a pattern; they never change a result.
@@ -89,6 +88,37 @@ def _empty_iocs() -> Column:
     return F.array().cast(IOC_ARRAY)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _is_run(ioc_type: str, pattern: str) -> bool:
+    return ioc_type == "domain" and pattern == _DOMAIN_PATTERN
+
+
+def _found(x: Column, ioc_type: str, pattern: str, ignore_case: bool, group: int = 0) -> Column:
+    """The matches (or what a group of theirs holds) as an array."""
+    rx = F.lit(pattern_regex(DOMAIN_RUN if _is_run(ioc_type, pattern) else pattern, ignore_case))
+    pre, matches = _prefilter(ioc_type, x), F.regexp_extract_all(x, rx, F.lit(group))
+    return matches if pre is None else F.when(pre, matches).otherwise(F.array().cast("array<string>"))
+
+
+def _value(v: Column) -> Column:
+    return F.regexp_replace(strip_ws(v), F.lit("[" + rules.VALUE_RSTRIP_CHARS + r"]+\z"), F.lit(""))
+
+
+def type_keys(
+    x: Column, ioc_type: str, pattern: str, ignore_case: bool, group: int, drop_domains: Sequence[str] = tuple(rules.FALSE_POSITIVE_DOMAINS)
+) -> Column:
+    """``array<string>``: the distinct lower-cased values of :func:`type_iocs`, from one scan."""
+    values = _found(x, ioc_type, pattern, ignore_case, group)
+    if _is_run(ioc_type, pattern):
+        values = F.filter(F.transform(values, lambda m: F.regexp_extract(m, DOMAIN_IN_RUN, 0)), lambda v: v != "")
+    keys = F.array_distinct(F.transform(values, lambda v: F.lower(_value(v))))
+    return F.array_except(keys, F.array(*map(F.lit, drop_domains))) if ioc_type == "domain" and drop_domains else keys
+
+
 def type_iocs(
     x: Column,
     ioc_type: str,
@@ -97,73 +127,64 @@ def type_iocs(
     group: int,
     context: int = rules.CONTEXT_WINDOW,
     drop_domains: Sequence[str] = tuple(rules.FALSE_POSITIVE_DOMAINS),
-    window: tuple[Column, Column] | None = None,
+    around: tuple[Column, Column] | None = None,
 ) -> Column:
     """array<struct<type,value,confidence,context>> for one pattern, in match order.
 
-    ``window=(lo, hi)``: only matches that begin in ``[lo, hi)`` count (a padded block of a longer text).
+    ``around=(lead, trail)``: what stands before and after ``x`` in a longer text; it is only seen in contexts.
     """
-    run = ioc_type == "domain" and pattern == _DOMAIN_PATTERN
-    if run:
-        pattern = DOMAIN_RUN
-    rx = F.lit(pattern_regex(pattern, ignore_case))
-    pre = _prefilter(ioc_type, x)
-    matches = F.regexp_extract_all(x, rx, F.lit(0))
-    found = matches if pre is None else F.when(pre, matches).otherwise(F.array().cast("array<string>"))
+    run = _is_run(ioc_type, pattern)
+    lead, trail = around or (F.lit(""), F.lit(""))
+    # neighbours that surely make up a context: no match of the fixed patterns is under four characters
+    reach = context // 4 + 2 if (ioc_type, pattern, ignore_case, group) in rules.IOC_PATTERNS else context + 1
+    confidence = rules.HASH_CONFIDENCE if ioc_type in rules.HASH_TYPES else rules.DEFAULT_CONFIDENCE
+    left, right = (lambda c: F.left(c, F.lit(context))), (lambda c: F.right(c, F.lit(context)))
 
-    def located(ms: Column) -> Column:
-        gaps = F.regexp_extract_all(x, F.lit(gap_regex(pattern, ignore_case)), F.lit(1))
-        steps = F.zip_with(gaps, ms, lambda g, m: F.struct(g.alias("g"), m.alias("m"), m.alias("v")))
-        if group:
-            values = F.regexp_extract_all(x, rx, F.lit(group))
-            steps = F.zip_with(steps, values, lambda s, v: F.struct(s["g"].alias("g"), s["m"].alias("m"), v.alias("v")))
-        if run:
-            inner = lambda s: F.regexp_extract(s["m"], DOMAIN_IN_RUN, 0)
-            steps = F.transform(steps, lambda s: F.struct(s["g"].alias("g"), s["m"].alias("m"), inner(s).alias("v")))
-        return F.aggregate(steps, init, step, lambda acc: acc["out"])
+    def items(b: Column) -> Column:
+        """``key, i, value, context`` of each match."""
 
-    confidence = rules.HASH_CONFIDENCE if ioc_type in rules.HASH_TYPES else rules.DEFAULT_CONFIDENCE
-    drop = F.array(*[F.lit(d) for d in drop_domains]) if (ioc_type == "domain" and drop_domains) else None
-
-    init = F.struct(
-        x.alias("text"),
-        F.length(x).alias("n"),
-        F.lit(0).alias("end"),
-        F.array().cast(ArrayType(StringType())).alias("seen"),
-        _empty_iocs().alias("out"),
-    )
+        def item(s: Column, i: Column) -> Column:
+            inner = F.regexp_extract(s["m"], DOMAIN_IN_RUN, 0) if run else s["v"]
+            core = inner if run else s["m"]
+            before = F.concat(lead, F.array_join(F.slice(b["tails"], F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), ""), right(s["g"]))
+            after = F.concat(F.array_join(F.slice(b["heads"], i + 2, F.lit(reach)), ""), b["rest"], trail)
+            if run:
+                after = F.concat(F.substring(s["m"], F.length(inner) + 1, F.lit(context)), after)
+            around_ = F.concat(right(before), core, left(after))
+            value = _value(inner)
+            seen = F.struct(F.lower(value).alias("key"), i.alias("i"), value.alias("value"), strip_ws(F.replace(around_, F.lit("\n"), F.lit(" "))).alias("context"))
+            return F.when(inner != "", seen) if run else seen
 
-    def step(acc, s):
-        start = acc["end"] + F.length(s["g"])
-        stop = start + F.length(s["v"] if run else s["m"])
-        value = F.regexp_replace(strip_ws(s["v"]), F.lit("[" + rules.VALUE_RSTRIP_CHARS + r"]+\z"), F.lit(""))
-        key = F.lower(value)
-        keep = ~F.array_contains(acc["seen"], key)
-        if run:
-            keep = keep & (s["v"] != "")
-        if drop is not None:
-            keep = keep & ~F.array_contains(drop, key)
-        if window is not None:
-            keep = keep & (start >= window[0]) & (start < window[1])
-        lo = F.greatest(start - context, F.lit(0))
-        hi = F.least(stop + context, acc["n"])
-        ctx = strip_ws(F.replace(F.substring(acc["text"], lo + 1, hi - lo), F.lit("\n"), F.lit(" ")))
-        item = F.struct(
-            F.lit(ioc_type).alias("type"),
-            value.alias("value"),
-            F.lit(confidence).cast("double").alias("confidence"),
-            ctx.alias("context"),
-        )
-        return F.struct(
-            acc["text"].alias("text"),
-            acc["n"].alias("n"),
-            (start + F.length(s["m"])).alias("end"),
-            F.when(keep, F.concat(acc["seen"], F.array(key))).otherwise(acc["seen"]).alias("seen"),
-            F.when(keep, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"),
+        return F.array_compact(F.transform(b["steps"], item)) if run else F.transform(b["steps"], item)
+
+    def located(ms: Column) -> Column:
+        gaps = F.regexp_extract_all(x, F.lit(gap_regex(DOMAIN_RUN if run else pattern, ignore_case)), F.lit(1))
+        values = _found(x, ioc_type, pattern, ignore_case, group) if group else ms
+        steps = F.transform(F.arrays_zip(gaps.alias("g"), ms.alias("m"), values.alias("v")), lambda s: F.struct(s["g"].alias("g"), s["m"].alias("m"), s["v"].alias("v")))
+
+        def pieces(steps: Column) -> Column:
+            upto = F.aggregate(steps, F.lit(0), lambda n, s: n + F.length(s["g"]) + F.length(s["m"]))
+            return F.struct(
+                steps.alias("steps"),
+                F.transform(steps, lambda s: right(F.concat(right(s["g"]), right(s["m"])))).alias("tails"),
+                F.transform(steps, lambda s: left(F.concat(left(s["g"]), left(s["m"])))).alias("heads"),
+                F.substring(x, upto + 1, F.lit(context)).alias("rest"),
+            )
+
+        def firsts(ordered: Column) -> Column:
+            new = F.filter(ordered, lambda s, i: (i == 0) | (s["key"] != F.get(ordered, i - 1)["key"]))
+            if ioc_type == "domain" and drop_domains:
+                new = F.filter(new, lambda s: ~s["key"].isin(*drop_domains))
+            return F.array_sort(F.transform(new, lambda s: F.struct(s["i"].alias("i"), s["value"].alias("value"), s["context"].alias("context"))))
+
+        found = _bound(F.array_sort(_bound(_bound(steps, pieces), items)), firsts)
+        return F.transform(
+            found,
+            lambda s: F.struct(F.lit(ioc_type).alias("type"), s["value"].alias("value"), F.lit(confidence).cast("double").alias("confidence"), s["context"].alias("context")),
         )
 
     # the matches are bound once; the second scan, for the gaps, runs only where there are any
-    return F.get(F.transform(F.array(found), lambda ms: F.when(F.size(ms) > 0, located(ms)).otherwise(_empty_iocs())), F.lit(0))
+    return _bound(_found(x, ioc_type, pattern, ignore_case), lambda ms: F.when(F.size(ms) > 0, located(ms)).otherwise(_empty_iocs()))
 
 
 _DOMAIN_PATTERN = next(p for t, p, _, _ in rules.IOC_PATTERNS if t == "domain")
@@ -203,37 +224,48 @@ def select_patterns(types: Sequence[str] | None = None, patterns=None):
 _BUILT: dict = {}
 
 
+def _built(name: str | None, key: tuple, build) -> Column:
+    """An expression over named columns, built once per JVM and reused: building it costs thousands of driver→JVM calls,
+    its result only depends on the arguments, and an unresolved expression can be shared by any number of plans."""
+    if name is None:
+        return build()
+    from pyspark.sql import SparkSession
+
+    key = (SparkSession.active().sparkContext.applicationId, name, *key)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def iocs_from_decoded(
     x: Column | str,
     context: int = rules.CONTEXT_WINDOW,
     types: Sequence[str] | None = None,
     patterns=None,
     drop_domains: Sequence[str] = tuple(rules.FALSE_POSITIVE_DOMAINS),
-    window: tuple[str, str] | None = None,
+    around: tuple[str, str] | None = None,
 ) -> Column:
-    """All indicators of an already-decoded text: pattern order, then position.
+    """All indicators of an already-decoded text: pattern order, then position. ``around``: names of the columns with what
+    stands before and after the text."""
+    specs = [tuple(s) for s in select_patterns(types, patterns)]
+    col = F.col(x) if isinstance(x, str) else x
+    edges = None if around is None else (F.col(around[0]), F.col(around[1]))
 
-    Given a column *name*, the (large) expression is built once per JVM and
-    reused: building it costs thousands of driver→JVM calls, its result only
-    depends on the arguments, and an unresolved expression can be shared by
-    any number of plans.
-    """
-    specs = select_patterns(types, patterns)
-    key = None
-    if isinstance(x, str):
-        from pyspark.sql import SparkSession
-
-        app = SparkSession.active().sparkContext.applicationId
-        key = (app, x, context, tuple(map(tuple, specs)), tuple(drop_domains), window)
-        if key in _BUILT:
-            return _BUILT[key]
-        x = F.col(x)
-    edges = None if window is None else (F.col(window[0]), F.col(window[1]))
-    parts = [type_iocs(x, t, p, ic, g, context, drop_domains, edges) for (t, p, ic, g) in specs]
-    built = F.concat(*parts) if len(parts) > 1 else parts[0]
-    if key is not None:
-        _BUILT[key] = built
-    return built
+    def build() -> Column:
+        parts = [type_iocs(col, *s, context, drop_domains, edges) for s in specs]
+        return F.concat(*parts) if len(parts) != 1 else parts[0]
+
+    return _built(x if isinstance(x, str) else None, ("iocs", context, tuple(specs), tuple(drop_domains), around), build)
+
+
+def keys_from_decoded(x: str, types: Sequence[str] | None = None, patterns=None, drop_domains: Sequence[str] = tuple(rules.FALSE_POSITIVE_DOMAINS)) -> Column:
+    """``array<struct<type_ix,key>>``: the distinct (type, lower-cased value) of all indicators, without contexts."""
+    specs = [tuple(s) for s in select_patterns(types, patterns)]
+
+    def of(i: int, spec: tuple) -> Column:
+        return F.transform(type_keys(F.col(x), *spec, drop_domains), lambda k: F.struct(F.lit(i).alias("type_ix"), k.alias("key")))
+
+    return _built(x, ("keys", tuple(specs), tuple(drop_domains)), lambda: F.concat(*[of(i, s) for i, s in enumerate(specs)]))
 
 
 def is_blank(raw: Column) -> Column:

@@ -56,39 +56,36 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: A block ends after a line end if there is one among its characters, else after a blank, else where a run of
-#: non-blanks ends.
+def at_least_spread(df: DataFrame) -> DataFrame:
+    """:func:`spread` if the rows come in fewer partitions than it makes (a small table that one or two tasks read); a
+    large scan has enough tasks of its own and its texts stay where they are."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread(df) if df.rdd.getNumPartitions() < wanted else df
+
+
+#: A block ends after a line end if there is one among its characters, else after a blank, else after the blank that
+#: ends the run of non-blanks.
 _BLOCK = r"(?U)(?s:.{1,%d}+)\z|(?s:.{1,%d})(?<=\n)|(?s:.{1,%d})(?<=\s)|\S++(?s:.?)"
 
 
-def text_blocks(
-    df: DataFrame,
-    text_col: str,
-    keys: Sequence[str],
-    size: int = rules.ANALYSIS_CHUNK_SIZE,
-    before: int = rules.CONTEXT_WINDOW,
-    after: int = rules.BLOCK_AFTER,
-) -> DataFrame:
-    """Whole texts as rows ``keys…, block_ix, lo, hi, block``: consecutive pieces of about ``size`` characters, each
-    with up to ``before`` and ``after`` characters of its neighbours; the piece itself is ``[lo, hi)`` of ``block``.
+def text_blocks(text, size: int = rules.ANALYSIS_CHUNK_SIZE, around: int = rules.CONTEXT_WINDOW):
+    """A whole text as ``array<struct<block_ix, lead, block, trail>>``: consecutive pieces of about ``size`` characters, with up
+    to ``around`` characters of what stands before and after.
 
-    No piece ends inside a run of non-blanks, so only what crosses blanks can cross pieces. Linear in the text; a
-    piece is longer than ``size`` only if one run of non-blanks is.
+    Every piece ends after a blank, so nothing that has no blanks crosses pieces and none changes at their edges. Linear in
+    the text; a piece is longer than ``size`` only if one run of non-blanks is.
     """
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(_BLOCK % (size, size, size)), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(_BLOCK % (size, size, size)), F.lit(0))
     empty = F.lit("")
     # at most two short pieces come in a row, so three neighbours reach far enough
     near = lambda a, i, d: F.coalesce(F.get(a, i + d), empty)
 
-    def padded(a):
-        def one(x, i):
-            left = F.right(F.concat(*[near(a, i, d) for d in (-3, -2, -1)]), F.lit(before))
-            right = F.left(F.concat(*[near(a, i, d) for d in (1, 2, 3)]), F.lit(after))
-            return F.struct(i.alias("block_ix"), F.length(left).alias("lo"), (F.length(left) + F.length(x)).alias("hi"), F.concat(left, x, right).alias("block"))
-
-        return F.transform(a, one)
+    def one(a, x, i):
+        lead = F.right(F.concat(*[F.right(near(a, i, d), F.lit(around)) for d in (-3, -2, -1)]), F.lit(around))
+        trail = F.left(F.concat(*[F.left(near(a, i, d), F.lit(around)) for d in (1, 2, 3)]), F.lit(around))
+        return F.struct(i.alias("block_ix"), lead.alias("lead"), x.alias("block"), trail.alias("trail"))
 
-    return df.select(*[F.col(k) for k in keys], F.inline(F.flatten(F.transform(F.array(pieces), padded))))
+    return F.flatten(F.transform(F.array(pieces), lambda a: F.transform(a, lambda x, i: one(a, x, i))))
 
 
 def chunk_count(text, size: int = rules.ANALYSIS_CHUNK_SIZE, overlap: int = 0):

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.decode import with_decoded
-from ..functions.iocs import IOC_ARRAY, any_indicator, first_address, ioc_rows, is_blank, iocs_from_decoded
+from ..functions.iocs import IOC_ARRAY, any_indicator, first_address, ioc_rows, is_blank, iocs_from_decoded, keys_from_decoded, select_patterns
 from ..functions.text import keyword_hits
-from .chunking import spread, text_blocks
+from .chunking import at_least_spread, spread, text_blocks
 
 
 def extract_iocs(
@@ -65,6 +65,28 @@ def _extract(df, text_col, outs, decode, context=rules.CONTEXT_WINDOW, types=Non
     return staged.select(*keep, F.inline(F.array(F.struct(*fields))))
 
 
+#: The one type whose matches may hold blanks (a header, any white space, and part of a line).
+_WITH_BLANKS = "user_agent"
+
+
+def _whole_blocks(texts: DataFrame, keys: Sequence[str], text_col: str, decode: str, types: Sequence[str] | None, context: int, of_text) -> tuple[DataFrame, list[str]]:
+    """(blocks of the decoded texts, the types to look for in them). A text with a user-agent header has one block more, numbered
+    -1 and empty, with what ``of_text`` finds for that type in the whole text (column ``ready``; else empty)."""
+    wanted = [t for t, *_ in select_patterns(types)]
+    # few large splits would leave the decoding to a task or two
+    staged = with_decoded(at_least_spread(texts), text_col, "decoded", decode)
+    staged = staged.where(~is_blank(F.col(text_col))).select(*keys, "decoded")
+    blocks = text_blocks(F.col("decoded"), around=context)
+    if _WITH_BLANKS in wanted:
+        found = of_text("decoded", [_WITH_BLANKS])
+        kind = staged.select(found.alias("f")).schema["f"].dataType
+        empty = F.lit("")
+        blocks = F.transform(blocks, lambda b: F.struct(b["block_ix"].alias("block_ix"), b["lead"].alias("lead"), b["block"].alias("block"), b["trail"].alias("trail"), F.array().cast(kind).alias("ready")))
+        whole = F.transform(F.array(found), lambda f: F.struct(F.lit(-1).alias("block_ix"), empty.alias("lead"), empty.alias("block"), empty.alias("trail"), f.alias("ready")))
+        blocks = F.concat(F.filter(whole, lambda w: F.size(w["ready"]) > 0), blocks)
+    return spread(staged.select(*keys, F.inline(blocks))), [t for t in wanted if t != _WITH_BLANKS]
+
+
 def extract_whole(
     texts: DataFrame,
     keys: Sequence[str] = ("log_id",),
@@ -75,22 +97,32 @@ def extract_whole(
 ) -> DataFrame:
     """Indicators of whole texts of any length, as rows ``keys…, type_ix, block_ix, ioc_ix, type, value, confidence, context``.
 
-    The decoded text is cut into blocks that keep their neighbours' characters, the blocks are dealt evenly, and each is
-    searched by itself, so a giant text is the work of many tasks and costs time in proportion to its length. Of each
-    ``(type, lower(value))`` the first occurrence stays; list order is ``(type_ix, block_ix, ioc_ix)``. A user-agent
-    header is found as in the whole text unless its line is longer than a block and repeats the header within 200 characters.
+    The same rows as one search of the whole decoded text. It is cut after blanks into blocks that know what stands
+    around them, the blocks are dealt evenly, and each is searched by itself, so a giant text is the work of many tasks and costs
+    time in proportion to its length. Only user agents may hold blanks; they are looked for in the text before it is cut, which
+    for a text without their header is no work. Of each ``(type, lower(value))`` the first occurrence stays; list order
+    is ``(type_ix, block_ix, ioc_ix)``.
     """
-    staged = with_decoded(texts, text_col, "decoded", decode)
-    staged = staged.where(~is_blank(F.col(text_col))).select(*keys, "decoded")
-    blocks = spread(text_blocks(staged, "decoded", keys, before=max(context, rules.CONTEXT_WINDOW)))
-    found = blocks.select(*keys, "block_ix", F.inline(F.array(F.struct(iocs_from_decoded("block", context=context, types=types, window=("lo", "hi")).alias("iocs")))))
-    rows = found.select(*keys, "block_ix", ioc_rows(F.col("iocs")))
+    blocks, inside = _whole_blocks(texts, keys, text_col, decode, types, context, lambda x, t: iocs_from_decoded(x, context=context, types=t))
+    found = iocs_from_decoded("block", context=context, types=inside, around=("lead", "trail")) if inside else F.array().cast(IOC_ARRAY)
+    if "ready" in blocks.columns:
+        found = F.concat("ready", found)
+    rows = blocks.select(*keys, "block_ix", F.inline(F.array(F.struct(found.alias("iocs"))))).select(*keys, "block_ix", ioc_rows(F.col("iocs")))
     order = F.array(*[F.lit(t) for t, *_ in rules.IOC_PATTERNS])
     rows = rows.withColumn("type_ix", F.array_position(order, F.col("type")).cast("int") - 1)
     first = Window.partitionBy(*keys, "type", F.lower("value")).orderBy("block_ix", "ioc_ix")
     return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 
+def count_whole(texts: DataFrame, keys: Sequence[str] = ("log_id",), text_col: str = "text", decode: str = "reference", types: Sequence[str] | None = None) -> DataFrame:
+    """``keys…, total_iocs_found``: how many rows :func:`extract_whole` has for each text that has any. Only distinct (type,
+    value) are made and shuffled, no contexts."""
+    blocks, inside = _whole_blocks(texts, keys, text_col, decode, types, 0, lambda x, t: keys_from_decoded(x, types=t))
+    parts = ([keys_from_decoded("block", types=inside)] if inside else []) + ([F.transform("ready", lambda r: F.struct(F.lit(-1).alias("type_ix"), r["key"].alias("key")))] if "ready" in blocks.columns else [])
+    found = blocks.select(*keys, F.inline(F.concat(*parts))).distinct()
+    return found.groupBy(*keys).agg(F.count("*").alias("total_iocs_found"))
+
+
 def filter_chunks(
     chunks: DataFrame,
     text_col: str = "chunk",

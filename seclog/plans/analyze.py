@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..operators import kb
 from ..operators.chunking import chunk_count, chunk_text, spread
-from ..operators.funnel import cluster_events, cluster_ids, cluster_key, extract_whole, filter_chunks, merged_iocs, run_rows, run_summary, suspicious
+from ..operators.funnel import cluster_events, cluster_ids, cluster_key, count_whole, filter_chunks, merged_iocs, run_rows, run_summary, suspicious
 from ..operators.verdicts import attach_verdicts
 from ..session import cut_lineage
 from ..sources.logs import admit_logs, logs_from_files, read_logs
@@ -73,8 +73,8 @@ def summarize_logs(logs: DataFrame, decode: str = "reference", chunk_size: int =
 
 def extract_iocs_job(logs: DataFrame, decode: str = "reference") -> DataFrame:
     """Per whole log text the number of its indicators: ``log_id, total_iocs_found``, clean logs included.
-    The indicators themselves are the rows of :func:`extract_whole`."""
-    counts = extract_whole(logs, decode=decode).groupBy("log_id").agg(F.count("*").alias("total_iocs_found"))
+    The indicators themselves are the rows of :func:`..operators.funnel.extract_whole`."""
+    counts = count_whole(logs, decode=decode)
     return logs.select("log_id").join(counts, "log_id", "left").select("log_id", F.coalesce("total_iocs_found", F.lit(0)).cast("long").alias("total_iocs_found"))
 
 

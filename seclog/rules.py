@@ -52,10 +52,6 @@ DEFAULT_CONFIDENCE = 0.7
 # FIXED VALUES — context characters kept on each side of a match.
 CONTEXT_WINDOW = 80
 
-# Characters after a block of a whole text that its matches may need: the longest user-agent match after
-# its first blank (200 and its context), with room for the header's own blanks.
-BLOCK_AFTER = 400
-
 # FIXED VALUES — domain values dropped after extraction (exact, lower-case).
 FALSE_POSITIVE_DOMAINS = [
     "localhost", "example.com", "test.local", "internal.corp",
