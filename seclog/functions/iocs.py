@@ -125,18 +125,19 @@ def type_iocs(
     pattern: str,
     ignore_case: bool,
     group: int,
-    context: int = rules.CONTEXT_WINDOW,
+    context: int | None = rules.CONTEXT_WINDOW,
     drop_domains: Sequence[str] = tuple(rules.FALSE_POSITIVE_DOMAINS),
     around: tuple[Column, Column] | None = None,
 ) -> Column:
     """array<struct<type,value,confidence,context>> for one pattern, in match order.
 
     ``around=(lead, trail)``: what stands before and after ``x`` in a longer text; it is only seen in contexts.
+    ``context=None``: contexts are null and the text is scanned once.
     """
     run = _is_run(ioc_type, pattern)
     lead, trail = around or (F.lit(""), F.lit(""))
     # neighbours that surely make up a context: no match of the fixed patterns is under four characters
-    reach = context // 4 + 2 if (ioc_type, pattern, ignore_case, group) in rules.IOC_PATTERNS else context + 1
+    reach = (context or 0) // 4 + 2 if (ioc_type, pattern, ignore_case, group) in rules.IOC_PATTERNS else (context or 0) + 1
     confidence = rules.HASH_CONFIDENCE if ioc_type in rules.HASH_TYPES else rules.DEFAULT_CONFIDENCE
     left, right = (lambda c: F.left(c, F.lit(context))), (lambda c: F.right(c, F.lit(context)))
 
@@ -145,24 +146,31 @@ def type_iocs(
 
         def item(s: Column, i: Column) -> Column:
             inner = F.regexp_extract(s["m"], DOMAIN_IN_RUN, 0) if run else s["v"]
+            if context is None:
+                return seen_(inner, i, F.lit(None).cast("string"))
             core = inner if run else s["m"]
             before = F.concat(lead, F.array_join(F.slice(b["tails"], F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), ""), right(s["g"]))
             after = F.concat(F.array_join(F.slice(b["heads"], i + 2, F.lit(reach)), ""), b["rest"], trail)
             if run:
                 after = F.concat(F.substring(s["m"], F.length(inner) + 1, F.lit(context)), after)
             around_ = F.concat(right(before), core, left(after))
+            return seen_(inner, i, strip_ws(F.replace(around_, F.lit("\n"), F.lit(" "))))
+
+        def seen_(inner: Column, i: Column, text: Column) -> Column:
             value = _value(inner)
-            seen = F.struct(F.lower(value).alias("key"), i.alias("i"), value.alias("value"), strip_ws(F.replace(around_, F.lit("\n"), F.lit(" "))).alias("context"))
+            seen = F.struct(F.lower(value).alias("key"), i.alias("i"), value.alias("value"), text.alias("context"))
             return F.when(inner != "", seen) if run else seen
 
         return F.array_compact(F.transform(b["steps"], item)) if run else F.transform(b["steps"], item)
 
     def located(ms: Column) -> Column:
-        gaps = F.regexp_extract_all(x, F.lit(gap_regex(DOMAIN_RUN if run else pattern, ignore_case)), F.lit(1))
+        gaps = ms if context is None else F.regexp_extract_all(x, F.lit(gap_regex(DOMAIN_RUN if run else pattern, ignore_case)), F.lit(1))
         values = _found(x, ioc_type, pattern, ignore_case, group) if group else ms
         steps = F.transform(F.arrays_zip(gaps.alias("g"), ms.alias("m"), values.alias("v")), lambda s: F.struct(s["g"].alias("g"), s["m"].alias("m"), s["v"].alias("v")))
 
         def pieces(steps: Column) -> Column:
+            if context is None:
+                return F.struct(steps.alias("steps"))
             upto = F.aggregate(steps, F.lit(0), lambda n, s: n + F.length(s["g"]) + F.length(s["m"]))
             return F.struct(
                 steps.alias("steps"),
@@ -239,7 +247,7 @@ def _built(name: str | None, key: tuple, build) -> Column:
 
 def iocs_from_decoded(
     x: Column | str,
-    context: int = rules.CONTEXT_WINDOW,
+    context: int | None = rules.CONTEXT_WINDOW,
     types: Sequence[str] | None = None,
     patterns=None,
     drop_domains: Sequence[str] = tuple(rules.FALSE_POSITIVE_DOMAINS),

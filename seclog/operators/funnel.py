@@ -128,9 +128,11 @@ def filter_chunks(
     text_col: str = "chunk",
     decode: str = "reference",
     keywords: Sequence[str] = tuple(rules.SUSPICIOUS_KEYWORDS),
+    context: int | None = rules.CONTEXT_WINDOW,
 ) -> DataFrame:
-    """Rule filter per chunk: ``iocs``, ``keyword_hits`` (raw text), ``is_suspicious``."""
-    res = _extract(chunks, text_col, {"iocs": None, "keyword_hits": None}, decode, keywords=keywords)
+    """Rule filter per chunk: ``iocs``, ``keyword_hits`` (raw text), ``is_suspicious``. ``context=None``: indicators without
+    contexts, for what only counts or joins them."""
+    res = _extract(chunks, text_col, {"iocs": None, "keyword_hits": None}, decode, context, keywords=keywords)
     return res.withColumn("is_suspicious", (F.size("iocs") > 0) | (F.size("keyword_hits") > 0))
 
 
@@ -156,15 +158,20 @@ def cluster_key(df: DataFrame) -> DataFrame:
 
 
 def cluster_ids(chunks: DataFrame, keys: Sequence[str] = ("log_id",), text_col: str = "chunk", decode: str = "reference") -> DataFrame:
-    """``keys…, cluster_id`` for each chunk, null for one that is not suspicious: what counting needs, found
+    """``keys…, cluster_id, keyword_hits`` for each chunk, the id null for one that is not suspicious: what clusters need, found
     without building the indicators."""
     raw = F.col(text_col)
     x = F.col("decoded")
     staged = with_decoded(chunks, text_col, "decoded", decode)
     # out of a generator, so that the three columns are computed once and before what is done with them
-    parts = staged.select(*keys, F.inline(F.array(F.struct(any_indicator(x).alias("_any"), first_address(x).alias("_ip"), keyword_hits(raw).alias("_hits")))))
-    cid = F.substring(F.md5(F.concat_ws(":", F.coalesce("_ip", F.lit(rules.CLUSTER_UNKNOWN_IP)), signature(F.col("_hits")))), 1, rules.CLUSTER_ID_LENGTH)
-    return parts.select(*keys, F.when(F.col("_any") | (F.size("_hits") > 0), cid).alias("cluster_id"))
+    parts = staged.select(*keys, F.inline(F.array(F.struct(any_indicator(x).alias("_any"), first_address(x).alias("_ip"), keyword_hits(raw).alias("keyword_hits")))))
+    cid = F.substring(F.md5(F.concat_ws(":", F.coalesce("_ip", F.lit(rules.CLUSTER_UNKNOWN_IP)), signature(F.col("keyword_hits")))), 1, rules.CLUSTER_ID_LENGTH)
+    return parts.select(*keys, F.when(F.col("_any") | (F.size("keyword_hits") > 0), cid).alias("cluster_id"), "keyword_hits")
+
+
+def cluster_counts(keyed: DataFrame, keys: Sequence[str] = ("log_id",)) -> DataFrame:
+    """``keys…, cluster_id, first_chunk_ix, sample_count``: a hash aggregate over narrow rows, pre-aggregated where they are."""
+    return keyed.groupBy(*keys, "cluster_id").agg(F.min("chunk_ix").alias("first_chunk_ix"), F.count(F.lit(1)).alias("sample_count"))
 
 
 def cluster_events(
@@ -172,6 +179,7 @@ def cluster_events(
     keys: Sequence[str] = ("log_id",),
     text_col: str = "chunk",
     first_cols: Sequence[str] = (),
+    chunks: DataFrame | None = None,
 ) -> DataFrame:
     """One row per ``(keys…, cluster_id)``.
 
@@ -179,15 +187,19 @@ def cluster_events(
     first chunk, ``all_keyword_hits`` = the cluster's keyword set (all members
     share it: the signature is part of the key), ``first_chunk_ix`` = first-seen
     order. ``first_cols`` are taken from the first chunk as well.
+
+    Which chunk is first is found on numbers alone; texts are joined to the winners afterwards. ``keyed`` is read twice, so
+    pass a table that is written (or cheap to make again); ``chunks``: where the texts (``keys…, chunk_ix, text_col``) are, if not
+    in ``keyed``. A chunk's number is unique within ``keys``.
     """
-    order = F.col("chunk_ix")
-    aggs = [
-        F.min(order).alias("first_chunk_ix"),
-        F.count(F.lit(1)).alias("sample_count"),
-        F.min_by(F.col(text_col), order).alias("representative_chunk"),
-        F.min_by(F.array_sort("keyword_hits"), order).alias("all_keyword_hits"),
-    ] + [F.min_by(F.col(c), order).alias(c) for c in first_cols]
-    return keyed.groupBy(*keys, "cluster_id").agg(*aggs)
+    found = cluster_counts(keyed, keys)
+    at = [*keys, "first_chunk_ix"]
+    own = keyed.select(*keys, "cluster_id", F.col("chunk_ix").alias("first_chunk_ix"), F.array_sort("keyword_hits").alias("all_keyword_hits"),
+                       *([] if chunks is not None else [F.col(text_col).alias("representative_chunk")]), *first_cols)
+    out = found.join(own, [*at, "cluster_id"])
+    if chunks is not None:
+        out = out.join(chunks.select(*keys, F.col("chunk_ix").alias("first_chunk_ix"), F.col(text_col).alias("representative_chunk")), at)
+    return out.select(*keys, "cluster_id", "first_chunk_ix", "sample_count", "representative_chunk", "all_keyword_hits", *first_cols)
 
 
 def chunk_iocs(filtered: DataFrame, keys: Sequence[str] = ("log_id",), extra: Sequence[str] = ()) -> DataFrame:
@@ -195,26 +207,32 @@ def chunk_iocs(filtered: DataFrame, keys: Sequence[str] = ("log_id",), extra: Se
     return filtered.select(*keys, *extra, "chunk_ix", ioc_rows(F.col("iocs")))
 
 
-def merged_iocs(keyed: DataFrame, keys: Sequence[str] = ("log_id",)) -> DataFrame:
-    """Distinct ``(type, value)`` (case-sensitive) per cluster, first occurrence kept.
+_IOC_PLACES = 1 << 31
+
 
-    Rows: ``keys…, cluster_id, first_chunk_ix, first_ioc_ix, type, value,
-    confidence, context``; list order = ``(first_chunk_ix, first_ioc_ix)``.
-    One shuffle on ``(keys, cluster_id, type, value)`` after a map-side
-    partial ``min`` — distinct values spread over tasks even in a hot cluster.
+def merged_keys(keyed: DataFrame, keys: Sequence[str] = ("log_id",)) -> DataFrame:
+    """Distinct ``(type, value)`` (case-sensitive) per cluster, and where each comes first.
+
+    Rows: ``keys…, cluster_id, first_chunk_ix, first_ioc_ix, type, value``; list order = ``(first_chunk_ix, first_ioc_ix)``.
+    One shuffle on ``(keys, cluster_id, type, value)`` after a map-side hash aggregate of one number (the place), so
+    distinct values spread over tasks even in a hot cluster.
     """
+    wide = keyed.schema["chunk_ix"].dataType.simpleString() != "int"
     rows = chunk_iocs(keyed, keys, extra=("cluster_id",))
-    first = F.min(F.struct("chunk_ix", "ioc_ix", "confidence", "context")).alias("f")
-    return rows.groupBy(*keys, "cluster_id", "type", "value").agg(first).select(
-        *keys,
-        "cluster_id",
-        F.col("f.chunk_ix").alias("first_chunk_ix"),
-        F.col("f.ioc_ix").alias("first_ioc_ix"),
-        "type",
-        "value",
-        F.col("f.confidence").alias("confidence"),
-        F.col("f.context").alias("context"),
-    )
+    place = F.col("chunk_ix").cast("decimal(38,0)" if wide else "long") * F.lit(_IOC_PLACES) + F.col("ioc_ix")
+    found = rows.groupBy(*keys, "cluster_id", "type", "value").agg(F.min(place.cast("decimal(38,0)") if wide else place).alias("_at"))
+    kind = keyed.schema["chunk_ix"].dataType
+    return found.select(
+        *keys, "cluster_id", F.expr(f"_at div {_IOC_PLACES}").cast(kind).alias("first_chunk_ix"), (F.col("_at") % F.lit(_IOC_PLACES)).cast("int").alias("first_ioc_ix"), "type", "value"
+    )
+
+
+def merged_iocs(keyed: DataFrame, keys: Sequence[str] = ("log_id",)) -> DataFrame:
+    """:func:`merged_keys` with the ``confidence`` and ``context`` of the first occurrence, joined to the winners afterwards (by
+    place, so no key is hot). ``keyed`` is read twice: pass a table that is written."""
+    rows = chunk_iocs(keyed, keys).select(*keys, F.col("chunk_ix").alias("first_chunk_ix"), F.col("ioc_ix").cast("int").alias("first_ioc_ix"), "confidence", "context")
+    found = merged_keys(keyed, keys).join(rows, [*keys, "first_chunk_ix", "first_ioc_ix"])
+    return found.select(*keys, "cluster_id", "first_chunk_ix", "first_ioc_ix", "type", "value", "confidence", "context")
 
 
 def ioc_summary(merged: DataFrame, keys: Sequence[str] = ("log_id",)) -> DataFrame:

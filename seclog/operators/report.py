@@ -1,5 +1,5 @@
 """Report tables: risk bands, display defaults, MITRE matrix, threat report,
-knowledge-base query text and context, prompt text."""
+knowledge-base query text and context."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..session import cut_lineage
 from .intel import enrich_registration, enrich_reputation
 
 
@@ -52,11 +53,11 @@ def report_iocs(
     """
     of = [*keys, "cluster_id"]
     band = threat_events.select(*of, risk_band(F.col("confidence")).alias("risk_band"))
-    rows = enrich_registration(enrich_reputation(merged.join(band, of), reputation), registration)
-    rows = rows.withColumn("line", F.concat(F.col("type"), F.lit(": "), F.col("value")))
-    routed = enrich_reputation(merged.join(band, of, "left_semi"), reputation)
-    totals = routed.groupBy(*of).agg(F.sum(F.coalesce("vt_malicious_count", F.lit(0))).cast("long").alias("event_malicious"))
-    return rows.join(totals, of)
+    # enriched once and written: the rows are read for themselves and for the totals
+    known = cut_lineage(enrich_reputation(merged.join(band, of), reputation))
+    totals = known.groupBy(*of).agg(F.sum(F.coalesce("vt_malicious_count", F.lit(0))).cast("long").alias("event_malicious"))
+    rows = enrich_registration(known, registration).withColumn("line", F.concat(F.col("type"), F.lit(": "), F.col("value")))
+    return rows.join(totals.select(*[F.col(c).alias(c) for c in totals.columns]), of)
 
 
 def mitre_matrix(threat_events: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..operators import kb
 from ..operators.chunking import chunk_count, chunk_text, spread
-from ..operators.funnel import cluster_events, cluster_ids, cluster_key, count_whole, filter_chunks, merged_iocs, run_rows, run_summary, suspicious
+from ..operators.funnel import cluster_events, cluster_ids, cluster_key, count_whole, filter_chunks, merged_iocs, merged_keys, run_rows, run_summary, suspicious
 from ..operators.verdicts import attach_verdicts
 from ..session import cut_lineage
 from ..sources.logs import admit_logs, logs_from_files, read_logs
@@ -30,26 +30,22 @@ def analyze_logs(
     decode: str = "reference",
     verdicts: DataFrame | None = None,
     chunk_size: int = rules.ANALYSIS_CHUNK_SIZE,
-    materialize: bool = True,
 ) -> Analysis:
     """E1 over ``logs(log_id, text)``: chunk → rule filter → suspicious →
     clusters → merged indicators → (verdicts) → one run row per log.
 
-    The suspicious, keyed chunks feed three aggregates; they are written once
-    to the checkpoint folder (``materialize``) instead of being recomputed.
+    The keys and indicators of suspicious chunks are written once to the checkpoint folder (without the texts, which are
+    cut again for the first chunks of clusters alone), since three aggregates read them.
     """
-    ch = spread(chunk_text(logs, keys=["log_id"], size=chunk_size))
-    keyed = cluster_key(suspicious(filter_chunks(ch, decode=decode)))
-    if materialize:
-        # clusters and merged indicators both read it: extract once
-        keyed = cut_lineage(keyed)
-    clusters = cluster_events(keyed)
+    cut = chunk_text(logs, keys=["log_id"], size=chunk_size)
+    keyed = cut_lineage(cluster_key(suspicious(filter_chunks(spread(cut), decode=decode))).select("log_id", "chunk_ix", "cluster_id", "keyword_hits", "iocs"))
+    clusters = cluster_events(keyed, chunks=cut)
     merged = merged_iocs(keyed)
     totals = logs.select("log_id", chunk_count(F.col("text"), chunk_size).alias("total_chunks_processed"))
     events = None
     if verdicts is not None:
         events = attach_verdicts(clusters, verdicts)
-        counts = merged.groupBy("log_id", "cluster_id").agg(F.count(F.lit(1)).alias("_n"))
+        counts = merged_keys(keyed).groupBy("log_id", "cluster_id").agg(F.count(F.lit(1)).alias("_n"))
         events = events.join(counts, ["log_id", "cluster_id"], "left").withColumn(
             "n_iocs", F.when(F.col("error").isNull(), F.coalesce("_n", F.lit(0))).otherwise(F.lit(0)).cast("long")
         ).drop("_n")

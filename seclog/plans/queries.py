@@ -16,7 +16,9 @@ from .. import rules
 from ..operators import intel, kb, report
 from ..operators.chunking import chunk_text, spread
 from ..operators.funnel import (
+    cluster_counts,
     cluster_events,
+    cluster_ids,
     cluster_key,
     cluster_windows,
     extract_iocs,
@@ -24,6 +26,7 @@ from ..operators.funnel import (
     filter_chunks,
     ioc_summary,
     merged_iocs,
+    merged_keys,
     run_summary,
     suspicious,
 )
@@ -187,8 +190,8 @@ def keyword_hits_q(spark, sf):
     )
 
 
-def _seclog_filtered(spark, sf, decode="none"):
-    return filter_chunks(spread(inputs.seclog_chunks(spark, sf)), decode=decode)
+def _seclog_filtered(spark, sf, decode="none", context=rules.CONTEXT_WINDOW):
+    return filter_chunks(spread(inputs.seclog_chunks(spark, sf)), decode=decode, context=context)
 
 
 @register("suspicious")
@@ -205,10 +208,10 @@ def suspicious_q(spark, sf):
 
 # ------------------------------------------------------------------ clustering
 
-def _seclog_keyed(spark, sf, decode="none", shared=False):
-    """Suspicious seclog lines with cluster keys; ``shared``: written once (reliable checkpoint) for
-    queries that read them more than once."""
-    keyed = cluster_key(suspicious(_seclog_filtered(spark, sf, decode)))
+def _seclog_keyed(spark, sf, decode="none", shared=False, context=rules.CONTEXT_WINDOW):
+    """Suspicious seclog lines with cluster keys; ``shared``: written once (reliable checkpoint) for queries that read them
+    more than once. ``context=None``: without contexts, for queries that do not show them."""
+    keyed = cluster_key(suspicious(_seclog_filtered(spark, sf, decode, context)))
     return cut_lineage(keyed) if shared else keyed
 
 
@@ -225,7 +228,7 @@ def _clusters(keyed):
 @register("cluster_events")
 def cluster_events_q(spark, sf):
     """One row per (log, cluster)."""
-    c = _clusters(_seclog_keyed(spark, sf))
+    c = _clusters(_seclog_keyed(spark, sf, shared=True, context=None))
     return c.select(
         "log_id",
         "cluster_id",
@@ -239,13 +242,13 @@ def cluster_events_q(spark, sf):
 @register("merged_iocs")
 def merged_iocs_q(spark, sf):
     """Distinct (type, value) per cluster, first occurrence kept."""
-    return merged_iocs(_seclog_keyed(spark, sf))
+    return merged_iocs(_seclog_keyed(spark, sf, shared=True))
 
 
 @register("ioc_summary")
 def ioc_summary_q(spark, sf):
     """Type → values in first-seen order, as rows."""
-    return ioc_summary(merged_iocs(_seclog_keyed(spark, sf)))
+    return ioc_summary(merged_keys(_seclog_keyed(spark, sf, context=None)))
 
 
 @register("cluster_window_300s")
@@ -267,9 +270,10 @@ def funnel_documents_decoded(spark, sf):
 
 
 def _funnel_clusters(spark, sf, decode):
-    ch = spread(chunk_text(inputs.text_logs(spark, sf), keys=["log_id"]))
-    keyed = cluster_key(suspicious(filter_chunks(ch, decode=decode)))
-    c = cluster_events(keyed)
+    cut = chunk_text(inputs.text_logs(spark, sf), keys=["log_id"])
+    # what the chunks' clusters need is written without their texts
+    keyed = cut_lineage(cluster_ids(spread(cut), keys=["log_id", "chunk_ix"], decode=decode).where("cluster_id is not null"))
+    c = cluster_events(keyed, chunks=cut)
     return c.select(
         "log_id",
         "cluster_id",
@@ -289,23 +293,24 @@ def parse_verdicts_q(spark, sf):
 
 
 def _seclog_events(spark, sf):
-    """Clusters with verdicts attached (J4) and their merged-indicator counts."""
-    keyed = _seclog_keyed(spark, sf, shared=True)
-    clusters = _clusters(keyed)
+    """(analysed events, merged indicators): clusters with verdicts attached (J4) and their merged-indicator counts. Only keys
+    and values are written in between: no lines, no contexts."""
+    lines = _seclog_keyed(spark, sf, context=None)
+    keyed = cut_lineage(lines.select("log_id", "chunk_ix", "cluster_id", F.transform("iocs", lambda i: F.struct(i["type"].alias("type"), i["value"].alias("value"), i["confidence"].alias("confidence"), i["context"].alias("context"))).alias("iocs")))
     verdicts = parse_verdicts(spread(inputs.verdict_raw(spark, sf)), keep=["log_id", "cluster_no"])
-    events = attach_verdicts(clusters, verdicts, on=[("log_id", "log_id"), ("event_id", "cluster_no")])
-    merged = merged_iocs(keyed)
+    events = attach_verdicts(cluster_counts(keyed), verdicts, on=[("log_id", "log_id"), ("first_chunk_ix", "cluster_no")])
+    merged = merged_keys(keyed)
     counts = merged.groupBy("log_id", "cluster_id").agg(F.count(F.lit(1)).alias("merged_count"))
     events = events.join(counts, ["log_id", "cluster_id"], "left").withColumn(
         "n_iocs", F.when(F.col("error").isNull(), F.coalesce("merged_count", F.lit(0))).otherwise(F.lit(0)).cast("long")
     )
-    return keyed, clusters, events, merged
+    return events, merged
 
 
 @register("threats")
 def threats_q(spark, sf):
     """P8 + J4: threat events (is_threat and no error) of the seclog clusters."""
-    _k, _c, events, _m = _seclog_events(spark, sf)
+    events, _m = _seclog_events(spark, sf)
     return threats(events).select(
         "log_id", "cluster_id", "sample_count", "attack_type", "mitre_id", "tactic", "technique_name", "confidence"
     )
@@ -314,23 +319,23 @@ def threats_q(spark, sf):
 @register("run_summary")
 def run_summary_q(spark, sf):
     """One row per seclog log (user), clean logs included."""
-    keyed, clusters, events, _m = _seclog_events(spark, sf)
+    events, _m = _seclog_events(spark, sf)
     lines = inputs.seclog_chunks(spark, sf)
     totals = lines.groupBy("log_id").agg(F.count(F.lit(1)).alias("total_chunks_processed"))
-    return run_summary(totals, None, clusters, events.select("log_id", "cluster_id", "is_threat", "error", "n_iocs"))
+    return run_summary(totals, None, events.select("log_id", "cluster_id", "sample_count"), events.select("log_id", "cluster_id", "is_threat", "error", "n_iocs"))
 
 
 @register("risk_band")
 def risk_band_q(spark, sf):
     """P15 over threat events."""
-    _k, _c, events, _m = _seclog_events(spark, sf)
+    events, _m = _seclog_events(spark, sf)
     return threats(events).select("log_id", "cluster_id", "confidence", report.risk_band(F.col("confidence")).alias("risk_band"))
 
 
 @register("event_display")
 def event_display_q(spark, sf):
     """P16 over all analysed events (display defaults for failed verdicts)."""
-    _k, _c, events, _m = _seclog_events(spark, sf)
+    events, _m = _seclog_events(spark, sf)
     d = report.event_display(events)
     return d.select(
         "log_id",
@@ -345,14 +350,14 @@ def event_display_q(spark, sf):
 @register("mitre_matrix")
 def mitre_matrix_q(spark, sf):
     """Threat events by tactic × technique."""
-    _k, _c, events, _m = _seclog_events(spark, sf)
+    events, _m = _seclog_events(spark, sf)
     return report.mitre_matrix(threats(events))
 
 
 @register("report_events")
 def report_events_q(spark, sf):
     """One row per threat event with its IOC count, display fields and risk band."""
-    _k, _c, events, _m = _seclog_events(spark, sf)
+    events, _m = _seclog_events(spark, sf)
     t = report.event_display(threats(events))
     return t.select(
         "log_id",
@@ -421,7 +426,7 @@ def registration_snapshot_q(spark, sf):
 @register("enrich_reputation")
 def enrich_reputation_q(spark, sf):
     """Every merged indicator of every cluster, with reputation when known."""
-    merged = merged_iocs(_seclog_keyed(spark, sf))
+    merged = merged_keys(_seclog_keyed(spark, sf, context=None))
     e = intel.enrich_reputation(merged, _reputation(spark, sf))
     return e.select(
         "log_id", "cluster_id", "type", "value", "route", "vt_found", "vt_malicious_count", "vt_suspicious_count", "vt_error"
@@ -431,7 +436,7 @@ def enrich_reputation_q(spark, sf):
 @register("enrich_registration")
 def enrich_registration_q(spark, sf):
     """Domain indicators with their registration record."""
-    merged = merged_iocs(_seclog_keyed(spark, sf)).where(F.col("type") == "domain")
+    merged = merged_keys(_seclog_keyed(spark, sf, context=None)).where(F.col("type") == "domain")
     e = intel.enrich_registration(merged, _registration(spark, sf))
     return e.select("log_id", "cluster_id", "value", "whois_registrar", "whois_creation_date", "whois_error")
 
@@ -439,7 +444,7 @@ def enrich_registration_q(spark, sf):
 @register("enrich_events")
 def enrich_events_q(spark, sf):
     """Indicators of threat events with reputation and registration fields."""
-    _k, _c, events, merged = _seclog_events(spark, sf)
+    events, merged = _seclog_events(spark, sf)
     t = threats(events).select("log_id", "cluster_id")
     rows = merged.join(t, ["log_id", "cluster_id"], "left_semi")
     e = intel.enrich_registration(intel.enrich_reputation(rows, _reputation(spark, sf)), _registration(spark, sf))
@@ -463,7 +468,7 @@ def enrich_events_q(spark, sf):
 def report_iocs_q(spark, sf):
     """One row per indicator of a threat event: display line, risk band, intelligence, and the event's total of
     malicious votes, with the list order in columns."""
-    _k, _c, events, merged = _seclog_events(spark, sf)
+    events, merged = _seclog_events(spark, sf)
     return report.report_iocs(threats(events), merged, _reputation(spark, sf), _registration(spark, sf)).select(
         "log_id", "cluster_id", "first_chunk_ix", "first_ioc_ix", "line", "route", "risk_band", "vt_found", "vt_malicious_count",
         "vt_community_score", F.array_join("vt_tags", ",").alias("vt_tags"), "vt_error", "whois_registrar", "whois_creation_date",
@@ -475,13 +480,13 @@ def report_iocs_q(spark, sf):
 def registration_worklist_q(spark, sf):
     """C11: domains without a fresh registration response."""
     raw = intel.with_clean_domain(inputs.registration_raw(spark, sf))
-    return intel.registration_worklist(merged_iocs(_seclog_keyed(spark, sf)), intel.fresh(raw, FIXTURE_AS_OF, rules.REGISTRATION_TTL_SEC))
+    return intel.registration_worklist(merged_keys(_seclog_keyed(spark, sf, context=None)), intel.fresh(raw, FIXTURE_AS_OF, rules.REGISTRATION_TTL_SEC))
 
 
 @register("lookup_worklist")
 def lookup_worklist_q(spark, sf):
     """C11: routable indicators without a fresh reputation response."""
-    merged = merged_iocs(_seclog_keyed(spark, sf))
+    merged = merged_keys(_seclog_keyed(spark, sf, context=None))
     snap = intel.fresh(inputs.reputation_raw(spark, sf), FIXTURE_AS_OF, rules.REPUTATION_TTL_SEC)
     return intel.lookup_worklist(merged, snap)
 
@@ -572,16 +577,16 @@ def kb_end_to_end_q(spark, sf):
 @register("kb_query_text")
 def kb_query_text_q(spark, sf):
     """Knowledge-base query text per seclog cluster."""
-    keyed = _seclog_keyed(spark, sf, shared=True)
+    keyed = _seclog_keyed(spark, sf, shared=True, context=None)
     clusters = _clusters(keyed)
-    return report.kb_query_text(clusters, ioc_summary(merged_iocs(keyed))).select("log_id", "cluster_id", "kb_query")
+    return report.kb_query_text(clusters, ioc_summary(merged_keys(keyed))).select("log_id", "cluster_id", "kb_query")
 
 
 @register("enhance_query")
 def enhance_query_q(spark, sf):
     """P10: enhancement of each cluster's KB query (indicator values or SOC suffix)."""
-    keyed = _seclog_keyed(spark, sf, shared=True)
-    q = report.kb_query_text(_clusters(keyed), ioc_summary(merged_iocs(keyed)))
+    keyed = _seclog_keyed(spark, sf, shared=True, context=None)
+    q = report.kb_query_text(_clusters(keyed), ioc_summary(merged_keys(keyed)))
     return kb.enhance_query(q.select("log_id", "cluster_id", "kb_query")).select(
         "log_id", "cluster_id", "kb_query", "enhanced_query"
     )
