@@ -2,17 +2,20 @@
 delete, file listing, index report), query preparation and exact top-k search.
 
 The KB is a table ``id, content, embedding, file_id, chunk_index,
-content_hash, source`` (written as parquet partitioned by ``file_id`` by the
-indexing job, so a ``file_id`` filter prunes partitions).
+content_hash, source``, kept as numbered versions in hash buckets of ``file_id``
+(``KbStore``), so a ``file_id`` filter reads one bucket and a change rewrites only the buckets it touches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -85,6 +88,21 @@ def kb_chunks(
     )
 
 
+def embed_in_batches(make: Callable[[], Callable[[list[str]], list[list[float]]]], size: int = rules.EMBED_BATCH) -> Callable[[Column], Column]:
+    """An ``embed`` function from one that takes texts in batches: ``make()`` runs once in a task (to load a model or open a
+    client) and what it returns is called with at most ``size`` texts at a time. Null texts have no vector."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embed = make()
+        for texts in batches:
+            some = texts[texts.notna()]
+            vectors = [v for i in range(0, len(some), size) for v in embed(some.iloc[i : i + size].tolist())]
+            yield pd.Series(vectors, index=some.index, dtype=object).reindex(texts.index).where(texts.notna(), None)
+
+    return run
+
+
 def kb_upsert(
     existing: DataFrame | None, new_chunks: DataFrame, order: str = "file_order", replace: bool = False
 ) -> DataFrame:
@@ -92,17 +110,17 @@ def kb_upsert(
     ids of ``existing`` stay. ``replace=True`` first drops every existing
     chunk of the re-indexed ``file_id``s (no stale tail chunks).
 
-    Last-write-wins is ``max_by`` per id (partial aggregation); the merge
-    with ``existing`` is an anti-join on ``id`` plus a union.
+    Last-write-wins is found on ids and orders alone (a hash aggregate if ``order`` is a number); the texts are joined to
+    the winners. The merge with ``existing`` is an anti-join on ``id`` plus a union.
     """
-    last = new_chunks.groupBy("id").agg(F.max_by(F.struct(*[c for c in KB_COLUMNS if c != "id"]), F.col(order)).alias("_r"))
-    new = last.select("id", *[F.col(f"_r.{c}").alias(c) for c in KB_COLUMNS if c != "id"])
+    last = new_chunks.groupBy(F.col("id").alias("_id")).agg(F.max(order).alias("_order"))
+    new = new_chunks.join(last, (F.col("id") == F.col("_id")) & (F.col(order) == F.col("_order"))).select(*KB_COLUMNS)
     if existing is None:
-        return new.select(*KB_COLUMNS)
-    keep = existing.join(new.select("id"), "id", "left_anti")
+        return new
+    keep = existing.join(last.select(F.col("_id").alias("id")), "id", "left_anti")
     if replace:
-        keep = keep.join(new.select("file_id").distinct(), "file_id", "left_anti")
-    return keep.select(*KB_COLUMNS).unionByName(new.select(*KB_COLUMNS))
+        keep = keep.join(new_chunks.select("file_id").distinct(), "file_id", "left_anti")
+    return keep.select(*KB_COLUMNS).unionByName(new)
 
 
 def kb_delete(kb: DataFrame, file_ids: DataFrame) -> DataFrame:
@@ -111,13 +129,12 @@ def kb_delete(kb: DataFrame, file_ids: DataFrame) -> DataFrame:
 
 
 def kb_files(kb: DataFrame) -> DataFrame:
-    """Indexed files: chunk count, and source / content hash of the first chunk."""
+    """Indexed files: chunk count, and source / content hash of the first chunk, joined to the file's least index."""
     fid = F.coalesce(F.col("file_id"), F.lit("unknown"))
-    return kb.groupBy(fid.alias("file_id")).agg(
-        F.count(F.lit(1)).alias("chunks"),
-        F.min_by(F.coalesce(F.col("source"), F.lit("")), F.col("chunk_index")).alias("source"),
-        F.min_by(F.coalesce(F.col("content_hash"), F.lit("")), F.col("chunk_index")).alias("content_hash"),
-    )
+    rows = kb.select(fid.alias("file_id"), "chunk_index", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("content_hash", F.lit("")).alias("content_hash"))
+    found = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk_index").alias("_first"))
+    first = rows.select(F.col("file_id").alias("_f"), F.col("chunk_index").alias("_i"), "source", "content_hash").distinct()
+    return found.join(first, (F.col("file_id") == F.col("_f")) & (F.col("_first") == F.col("_i"))).select("file_id", "chunks", "source", "content_hash")
 
 
 def kb_index_report(
@@ -162,28 +179,142 @@ def _bucket(file_id: Column) -> Column:
     return F.pmod(F.xxhash64(file_id), F.lit(KB_BUCKETS)).cast("int")
 
 
+KB_SCHEMA = "id string, content string, embedding array<float>, file_id string, chunk_index int, content_hash string, source string"
+
+
+class KbConflict(RuntimeError):
+    """Another writer has published the version first."""
+
+
+class KbStore:
+    """A knowledge base as numbered versions under a folder that all executors share.
+
+    ``versions/N.json`` is the manifest of version N: for each hash bucket of ``file_id`` (at most ``KB_BUCKETS``) the folder with
+    its rows. A write puts the rows of the buckets it touches into a new folder and then publishes a manifest
+    that names it and, for all other buckets, the folders of the version before: these files are the same. The manifest appears
+    by a rename that fails if there is one of that number, which is the switch: readers see the old version or the new
+    one, a write that fails leaves the old one, and of two writers one gets :class:`KbConflict`.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    # -- files, through Hadoop's own interface so that any store works
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def versions(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names(f"{self.path}/versions") if n.endswith(".json"))
+
+    def current(self) -> int:
+        """The newest version's number; 0 if there is none."""
+        return max(self.versions(), default=0)
+
+    def buckets(self, version: int | None = None) -> dict[int, str]:
+        """The folder of each bucket that holds rows (a bounded number of them)."""
+        version = self.current() if version is None else version
+        if not version:
+            return {}
+        text = self.spark.read.text(f"{self.path}/versions/{version}.json", wholetext=True).first()[0]
+        return {int(b): folder for b, folder in json.loads(text)["buckets"].items()}
+
+    def _publish(self, base: int, buckets: dict[int, str]) -> int:
+        new = self.spark._jvm.org.apache.hadoop.fs
+        fs, temp = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")
+        _, final = self._fs(f"{self.path}/versions/{base + 1}.json")
+        out = fs.create(temp, False)
+        out.write(bytearray(json.dumps({"version": base + 1, "buckets": buckets}).encode()))
+        out.close()
+        try:
+            if fs.exists(final):
+                raise KbConflict(f"version {base + 1} exists already")
+            context = new.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+            none = self.spark._jvm.java.lang.reflect.Array.newInstance(self.spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+            context.rename(temp, final, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise KbConflict(f"version {base + 1} exists already") from e
+            raise
+        finally:
+            fs.delete(temp, False)
+        return base + 1
+
+    def _write(self, rows: DataFrame, base: int, touched: set[int]) -> int:
+        """Publishes ``rows`` as the whole content of the ``touched`` buckets."""
+        folder = f"data/{uuid.uuid4().hex}"
+        bucketed = rows.select(*KB_COLUMNS, _bucket(F.col("file_id")).alias("bucket"))
+        bucketed.repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", "file_id").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        kept = {b: f for b, f in self.buckets(base).items() if b not in touched}
+        new = {int(n.split("=")[1]): f"{folder}/{n}" for n in self._names(f"{self.path}/{folder}") if n.startswith("bucket=")}
+        return self._publish(base, kept | new)
+
+    def _rows(self, base: int, touched: set[int]) -> DataFrame:
+        return self._read({b: f for b, f in self.buckets(base).items() if b in touched})
+
+    def _read(self, buckets: dict[int, str]) -> DataFrame:
+        if not buckets:
+            return self.spark.createDataFrame([], KB_SCHEMA)
+        return self.spark.read.schema(KB_SCHEMA).parquet(*[f"{self.path}/{f}" for _, f in sorted(buckets.items())])
+
+    def _touched(self, file_ids: DataFrame) -> set[int]:
+        return {r[0] for r in file_ids.select(_bucket(F.col("file_id"))).distinct().collect()}  # KB_BUCKETS numbers at most
+
+    # -- what users call
+
+    def read(self, version: int | None = None, file_id: str | None = None, with_embedding: bool = True) -> DataFrame:
+        """Rows of a version (the newest by default). With ``file_id`` only its bucket is read; without embeddings their column
+        is not."""
+        buckets = self.buckets(version)
+        if file_id is not None:
+            own = self.spark.range(1).select(_bucket(F.lit(file_id))).first()[0]
+            buckets = {b: f for b, f in buckets.items() if b == own}
+        rows = self._read(buckets)
+        rows = rows if file_id is None else rows.where(F.col("file_id") == file_id)
+        return rows.select(*[c for c in KB_COLUMNS if with_embedding or c != "embedding"])
+
+    def upsert(self, new_chunks: DataFrame, order: str = "file_order", replace: bool = False) -> int:
+        """A version with these chunks upserted (see :func:`kb_upsert`); returns its number. An id belongs to one ``file_id``, so
+        only the buckets of the new chunks' files are read and written."""
+        base, touched = self.current(), self._touched(new_chunks)
+        return self._write(kb_upsert(self._rows(base, touched), new_chunks, order, replace), base, touched) if touched else base
+
+    def delete(self, file_ids: DataFrame) -> int:
+        """A version without the chunks of these files; returns its number."""
+        base = self.current()
+        touched = self._touched(file_ids) & set(self.buckets(base))
+        return self._write(kb_delete(self._rows(base, touched), file_ids), base, touched) if touched else base
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes all but the newest ``keep`` versions and the folders that none of these names; returns how many
+        folders went. Not for use while another session writes."""
+        kept = self.versions()[-keep:]
+        used = {f.split("/")[1] for v in kept for f in self.buckets(v).values()}
+        for v in self.versions()[:-keep]:
+            fs, p = self._fs(f"{self.path}/versions/{v}.json")
+            fs.delete(p, False)
+        gone = [n for n in self._names(f"{self.path}/data") if n not in used]
+        for n in gone:
+            fs, p = self._fs(f"{self.path}/data/{n}")
+            fs.delete(p, True)
+        return len(gone)
+
+
 def write_kb(table: DataFrame, base_path: str) -> str:
-    """Write the KB as a new version folder in ``KB_BUCKETS`` partitions by hash of ``file_id`` (a bounded
-    number of folders, each written by a few tasks) and return its path; the caller switches its pointer to it afterwards. A
-    version is never overwritten in place, so readers of the previous one are
-    unaffected and a failed write leaves no half-updated table."""
-    import uuid
-
-    path = f"{base_path.rstrip('/')}/v-{uuid.uuid4().hex}"
-    bucketed = table.select(*KB_COLUMNS, _bucket(F.col("file_id")).alias("bucket"))
-    bucketed.repartition(KB_BUCKETS, "bucket").sortWithinPartitions("bucket", "file_id").write.partitionBy("bucket").parquet(path)
+    """A table as the first version of a new store below ``base_path``; returns the store's path."""
+    path = f"{base_path.rstrip('/')}/kb-{uuid.uuid4().hex}"
+    KbStore(table.sparkSession, path)._write(table, 0, set(range(KB_BUCKETS)))
     return path
 
 
 def read_kb(spark, path: str, file_id: str | None = None, with_embedding: bool = True) -> DataFrame:
-    """KB scan; a ``file_id`` equality filter prunes partitions (its bucket is computed by Spark's own hash) and row
-    groups, and the metadata-only form does not read the vectors (column pruning)."""
-    df = spark.read.parquet(path)
-    if file_id is not None:
-        bucket = spark.range(1).select(_bucket(F.lit(file_id))).first()[0]
-        df = df.where((F.col("bucket") == bucket) & (F.col("file_id") == file_id))
-    cols = KB_COLUMNS if with_embedding else [c for c in KB_COLUMNS if c != "embedding"]
-    return df.select(*cols)
+    """The newest version of a store: see :meth:`KbStore.read`."""
+    return KbStore(spark, path).read(None, file_id, with_embedding)
 
 
 # ---------------------------------------------------------------- querying
@@ -256,62 +387,78 @@ def kb_topk(
     digits, then id, within each (query, file). A null text ``file_id`` is the default file; a row
     without a vector is no query and no hit (a blank query has none). Returns ``query_id, rank, id, file_id, distance``.
     """
+    queries, kb = _comparable(queries, kb, default_file_id)
+    return _ranked(_block_hits(queries, kb, ["file_id"], k, block_rows), k)
+
+
+def _comparable(queries: DataFrame, kb: DataFrame, default_file_id: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and chunks that have a vector, under their file's name."""
     # fresh attribute ids: the query set may be derived from the KB itself
     of = F.col("file_id")
     if isinstance(kb.schema["file_id"].dataType, StringType):
         of = F.coalesce(of, F.lit(default_file_id))
     kb = kb.select(F.col("id").alias("id"), of.alias("file_id"), F.col("embedding").alias("embedding")).where("embedding is not null").alias("kb")
     queries = queries.select(F.col("query_id").alias("query_id"), of.alias("file_id"), F.col("vector").alias("vector")).where("vector is not null").alias("qs")
-    kbn = kb.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_kb"))
-    qn = queries.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_q"))
-    sizes = kbn.join(qn, "file_id").select(
-        "file_id",
-        F.ceil(F.col("n_kb") / block_rows).cast("int").alias("nk"),
-        F.ceil(F.col("n_q") / block_rows).cast("int").alias("nq"),
-    )
-    kb_b = (
-        kb.select("id", "file_id", "embedding")
-        .join(sizes, "file_id")
-        .select(
-            "id",
-            "file_id",
-            "embedding",
-            F.pmod(F.xxhash64("id"), F.col("nk")).cast("int").alias("kblock"),
-            F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qblock"),
-        )
-    )
-    q_b = (
-        queries.select("query_id", "file_id", "vector")
-        .join(sizes, "file_id")
-        .select(
-            "query_id",
-            "file_id",
-            "vector",
-            F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int").alias("qblock"),
-            F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("kblock"),
-        )
-    )
-    qtype = queries.schema["query_id"].dataType
-    idtype = kb.schema["id"].dataType
-    ftype = kb.schema["file_id"].dataType
-    schema = StructType(
-        [
-            StructField("query_id", qtype),
-            StructField("id", idtype),
-            StructField("file_id", ftype),
-            StructField("distance", DoubleType()),
-        ]
+    return queries, kb
+
+
+def _block_hits(queries: DataFrame, kb: DataFrame, on: list[str], k: int, block_rows: int) -> DataFrame:
+    """``query_id, id, file_id, distance``: the k best of each query in each block of the chunks that share ``on`` with it."""
+    kbn = kb.groupBy(*on).agg(F.count(F.lit(1)).alias("n_kb"))
+    qn = queries.groupBy(*on).agg(F.count(F.lit(1)).alias("n_q"))
+    sizes = kbn.join(qn, on).select(*on, F.ceil(F.col("n_kb") / block_rows).cast("int").alias("nk"), F.ceil(F.col("n_q") / block_rows).cast("int").alias("nq"))
+    kb_b = kb.join(sizes, on).select(
+        "id", "embedding", *on, F.pmod(F.xxhash64("id"), F.col("nk")).cast("int").alias("kblock"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qblock")
     )
-    partial = (
-        q_b.groupBy("file_id", "kblock", "qblock")
-        .cogroup(kb_b.groupBy("file_id", "kblock", "qblock"))
-        .applyInPandas(_block_topk(k), schema)
+    q_b = queries.join(sizes, on).select(
+        "query_id", "vector", *on, F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int").alias("qblock"), F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("kblock")
     )
-    from pyspark.sql import Window
+    kinds = [("query_id", queries.schema["query_id"].dataType), ("id", kb.schema["id"].dataType), ("file_id", kb.schema["file_id"].dataType), ("distance", DoubleType())]
+    schema = StructType([StructField(n, t) for n, t in kinds])
+    at = [*on, "kblock", "qblock"]
+    return q_b.groupBy(*at).cogroup(kb_b.groupBy(*at)).applyInPandas(_block_topk(k), schema)
+
 
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id", "file_id").orderBy(F.round("distance", 6), F.col("id"))
-    return (
-        partial.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "id", "file_id", "distance")
-    )
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "file_id", "distance")
+
+
+def hyperplane_codes(vector: Column, dims: int, tables: int, bits: int, seed: int = 0) -> Column:
+    """``array<int>``: for each table the signs of ``bits`` random projections (lengths do not count), numbered apart by table."""
+    planes = np.random.default_rng(seed).standard_normal((tables * bits, dims))
+    place = 1 << np.arange(bits)
+
+    @F.pandas_udf("array<int>")
+    def codes(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        above = np.stack(vectors.to_numpy()).astype(np.float64) @ planes.T > 0
+        return pd.Series(list((above.reshape(-1, tables, bits) * place).sum(axis=2) + np.arange(tables) * (1 << bits)))
+
+    return codes(vector)
+
+
+def kb_topk_lsh(
+    queries: DataFrame,
+    kb: DataFrame,
+    dims: int,
+    k: int = rules.KB_TOP_K,
+    tables: int = 10,
+    bits: int = 3,
+    block_rows: int = 2048,
+    default_file_id: str = rules.KB_DEFAULT_FILE_ID,
+    seed: int = 0,
+) -> DataFrame:
+    """Approximate :func:`kb_topk`: only chunks that share a bucket with the query in some table are compared, by their exact
+    distances; distances and ranks of what is found are exact.
+
+    A bucket is the signs of ``bits`` random hyperplanes within a file: two vectors at an angle of ``a`` degrees agree in a
+    table with probability ``(1 - a / 180) ** bits``. More bits compare fewer chunks, more tables find more. Each vector is
+    sent once for each table, never once for each block of queries; a bucket with more than ``block_rows`` is cut into blocks, so
+    no task's memory grows with a hot one. ``dims``: the length of all vectors.
+    """
+    queries, kb = _comparable(queries, kb, default_file_id)
+    by = lambda df, vector: df.withColumn("code", F.explode(hyperplane_codes(F.col(vector), dims, tables, bits, seed)))
+    hits = _block_hits(by(queries, "vector"), by(kb, "embedding"), ["file_id", "code"], k, block_rows)
+    return _ranked(hits.groupBy("query_id", "id", "file_id").agg(F.min("distance").alias("distance")), k)

@@ -550,6 +550,14 @@ ORACLES["kb_index_report"] = with_(
     "from files f left join cnts c on c.file_order = f.file_order left join holders h on h.content_hash = f.content_hash"
 )
 
+ORACLES["kb_versions"] = with_(*KB_CTES) + (
+    "select id, file_id, chunk_index, content_hash, source, md5(content) as content_md5, id in (select id from existing) as in_first from upserted "
+    "where file_id not in (select file_id from existing where cast(substring(file_id, 6) as integer) % 2 = 0)"
+)
+ORACLES["kb_embed_batches"] = with_(*KB_CTES) + (
+    "select id, " + ", ".join(f"cast(length(content) - length(replace(content, '{c}', '')) as integer) as n_{c}" for c in "aeiorst") + " from bchunks"
+)
+
 _KB_QUERY = (
     "select c.log_id, c.cluster_id, case when len(parts) > 0 then array_to_string(parts, ' ') "
     "else substring(c.representative_chunk, 1, 200) end as kb_query from ("

@@ -7,6 +7,7 @@ exactly like the matching DuckDB oracle in ``oracles.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -566,7 +567,7 @@ def kb_end_to_end_q(spark, sf):
     files = read_kb_docs(spark, f"{_stage_documents_as_files(spark, sf)}/src", recursive=True)
     files = files.withColumn("file_id", F.concat(F.lit("log"), F.regexp_extract("file_order", r"log_no=(\d+)", 1)))
     new, _report = index_kb(files, embed=_letters)
-    stored = kb.read_kb(spark, kb.write_kb(new, f"{checkpoint_dir(spark)}/kb"))
+    stored = kb.read_kb(spark, kb.write_kb(new, checkpoint_dir(spark)))
     rows = stored.where("exists(embedding, x -> x != 0)").withColumn("home", F.col("file_id")).withColumn("file_id", F.lit(rules.KB_DEFAULT_FILE_ID))
     asked = rows.where("chunk_index = 0").select(F.col("home").alias("query_id"), "file_id", F.col("embedding").alias("vector"))
     hits = kb.kb_topk(asked, rows.select("id", "file_id", "embedding"), k=rules.KB_ANALYSIS_TOP_K)
@@ -609,6 +610,43 @@ def kb_topk_q(spark, sf):
     )
 
 
+@register("kb_topk_lsh")
+def kb_topk_lsh_q(spark, sf):
+    """J3 at scale: the queries of ``kb_topk`` by random-hyperplane buckets with exact distances (recall is tested)."""
+    hits = kb.kb_topk_lsh(_vector_queries(spark, sf), inputs.embedding_kb(spark, sf), dims=64, k=rules.KB_TOP_K)
+    return hits.select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "id", "file_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance")
+    )
+
+
+@register("kb_versions")
+def kb_versions_q(spark, sf):
+    """A store in three versions: the benchmark files, the documents upserted, every second benchmark file deleted. The
+    newest version's rows, and in which version each was there already."""
+    from ..session import checkpoint_dir
+
+    store = kb.KbStore(spark, f"{checkpoint_dir(spark)}/kb-{uuid.uuid4().hex}")
+    store.upsert(kb.kb_chunks(kb.kb_new_docs(inputs.kb_benchmark_files(spark, sf))))
+    first = store.read(1, with_embedding=False)
+    new = kb.kb_new_docs(inputs.kb_document_files(spark, sf), first)
+    store.upsert(kb.kb_chunks(new))
+    store.delete(first.select("file_id").where("cast(substring(file_id, 6) as int) % 2 = 0"))
+    known = first.select("id", F.lit(True).alias("in_first"))
+    rows = store.read(with_embedding=False).join(known, "id", "left")
+    return rows.select("id", "file_id", "chunk_index", "content_hash", "source", F.md5("content").alias("content_md5"), F.coalesce("in_first", F.lit(False)).alias("in_first"))
+
+
+@register("kb_embed_batches")
+def kb_embed_batches_q(spark, sf):
+    """Vectors of the benchmark files' chunks by a function that takes texts in batches."""
+    chunks = kb.kb_chunks(kb.kb_new_docs(inputs.kb_benchmark_files(spark, sf)), embed=kb.embed_in_batches(_letter_counter))
+    return chunks.select("id", *[F.col("embedding")[i].cast("int").alias(f"n_{c}") for i, c in enumerate("aeiorst")])
+
+
+def _letter_counter():
+    return lambda texts: [[float(t.count(c)) for c in "aeiorst"] for t in texts]
+
+
 @register("kb_context")
 def kb_context_q(spark, sf):
     """Context text from each query's top-3 hits in its file; some contexts are cut."""
@@ -638,8 +676,6 @@ DOCS_PER_LOG = 25
 def _stage_documents_as_files(spark, sf) -> str:
     """Spark writes the documents as log files of ``DOCS_PER_LOG`` neighbouring ids (``log_no=N/part-*.txt``)
     under the shared checkpoint folder; returns the folder."""
-    import uuid
-
     from ..session import checkpoint_dir
 
     root = f"{checkpoint_dir(spark)}/intake-{uuid.uuid4().hex}"
@@ -690,8 +726,6 @@ def stream_cluster_window_q(spark, sf):
     seclog lines clustered in 300-second windows with a 10-minute watermark,
     append mode into parquet; returns what the stream emitted (every window
     closed by the final watermark)."""
-    import uuid
-
     from ..session import checkpoint_dir
     from ..sources.fixtures import fixture
     from ..streaming.intake import stream_cluster_windows

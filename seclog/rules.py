@@ -87,6 +87,7 @@ KB_DEFAULT_FILE_ID = "default"
 KB_TOP_K = 5
 KB_ANALYSIS_TOP_K = 3
 KB_CONTENT_HASH_LENGTH = 16
+EMBED_BATCH = 20
 KB_QUERY_FALLBACK_CHARS = 200
 KB_CONTEXT_MAX_CHARS = 1500
 KB_CONTEXT_SEPARATOR = "\n---\n"
@@ -128,7 +129,6 @@ DISPLAY_DEFAULTS = {
     "recommendation": "无建议",
 }
 DISPLAY_NO_IOC = "无IOC"
-DISPLAY_IOC_SEPARATOR = "<br>"
 
 # FIXED VALUES — enrichment.
 IOC_ROUTES = {"ipv4": "ip", "domain": "domain", "md5": "hash", "sha1": "hash", "sha256": "hash"}
