@@ -1,9 +1,8 @@
 """Payload decoding: URL unquote, HTML entities, one base64 run.
 
-URL and base64 steps are built-in expressions (JVM). HTML entity unescaping
-needs the full HTML5 entity table, which Spark lacks; it runs as an
-Arrow-batched pandas UDF that only ever sees rows containing ``&`` (other
-rows pass a null, so nothing is shipped for them).
+All steps are built-in expressions (JVM). For HTML entities, which Spark has no function for, a
+text is split at its references; each is looked up in a constant table made from Python's own
+(names by their first two characters, then the longest name that the reference begins with).
 
 Each step references its input as few times as possible, and
 :func:`with_decoded` materialises every step as its own column, so the
@@ -14,11 +13,11 @@ input four times would make three nested rounds 64 copies deep).
 from __future__ import annotations
 
 import html
+import html.entities
+import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import rules
 
@@ -50,14 +49,70 @@ def url_unquote(c: Column, rounds: int = rules.URL_DECODE_ROUNDS) -> Column:
     return c
 
 
-@F.pandas_udf(StringType())
-def _html_unescape_batch(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: html.unescape(v) if isinstance(v, str) else None)
+# what Python's html.unescape takes for a reference
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_REPLACEMENT = "\ufffd"
+
+
+def _entity_table() -> Column:
+    """``map<two characters, struct<names, texts>>``: the names that begin so (the longest first) and what they stand for."""
+    by: dict[str, list[tuple[str, str]]] = {}
+    for name, text in html.entities.html5.items():
+        by.setdefault(name[:2], []).append((name, text))
+    table = {}
+    for start, pairs in sorted(by.items()):
+        pairs.sort(key=lambda p: (-len(p[0]), p[0]))
+        table[start] = {"names": [n for n, _ in pairs], "texts": [t for _, t in pairs]}
+    # one constant, read when the plan is made
+    return F.from_json(F.lit(json.dumps(table)), "map<string,struct<names:array<string>,texts:array<string>>>")
+
+
+def _named(s: Column, table: Column) -> Column:
+    """A reference without its ``&`` by the longest name that it begins with; null if there is none."""
+    of = F.try_element_at(table, F.substring(s, 1, 2))
+
+    def found(entry: Column) -> Column:
+        i = F.get(F.filter(F.transform(entry["names"], lambda n, i: F.when(s.startswith(n), i)), lambda i: i.isNotNull()), 0)
+        return F.concat(F.get(entry["texts"], i), F.substring(s, F.length(F.get(entry["names"], i)) + 1, F.length(s)))
+
+    return F.get(F.transform(F.array(of), found), 0)
+
+
+def _numbered(s: Column) -> Column:
+    """A numeric reference without its ``&#``."""
+    digits = F.regexp_replace(s, F.lit("^[xX]?0*|;$"), F.lit(""))
+    # what has more digits than any code point is beyond them
+    code = F.when(F.length(digits) > 7, F.lit(0x7FFFFFFF)).otherwise(F.conv(F.when(digits == "", F.lit("0")).otherwise(digits), 16, 10).cast("int"))
+    plain = F.when(F.length(digits) > 7, F.lit(0x7FFFFFFF)).otherwise(F.when(digits == "", F.lit(0)).otherwise(digits.try_cast("int")))
+    number = F.when(s.rlike("^[xX]"), code).otherwise(plain)
+
+    def text(n: Column) -> Column:
+        odd = F.create_map(*[F.lit(v) for k, t in html._invalid_charrefs.items() for v in (k, t)])
+        return (
+            F.when(n.isin(*html._invalid_charrefs), F.try_element_at(odd, n))
+            .when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit(_REPLACEMENT))
+            .when(n.isin(*html._invalid_codepoints), F.lit(""))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        )
+
+    return F.get(F.transform(F.array(number), text), 0)
 
 
 def html_unescape(c: Column) -> Column:
-    """HTML5 entity unescape; only rows containing ``&`` are sent to Python."""
-    return F.coalesce(_html_unescape_batch(F.when(c.contains("&"), c)), c)
+    """HTML5 entity unescape, as Python's ``html.unescape``; a text without ``&`` comes back unchanged."""
+
+    def replaced(table: Column) -> Column:
+        def one(r: Column) -> Column:
+            s = F.substring(r, 2, F.length(r))
+            return F.when(s.startswith("#"), _numbered(F.substring(s, 2, F.length(s)))).otherwise(F.coalesce(_named(s, table), r))
+
+        references = F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)), one)
+        gaps = F.split(c, _REFERENCE, -1)
+        # a gap, a reference, a gap, ...
+        both = F.zip_with(gaps, references, lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
+        return F.array_join(both, "")
+
+    return F.when(c.contains("&"), F.get(F.transform(F.array(_entity_table()), replaced), 0)).otherwise(c)
 
 
 def base64_text(m: Column) -> Column:

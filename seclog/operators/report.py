@@ -72,6 +72,13 @@ def mitre_matrix(threat_events: DataFrame) -> DataFrame:
     )
 
 
+def mitre_pivot(threat_events: DataFrame, tactics: Sequence[str] | None = None) -> DataFrame:
+    """The matrix as a view: a row per technique, a column of event counts per tactic (``tactics``: the columns in their
+    order; by default those that occur, which Spark limits by ``spark.sql.pivotMaxValues``)."""
+    cells = mitre_matrix(threat_events).groupBy("mitre_id", "technique_name")
+    return cells.pivot("tactic", list(tactics) if tactics is not None else None).agg(F.sum("events").cast("long")).na.fill(0)
+
+
 def kb_query_text(
     clusters: DataFrame,
     summary: DataFrame,

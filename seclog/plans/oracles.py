@@ -377,6 +377,27 @@ ORACLES["mitre_matrix"] = with_(*_seclog_chain()) + (
     "from threat group by 1, 2, 3"
 )
 
+ORACLES["mitre_pivot"] = with_(*_seclog_chain()) + (
+    f"select {_disp('mitre_id')} as mitre_id, {_disp('technique_name')} as technique_name, "
+    + ", ".join(f"cast(count(*) filter (where {_disp('tactic')} = 'tac{i}') as bigint) as tac{i}" for i in range(3))
+    + " from threat group by 1, 2"
+)
+
+ORACLES["result_sink"] = with_(
+    *_seclog_chain(),
+    "tot as (select user_id as log_id, count(*) as t from seclog group by 1)",
+    "sn as (select log_id, count(*) as s from keyed group by 1)",
+    "en as (select log_id, count(*) as e, sum(case when coalesce(is_threat, false) and error is null then 1 else 0 end) as th, sum(n_iocs) as ni, "
+    "sum(coalesce(confidence, 0)) as conf from events_n group by 1)",
+    "mn as (select log_id, count(*) as i, sum(length(value)) as c from merged group by 1)",
+) + (
+    "select tot.log_id, case when coalesce(sn.s, 0) = 0 then '未发现安全威胁' "
+    "else printf('发现%d个安全事件，共%d条可疑日志聚类而成', coalesce(en.th, 0), sn.s) end as summary, "
+    "cast(coalesce(en.th, 0) as bigint) as threat_events, cast(coalesce(en.ni, 0) as bigint) as total_iocs, cast(coalesce(en.e, 0) as bigint) as events, "
+    "cast(coalesce(mn.i, 0) as bigint) as iocs, cast(coalesce(mn.c, 0) as bigint) as ioc_chars, round(en.conf, 6) as confidence "
+    "from tot left join sn on sn.log_id = tot.log_id left join en on en.log_id = tot.log_id left join mn on mn.log_id = tot.log_id"
+)
+
 ORACLES["report_events"] = with_(*_seclog_chain()) + (
     f"select log_id, cluster_id, sample_count, {_disp('attack_type')} as attack_type_display, {_disp('mitre_id')} as mitre_id_display, "
     f"{_disp('tactic')} as tactic_display, {_disp('technique_name')} as technique_name_display, confidence, {_BAND} as risk_band, "
@@ -417,6 +438,19 @@ ORACLES["fresh_snapshot"] = with_(*REPUTATION_CTES) + (
 )
 
 
+ORACLES["fresh_snapshot_no_errors"] = (
+    with_(*REPUTATION_CTES)
+    .replace("from reputation_raw where", "from (select * from reputation_raw where http_status in (200, 404)) rr where")
+    .replace(f"< {rules.REPUTATION_TTL_SEC} ", f"< {6 * rules.REPUTATION_TTL_SEC} ")
+) + "select ioc_type, ioc_value, found, malicious_count, error, fetched_at from rep"
+
+_STORED = (
+    "stored as (select * replace (case when length(ioc_value) % 4 = 3 then substring(body, 1, 20) else body end as body) from reputation_raw)",
+    "judged as (select *, case when http_status = 200 and body is not null and not json_valid(body) then 'corrupt_body' else 'ok' end as state from stored)",
+)
+ORACLES["read_responses"] = with_(*views("reputation_raw"), *_STORED) + "select ioc_type, ioc_value, http_status, state from judged"
+
+
 def _clean_domain(c: str) -> str:
     return f"regexp_extract(regexp_replace(lower(regexp_replace({c}, {STRIP})), '^(?:https://)?(?:http://)?(?:ftp://)?', ''), '^[^/:]*', 0)"
 
@@ -463,6 +497,17 @@ ORACLES["enrich_reputation"] = with_(*views("reputation_raw"), *_seclog_chain(),
     f"r.suspicious_count as vt_suspicious_count, r.error as vt_error from merged m left join rep r on r.ioc_type = {_ROUTE} and r.ioc_value = m.value"
 )
 
+ORACLES["enrich_stored"] = with_(
+    *views("reputation_raw"),
+    *_STORED,
+    "kept_raw as (select * from judged where state = 'ok')",
+    *_seclog_chain(),
+    *[c.replace("from reputation_raw where", "from kept_raw where") for c in REPUTATION_CTES[1:]],
+) + (
+    f"select m.log_id, m.cluster_id, m.type, m.value, {_ROUTE} as route, r.found as vt_found, r.malicious_count as vt_malicious_count, "
+    f"r.error as vt_error from merged m left join rep r on r.ioc_type = {_ROUTE} and r.ioc_value = m.value"
+)
+
 ORACLES["enrich_registration"] = with_(*views("registration_raw"), *_seclog_chain(), *REGISTRATION_CTES[1:]) + (
     "select m.log_id, m.cluster_id, m.value, g.registrar as whois_registrar, g.creation_date as whois_creation_date, g.error as whois_error "
     f"from merged m left join reg g on g.domain = {_clean_domain('m.value')} where m.type = 'domain'"
@@ -629,6 +674,30 @@ ORACLES["stream_cluster_window_300s"] = with_(*_seclog_chain()) + (
     "(select max(ts) from events) - interval 10 minute"
 )
 
+ORACLES["stream_verdicts"] = with_(
+    *_seclog_chain(),
+    "fc as (select c.log_id, c.cluster_id, c.first_event_id as event_id, e.ts as seen_at from clusters c join events e on e.event_id = c.first_event_id)",
+    "ans as (select fc.*, seen_at + to_minutes(cast(event_id % 3 * 40 as integer)) as answered_at from fc where event_id % 5 <> 4)",
+    "wm as (select least((select max(seen_at) from fc), (select max(answered_at) from ans)) - interval 10 minute as w)",
+    "j as (select fc.*, a.answered_at is not null as answered from fc left join ans a on a.event_id = fc.event_id and a.log_id = fc.log_id "
+    "and a.cluster_id = fc.cluster_id and a.answered_at <= fc.seen_at + interval 1 hour)",
+    "emitted as (select * from j where answered or seen_at + interval 1 hour < (select w from wm))",
+) + (
+    "select e.log_id, e.cluster_id, e.event_id, case when answered then v.is_threat end as is_threat, case when answered then v.attack_type end as attack_type, "
+    "case when answered then v.confidence end as confidence, case when answered then v.error else 'llm_json_parse_failed' end as error "
+    "from emitted e left join verdicts v on v.log_id = e.log_id and v.cluster_no = e.event_id"
+)
+
+ORACLES["stream_worklist"] = with_(
+    *views("seclog"),
+    "src as (select event_id, line as x from seclog)",
+    *ioc_ctes("src", ["event_id"]),
+    f"k as materialized (select distinct {_ROUTE} as ioc_type, value as ioc_value, ts from kept_i i join seclog s on s.event_id = i.event_id where {_ROUTE} is not null)",
+    "asks as (select ioc_type, ioc_value, min(ts) as asked_at from k group by all union all "
+    "select a.ioc_type, a.ioc_value, min(k.ts) from asks a join k on k.ioc_type = a.ioc_type and k.ioc_value = a.ioc_value "
+    f"and k.ts >= a.asked_at + interval {rules.REPUTATION_TTL_SEC} second group by all)",
+).replace("with ", "with recursive ", 1) + "select ioc_type, ioc_value, cast(asked_at as varchar) as asked_at from asks"
+
 _LETTERS = "[" + ", ".join(f"cast(length(content) - length(replace(content, '{c}', '')) as double)" for c in "aeiorst") + "]"
 ORACLES["kb_end_to_end"] = with_(
     _FILE_LOGS,

@@ -355,6 +355,31 @@ def mitre_matrix_q(spark, sf):
     return report.mitre_matrix(threats(events))
 
 
+@register("mitre_pivot")
+def mitre_pivot_q(spark, sf):
+    """A11 as a view: events by technique (rows) and tactic (columns)."""
+    events, _m = _seclog_events(spark, sf)
+    return report.mitre_pivot(threats(events), [f"tac{i}" for i in range(3)])
+
+
+@register("result_sink")
+def result_sink_q(spark, sf):
+    """Run rows, events and their indicators written as JSON lines and read again; one row per log with what the files hold."""
+    from ..session import checkpoint_dir
+    from ..sources.logs import write_result
+
+    events, merged = _seclog_events(spark, sf)
+    totals = inputs.seclog_chunks(spark, sf).groupBy("log_id").agg(F.count(F.lit(1)).alias("total_chunks_processed"))
+    runs = run_summary(totals, None, events.select("log_id", "cluster_id", "sample_count"), events.select("log_id", "cluster_id", "is_threat", "error", "n_iocs"))
+    path = f"{checkpoint_dir(spark)}/result-{uuid.uuid4().hex}"
+    write_result(runs, path, events.drop("merged_count"), merged)
+    back = lambda name, df: spark.read.schema(df.schema).json(f"{path}/{name}")
+    events_in = back("events", events.drop("merged_count")).groupBy("log_id").agg(F.count("*").alias("events"), F.sum(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
+    iocs_in = back("iocs", merged).groupBy("log_id").agg(F.count("*").alias("iocs"), F.sum(F.length("value")).alias("ioc_chars"))
+    out = back("runs", runs).join(events_in, "log_id", "left").join(iocs_in, "log_id", "left")
+    return out.select("log_id", "summary", "threat_events", "total_iocs", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("events", "iocs", "ioc_chars")], F.round("confidence", 6).alias("confidence"))
+
+
 @register("report_events")
 def report_events_q(spark, sf):
     """One row per threat event with its IOC count, display fields and risk band."""
@@ -424,6 +449,50 @@ def registration_snapshot_q(spark, sf):
     )
 
 
+@register("fresh_snapshot_no_errors")
+def fresh_snapshot_no_errors_q(spark, sf):
+    """W4 with D12 mended: failures are not remembered, so an older answer of the key counts."""
+    snap = intel.fresh_snapshot(inputs.reputation_raw(spark, sf), ["ioc_type", "ioc_value"], FIXTURE_AS_OF, 6 * rules.REPUTATION_TTL_SEC, drop_errors=True)
+    return intel.project_reputation(snap).select("ioc_type", "ioc_value", "found", "malicious_count", "error", "fetched_at")
+
+
+def _stored_responses(spark, sf):
+    """The reputation responses as a lake would hold them: JSON files, some bodies cut off on the way."""
+    from ..session import checkpoint_dir
+    from ..sources.logs import read_responses
+
+    path = f"{checkpoint_dir(spark)}/responses-{uuid.uuid4().hex}"
+    raw = inputs.reputation_raw(spark, sf).withColumn("fetched_at", F.col("fetched_at").cast("string"))
+    cut = F.when(F.length("ioc_value") % 4 == 3, F.substring("body", 1, 20)).otherwise(F.col("body"))
+    raw.withColumn("body", cut).write.json(path)
+    schema = "ioc_type string, ioc_value string, http_status int, body string, fetched_at string"
+    good, bad = read_responses(spark, path, ["ioc_type", "ioc_value"], "json", schema)
+    return good.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")), bad
+
+
+@register("read_responses")
+def read_responses_q(spark, sf):
+    """Responses read from files, those with a broken body in quarantine."""
+    good, bad = _stored_responses(spark, sf)
+    cols = ["ioc_type", "ioc_value", "http_status"]
+    return good.select(*cols, F.lit("ok").alias("state")).unionByName(bad.select(*cols, F.col("reason").alias("state")))
+
+
+@register("enrich_stored")
+def enrich_stored_q(spark, sf):
+    """S10 + W4 + J1: the fresh part of stored responses as a table bucketed by key, joined to the merged indicators; the snapshot
+    is not shuffled."""
+    from ..session import checkpoint_dir
+    from ..sources.logs import write_snapshot
+
+    good, _bad = _stored_responses(spark, sf)
+    name = f"reputation_{uuid.uuid4().hex}"
+    fresh = intel.project_reputation(intel.fresh_snapshot(good, ["ioc_type", "ioc_value"], FIXTURE_AS_OF, rules.REPUTATION_TTL_SEC))
+    snapshot = write_snapshot(fresh, name, f"{checkpoint_dir(spark)}/{name}", ["ioc_type", "ioc_value"])
+    e = intel.enrich_reputation(merged_keys(_seclog_keyed(spark, sf, context=None)), snapshot)
+    return e.select("log_id", "cluster_id", "type", "value", "route", "vt_found", "vt_malicious_count", "vt_error")
+
+
 @register("enrich_reputation")
 def enrich_reputation_q(spark, sf):
     """Every merged indicator of every cluster, with reputation when known."""
@@ -747,3 +816,50 @@ def stream_cluster_window_q(spark, sf):
     )
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+#: The stream of responses: how many minutes after its cluster one arrives (too late for an hour's wait at 80), by event.
+_ANSWER_MINUTES = "cast(event_id % 3 * 40 as int)"
+
+
+@register("stream_verdicts")
+def stream_verdicts_q(spark, sf):
+    """S11/J4 as a stream: clusters and the responses that arrive later, joined with watermarks; a cluster without an answer
+    within the hour ends with the error of a missing one. Returns what the stream emitted."""
+    from ..session import checkpoint_dir
+    from ..streaming.intake import stream_verdicts
+
+    root = f"{checkpoint_dir(spark)}/verdicts-{uuid.uuid4().hex}"
+    lines = _seclog_keyed(spark, sf, context=None)
+    first = lines.groupBy("log_id", "cluster_id").agg(F.min("event_id").alias("event_id"))
+    at = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("seen_at"))
+    clusters = cut_lineage(first.join(at, "event_id"))
+    answers = clusters.where("event_id % 5 != 4").join(inputs.verdict_raw(spark, sf).select(F.col("cluster_no").alias("event_id"), "raw"), "event_id")
+    answers = answers.select("log_id", "cluster_id", "raw", F.expr(f"seen_at + make_dt_interval(0, 0, {_ANSWER_MINUTES})").alias("answered_at"))
+    clusters.select("log_id", "cluster_id", "event_id", "seen_at").write.parquet(f"{root}/clusters")
+    answers.write.parquet(f"{root}/answers")
+    read = lambda name: spark.readStream.schema(spark.read.parquet(f"{root}/{name}").schema).parquet(f"{root}/{name}")
+    out = stream_verdicts(read("clusters"), read("answers"))
+    q = out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/chk").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out").select("log_id", "cluster_id", "event_id", "is_threat", "attack_type", "confidence", "error")
+
+
+@register("stream_worklist")
+def stream_worklist_q(spark, sf):
+    """C11/W4 as a stream: the indicators of the log lines in three runs of the stream, by time; each key is asked for once per time
+    to live."""
+    from ..session import checkpoint_dir
+    from ..streaming.intake import stream_worklist
+
+    root = f"{checkpoint_dir(spark)}/worklist-{uuid.uuid4().hex}"
+    lines = _seclog_filtered(spark, sf, context=None).select("event_id", F.col("ts").cast("timestamp").alias("ts"), ioc_rows(F.col("iocs")))
+    rows = cut_lineage(lines.select("ts", "type", "value"))
+    low, high = rows.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    part = F.least(F.floor((F.col("ts").cast("double") - F.lit(low or 0.0)) / F.lit(((high or 0.0) - (low or 0.0)) / 3 + 1)), F.lit(2))
+    for i in range(3):
+        rows.where(part == i).write.mode("append").parquet(f"{root}/in")
+        asks = stream_worklist(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
+        q = asks.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/chk").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(asks.schema).parquet(f"{root}/out").select("ioc_type", "ioc_value", F.col("asked_at").cast("string").alias("asked_at"))
