@@ -16,7 +16,6 @@ size go by ``doc_id`` (null first); which of two rows alike in both comes first
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, fresh, ranked, table, whole_row_hash, with_small
@@ -65,14 +64,15 @@ def planned(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", most: int = MOST) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. The texts are shuffled once, to meet their copies."""
-    row, seen, times = fresh(docs, "row"), fresh(docs, "seen"), fresh(docs, "times")
+    """The rows of ``docs``, each as often as the mix takes it. Repeated rows are merged in the tasks that read them, and what
+    is left of the texts is shuffled once, to meet their copies."""
+    row, times = fresh(docs, "row"), fresh(docs, "times")
     marked = docs.withColumn(row, whole_row_hash(docs))
     plan = planned(marked.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(row).alias("row"), words_in(F.col(f"`{text}`")).alias("size")), most)
     # rows alike in every column are one row with the sum of their copies
     taken = plan.groupBy(F.col("row").alias(row)).agg(F.sum("copies").alias(times)).where(F.col(times) > 0)
-    met = marked.join(taken, row).withColumn(seen, F.row_number().over(W.partitionBy(row).orderBy(row))).where(F.col(seen) == 1)
-    return met.withColumn(seen, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = marked.dropDuplicates([row]).join(taken, row)
+    return met.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

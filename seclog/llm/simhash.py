@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,14 +202,12 @@ def near_duplicates(docs: DataFrame, key: Column, k: int = 3, radius: int = 3, t
 def keep_one(docs: DataFrame, k: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest ``doc_id`` (null ids last), and of
     rows with that id the one whose row hash is smallest; repeated rows count as one."""
-    row, last, seen = fresh(docs, "row"), fresh(docs, "last"), fresh(docs, "seen")
-    marked = docs.withColumn(row, whole_row_hash(docs)).withColumn(last, F.col(f"`{doc_id}`").isNull())
-    key = F.struct(F.col(last).alias("last"), F.col(f"`{doc_id}`").alias("id"), F.col(row).alias("row"))
-    kept = near_duplicates(marked, key, k, radius, text).select(F.col("component.row").alias(row), F.col("component.last").alias(last), F.col("component.id").alias("__id")).distinct()
-    same = (marked[row] == kept[row]) & (marked[last] == kept[last]) & marked[f"`{doc_id}`"].eqNullSafe(kept["__id"])
-    chosen = marked.join(kept, same, "left_semi")
-    first = W.partitionBy(row, last, f"`{doc_id}`").orderBy(row)
-    return chosen.withColumn(seen, F.row_number().over(first)).where(F.col(seen) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = fresh(docs, "row")
+    marked = docs.withColumn(row, whole_row_hash(docs))
+    key = F.struct(F.col(f"`{doc_id}`").isNull().alias("last"), F.col(f"`{doc_id}`").alias("id"), F.col(row).alias("row"))
+    kept = near_duplicates(marked, key, k, radius, text).select(F.col("component.row").alias(row)).distinct()
+    # repeated rows are merged in the tasks that read them, so a row that a third of all are costs no task more than others
+    return marked.dropDuplicates([row]).join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
