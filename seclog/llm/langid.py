@@ -11,6 +11,11 @@ Learning reads at most ``train_bytes`` bytes in all, an equal part for each lang
 are broadcast. What is read are pieces of texts, at most a 64th of the part long, drawn by a hash of text and offset, so
 every language that has bytes is learnt, however long its texts. A null text or one without a letter is ``und`` with
 score 0, as is every text if nothing could be learnt. Equal pieces count once in learning; repeated rows get the same prediction.
+Other columns are kept whatever their names.
+
+The score compares languages with each other and says nothing about texts of none of them. For these there is an absolute
+measure, the bits per byte of the shortest code: :func:`keep_known` rejects a text whose code is longer than the
+codes of nearly all held-out texts of the language (``SLACK`` times their 99th percentile).
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ PAD = b"\n\n\n"
 #: Bytes scored at once.
 BLOCK = 1 << 20
 UNKNOWN = "und"
+#: Held-out texts of a language that a limit of bits per byte takes at least, and how far over their 99th percentile it lies.
+HELD_TEXTS, SLACK = 20, 1.5
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,13 +213,13 @@ def learn(rows: DataFrame, train_bytes: int = TRAIN_BYTES) -> Trees | None:
 
 
 def predict(text: Column, trees: Trees | None, sc) -> Column:
-    """A struct ``lang, score``."""
+    """A struct ``lang, score, bits``: ``bits`` per byte of the shortest code (null where there is none)."""
     shared = sc.broadcast(trees)
-    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
 
     @F.arrow_udf(kind)
     def named(texts: pa.Array) -> pa.Array:
-        trees, best, score = shared.value, [], []
+        trees, best, score, bits = shared.value, [], [], []
         rows = [x.as_py() for x in texts]
         at = 0
         while at < len(rows):
@@ -226,11 +233,13 @@ def predict(text: Column, trees: Trees | None, sc) -> Column:
                 if trees is None or not any(map(str.isalpha, t.decode("utf-8", "ignore"))):
                     best.append(UNKNOWN)
                     score.append(0.0)
+                    bits.append(None)
                     continue
                 k = int(lengths[i].argmin())
                 best.append(trees.langs[k])
                 score.append(float(1 / np.exp2(np.maximum(lengths[i][k] - lengths[i], -1000)).sum()))
-        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+                bits.append(float(lengths[i][k] / len(t)))
+        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], ["lang", "score", "bits"])
 
     return named(utf8(text))
 
@@ -242,11 +251,29 @@ def learn_from(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id:
     return learn(train.select(F.col(f"`{lang}`").alias("lang"), utf8(F.col(f"`{text}`")).alias("text")), train_bytes)
 
 
+def longest_codes(docs: DataFrame, trees: Trees | None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, float]:
+    """The most bits per byte that a text of each learnt language may take, by the held-out texts (fold 0) that are labelled
+    so and found to be so. Languages with fewer than ``HELD_TEXTS`` of them have the largest limit of the others (none if all
+    have fewer)."""
+    if trees is None:
+        return {}
+    held = docs.where((id_fold(F.col(f"`{doc_id}`"), FOLDS) == 0) & F.col(f"`{lang}`").isNotNull())
+    found = held.select(F.col(f"`{lang}`").alias("own"), predict(F.col(f"`{text}`"), trees, docs.sparkSession.sparkContext).alias("g")).where("own = g.lang")
+    rows = found.groupBy("own").agg(F.count("*").alias("n"), F.percentile_approx("g.bits", 0.99, 1000).alias("most")).where(F.col("n") >= HELD_TEXTS)
+    limits = {r.own: SLACK * r.most for r in rows.collect()}  # one row for each learnt language, as in the trees
+    return {x: limits.get(x, max(limits.values())) for x in trees.langs} if limits else {}
+
+
 def keep_known(docs: DataFrame, langs: list[str] | None = None, least: float = 0.5, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose text is in one of ``langs`` (all learnt ones by default) with at least this score."""
-    guess = fresh(docs, "guess")
-    found = docs.withColumn(guess, predict(F.col(f"`{text}`"), learn_from(docs, text, lang, doc_id), docs.sparkSession.sparkContext))
+    """The rows of ``docs`` whose text is in one of ``langs`` (all learnt ones by default) with at least this score, and
+    whose code is not longer than texts of that language have (:func:`longest_codes`)."""
+    guess, trees = fresh(docs, "guess"), learn_from(docs, text, lang, doc_id)
+    limits = longest_codes(docs, trees, text, lang, doc_id)
+    found = docs.withColumn(guess, predict(F.col(f"`{text}`"), trees, docs.sparkSession.sparkContext))
     keep = (F.col(f"{guess}.lang") != UNKNOWN) & (F.col(f"{guess}.score") >= least)
+    if limits:
+        most = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])
+        keep = keep & F.coalesce(F.col(f"{guess}.bits") <= F.try_element_at(most, F.col(f"{guess}.lang")), F.lit(True))
     if langs is not None:
         keep = keep & F.col(f"{guess}.lang").isin(langs)
     return found.where(keep).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -88,3 +88,22 @@ def test_long_texts_and_copies_are_learnt(spark):
     assert trees.langs == ["de", "en", "fr"] and len(trees.window_cost) <= 20_000
     lengths = trees.lengths([b"the same words again", b"some other words", b"de1024 de4096", b"fr1024 fr4096"])
     assert [trees.langs[k] for k in lengths.argmin(axis=1)] == ["en", "en", "de", "fr"]
+
+
+def test_texts_of_no_learnt_language_go(spark):
+    """Gibberish and other languages among the given texts: their codes are longer than those of held-out texts."""
+    import random
+
+    rng = random.Random(9)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 300")
+    finnish = "minun ystäväni asuu pienessä talossa järven rannalla ja kalastaa joka aamu ennen työhön lähtöä koska hän pitää hiljaisuudesta".split()
+    polish = "wczoraj wieczorem poszliśmy nad rzekę żeby zobaczyć zachód słońca i porozmawiać o przyszłości naszych dzieci przy ognisku".split()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 12))) for _ in range(80)) for _ in range(5)]
+    odd += [" ".join(rng.choice(words) for _ in range(80)) for words in (finnish, polish) for _ in range(3)]
+    odd += [" ".join("%08x" % rng.getrandbits(32) for _ in range(60)) for _ in range(3)]
+    more = spark.createDataFrame([(10**9 + i, t, None, "odd", len(t)) for i, t in enumerate(odd)], docs.schema)
+    kept = {r.doc_id for r in keep_known(docs.unionByName(more)).select("doc_id").collect()}
+    given = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert not any(10**9 + i in kept for i in range(len(odd))), [t[:30] for i, t in enumerate(odd) if 10**9 + i in kept]
+    assert len(kept & given) >= 0.999 * len(given)
