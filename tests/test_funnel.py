@@ -76,3 +76,24 @@ def test_cluster_ids_without_indicators_agree(spark, sf):
         want = {(r.log_id, r.chunk_ix): r.cluster_id if r.is_suspicious else None for r in cluster_key(full).collect()}
         got = {(r.log_id, r.chunk_ix): r.cluster_id for r in cluster_ids(df, keys=("log_id", "chunk_ix"), decode="reference").collect()}
         assert got == want
+
+
+def test_texts_are_not_aggregated(spark, sf):
+    """Clusters, merged indicators and the knowledge base are found by hash aggregates; texts are joined afterwards."""
+    for name in ("cluster_events", "merged_iocs", "ioc_summary", "funnel_documents", "funnel_documents_decoded", "kb_upsert", "kb_delete", "kb_files"):
+        plan = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan, name
+
+
+def test_merged_places_beyond_int(spark):
+    """Chunk numbers of any size, also where an indicator comes in several chunks of a cluster."""
+    big = 2**40
+    rows = [(1, big + 5, "1.1.1.1 evil.com"), (1, big + 3, "1.1.1.1 a.io evil.com"), (1, big + 9, "1.1.1.1 EVIL.com")]
+    for kind in ("long", "int"):
+        base = big if kind == "int" else 0
+        df = spark.createDataFrame([(a, b - base, c) for a, b, c in rows], f"log_id int, chunk_ix {kind}, chunk string")
+        keyed = cluster_key(suspicious(filter_chunks(df, decode="none")))
+        got = sorted((r.type, r.value, r.first_chunk_ix + base, r.first_ioc_ix, r.context) for r in merged_iocs(keyed).collect())
+        first = "1.1.1.1 a.io evil.com"
+        assert got == [("domain", "EVIL.com", big + 9, 1, "1.1.1.1 EVIL.com"), ("domain", "a.io", big + 3, 1, first), ("domain", "evil.com", big + 3, 2, first), ("ipv4", "1.1.1.1", big + 3, 0, first)]
+        assert merged_iocs(keyed).schema["first_chunk_ix"].dataType.simpleString() == {"long": "bigint", "int": "int"}[kind]
