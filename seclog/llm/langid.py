@@ -39,8 +39,8 @@ PIECE, PIECES = 4096, 64
 FOLDS = 5
 #: Stands before every text.
 PAD = b"\n\n\n"
-#: Bytes scored at once.
-BLOCK = 1 << 20
+#: Bytes scored at once; the arrays for them take about a hundred times as much.
+BLOCK = 1 << 18
 UNKNOWN = "und"
 #: Held-out texts of a language that a limit of bits per byte takes at least, and how far over their 99th percentile it lies.
 HELD_TEXTS, SLACK = 20, 1.5
@@ -212,9 +212,10 @@ def learn(rows: DataFrame, train_bytes: int = TRAIN_BYTES) -> Trees | None:
     return grow(found) if len(found) else None
 
 
-def predict(text: Column, trees: Trees | None, sc) -> Column:
-    """A struct ``lang, score, bits``: ``bits`` per byte of the shortest code (null where there is none)."""
-    shared = sc.broadcast(trees)
+def predict(text: Column, trees: Trees | None, sc, shared=None) -> Column:
+    """A struct ``lang, score, bits``: ``bits`` per byte of the shortest code (null where there is none). ``shared``: the trees
+    as a broadcast variable, if there is one."""
+    shared = shared or sc.broadcast(trees)
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
 
     @F.arrow_udf(kind)
@@ -251,14 +252,14 @@ def learn_from(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id:
     return learn(train.select(F.col(f"`{lang}`").alias("lang"), utf8(F.col(f"`{text}`")).alias("text")), train_bytes)
 
 
-def longest_codes(docs: DataFrame, trees: Trees | None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, float]:
+def longest_codes(docs: DataFrame, trees: Trees | None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", shared=None) -> dict[str, float]:
     """The most bits per byte that a text of each learnt language may take, by the held-out texts (fold 0) that are labelled
     so and found to be so. Languages with fewer than ``HELD_TEXTS`` of them have the largest limit of the others (none if all
     have fewer)."""
     if trees is None:
         return {}
     held = docs.where((id_fold(F.col(f"`{doc_id}`"), FOLDS) == 0) & F.col(f"`{lang}`").isNotNull())
-    found = held.select(F.col(f"`{lang}`").alias("own"), predict(F.col(f"`{text}`"), trees, docs.sparkSession.sparkContext).alias("g")).where("own = g.lang")
+    found = held.select(F.col(f"`{lang}`").alias("own"), predict(F.col(f"`{text}`"), trees, docs.sparkSession.sparkContext, shared).alias("g")).where("own = g.lang")
     rows = found.groupBy("own").agg(F.count("*").alias("n"), F.percentile_approx("g.bits", 0.99, 1000).alias("most")).where(F.col("n") >= HELD_TEXTS)
     limits = {r.own: SLACK * r.most for r in rows.collect()}  # one row for each learnt language, as in the trees
     return {x: limits.get(x, max(limits.values())) for x in trees.langs} if limits else {}
@@ -268,8 +269,10 @@ def keep_known(docs: DataFrame, langs: list[str] | None = None, least: float = 0
     """The rows of ``docs`` whose text is in one of ``langs`` (all learnt ones by default) with at least this score, and
     whose code is not longer than texts of that language have (:func:`longest_codes`)."""
     guess, trees = fresh(docs, "guess"), learn_from(docs, text, lang, doc_id)
-    limits = longest_codes(docs, trees, text, lang, doc_id)
-    found = docs.withColumn(guess, predict(F.col(f"`{text}`"), trees, docs.sparkSession.sparkContext))
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast(trees)  # once for both passes
+    limits = longest_codes(docs, trees, text, lang, doc_id, shared)
+    found = docs.withColumn(guess, predict(F.col(f"`{text}`"), trees, sc, shared))
     keep = (F.col(f"{guess}.lang") != UNKNOWN) & (F.col(f"{guess}.score") >= least)
     if limits:
         most = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])
