@@ -339,32 +339,40 @@ def enhance_query(df: DataFrame, query_col: str = "kb_query", out: str = "enhanc
     return x.withColumn(out, enhanced).drop("_q_iocs")
 
 
+#: Distances that numpy holds at a time: a slice of queries by a block of chunks that stays in a core's cache.
+_SLICE = 1 << 17
+
+
 def _block_topk(k: int):
     def run(qdf: pd.DataFrame, kdf: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", "id", "file_id", "distance"]
         if qdf.empty or kdf.empty:
             return pd.DataFrame({c: [] for c in cols})
+        # by id, so that ties in distance are in the order of places
+        kdf = kdf.iloc[np.argsort(kdf["id"].to_numpy(), kind="stable")]
         qv = np.stack(qdf["vector"].to_numpy()).astype(np.float64)
         kv = np.stack(kdf["embedding"].to_numpy()).astype(np.float64)
         qn = np.linalg.norm(qv, axis=1)
         kn = np.linalg.norm(kv, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = 1.0 - (qv @ kv.T) / np.outer(qn, kn)
-        rounded = np.round(dist, 6)
-        ids = kdf["id"].to_numpy()
-        id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        kk = min(k, len(ids))
-        out_q, out_id, out_d = [], [], []
-        # candidates: everything not beyond the k-th smallest rounded distance
-        kth = np.partition(np.nan_to_num(rounded, nan=np.inf), kk - 1, axis=1)[:, kk - 1]
-        for i in range(len(qdf)):
-            cand = np.nonzero(np.nan_to_num(rounded[i], nan=np.inf) <= kth[i])[0]
-            order = cand[np.lexsort((id_rank[cand], rounded[i, cand]))][:kk]
-            out_q.extend([qdf["query_id"].iat[i]] * len(order))
-            out_id.extend(ids[order])
-            out_d.extend(dist[i, order])
-        fid = kdf["file_id"].iat[0]
-        return pd.DataFrame({"query_id": out_q, "id": out_id, "file_id": [fid] * len(out_q), "distance": out_d})
+        kk = min(k, len(kv))
+        step = max(1, _SLICE // len(kv))
+        rows, places, dists = [], [], []
+        for at in range(0, len(qv), step):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dist = 1.0 - (qv[at : at + step] @ kv.T) / np.outer(qn[at : at + step], kn)
+            # candidates: everything not beyond the k-th smallest rounded distance; no number comes last
+            kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
+            row, place = np.nonzero(~(dist > (kth + 2e-6)[:, None]))
+            d = dist[row, place]
+            order = np.lexsort((place, np.round(d, 6), row))
+            row = row[order]
+            order = order[np.arange(len(row)) - np.searchsorted(row, row) < kk]
+            rows.append(np.repeat(np.arange(at, at + len(dist)), kk))
+            places.append(place[order])
+            dists.append(d[order])
+        place = np.concatenate(places)
+        out = [qdf["query_id"].to_numpy()[np.concatenate(rows)], kdf["id"].to_numpy()[place], [kdf["file_id"].iat[0]] * len(place), np.concatenate(dists)]
+        return pd.DataFrame(dict(zip(cols, out)))
 
     return run
 
@@ -375,20 +383,140 @@ def kb_topk(
     k: int = rules.KB_TOP_K,
     block_rows: int = 2048,
     default_file_id: str = rules.KB_DEFAULT_FILE_ID,
+    cell_rows: int = 2048,
 ) -> DataFrame:
     """Exact cosine top-k of each query among the KB chunks of its ``file_id``.
 
     ``queries``: ``query_id, file_id, vector``; ``kb``: ``id, file_id, embedding``.
-    Blocked nested-loop join: per ``file_id`` the KB and the queries are cut
-    into hash blocks of about ``block_rows``; each (KB block, query block)
+    The chunks of a file are cut into cells by the nearest of its pivots (one chunk in ``cell_rows``, drawn by a hash of ids, at
+    most ``MAX_PIVOTS`` in all). A query is first compared with the cell it falls into; the k-th distance found there
+    leaves only cells that can hold a chunk as near (see :func:`_cells_within`), and it is compared with these: exact. Vectors
+    whose directions have many dimensions let few cells be left out, then every chunk is compared. Of equal vectors the k with the least ids stand for all.
+    A comparison is a blocked nested-loop join: chunks and queries of a cell are cut
+    into hash blocks of about ``block_rows``; each (chunk block, query block)
     pair meets in one cogroup task, where numpy scores the block and keeps
     only the k best per query. No pair is ever emitted as a row; the final
-    top-k merges ≤ k candidates per KB block. Order: distance rounded to 6
+    top-k merges ≤ k candidates per block. Order: distance rounded to 6
     digits, then id, within each (query, file). A null text ``file_id`` is the default file; a row
     without a vector is no query and no hit (a blank query has none). Returns ``query_id, rank, id, file_id, distance``.
     """
     queries, kb = _comparable(queries, kb, default_file_id)
-    return _ranked(_block_hits(queries, kb, ["file_id"], k, block_rows), k)
+    pivots = _pivots(kb, cell_rows)
+    same = Window.partitionBy("file_id", "embedding").orderBy("id")
+    kb = kb.withColumn("_nth", F.row_number().over(same)).where(F.col("_nth") <= k).select("id", "file_id", "embedding")
+    if not pivots:
+        return _ranked(_block_hits(queries, kb, ["file_id"], k, block_rows), k)
+    placed = cut_lineage(kb.select("*", _cell_of(pivots)("file_id", "embedding").alias("_at")).select("id", "file_id", "embedding", "_at.cell", "_at.away"))
+    sizes = placed.where(F.col("file_id").isin(list(pivots))).groupBy("file_id", "cell").agg(F.count(F.lit(1)), F.max("away")).collect()  # a row for each pivot
+    placed, on = placed.drop("away"), ["file_id", "cell"]
+    own, others = _cells_of_query(pivots, sizes, k)
+    # read for the limits and for the result
+    first = cut_lineage(_block_hits(queries.select("*", own("file_id", "vector").alias("cell")), placed, on, k, block_rows))
+    kth = _ranked(first, k).groupBy(F.col("query_id").alias("_q"), F.col("file_id").alias("_f")).agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("_kth"))
+    known = queries.join(kth, F.col("query_id").eqNullSafe(F.col("_q")) & (F.col("file_id") == F.col("_f")), "left")
+    limit = F.nanvl(F.coalesce("_kth", F.lit(float("inf"))), F.lit(float("inf")))
+    more = known.select("query_id", "file_id", "vector", F.explode(others("file_id", "vector", limit)).alias("cell"))
+    return _ranked(first.unionByName(_block_hits(more, placed, on, k, block_rows)), k)
+
+
+#: Pivots of all files together, and the bytes of their vectors (they go to every task).
+MAX_PIVOTS, _PIVOT_BYTES = 4096, 16 << 20
+#: The cell of vectors without a direction (zero, or with entries that are no numbers).
+_NO_CELL = -1
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    """The vectors at length one; rows that are no numbers for those without a direction."""
+    v = np.stack(vectors.to_numpy()).astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    u[~np.isfinite(u).all(axis=1)] = np.nan
+    return u
+
+
+def _pivots(kb: DataFrame, cell_rows: int) -> dict:
+    """``file_id`` → unit vectors of its pivots, for the files with two or more (a bounded number of rows)."""
+    every = max(cell_rows, -(-kb.count() // MAX_PIVOTS))
+    drawn = kb.where(F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(every)) == 0).select("file_id", "embedding").limit(2 * MAX_PIVOTS).toPandas()
+    if drawn.empty:
+        return {}
+    drawn = drawn[: max(2, _PIVOT_BYTES // (8 * max(1, len(drawn["embedding"].iat[0]))))]
+    units = {f: _units(rows) for f, rows in drawn.groupby("file_id")["embedding"]}
+    units = {f.item() if isinstance(f, np.generic) else f: np.unique(u[~np.isnan(u).any(axis=1)], axis=0) for f, u in units.items()}
+    return {f: u for f, u in units.items() if len(u) > 1}
+
+
+def _by_file(files: pd.Series, units: np.ndarray, pivots: dict) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+    """``file_id``, places of a few rows, and their squared straight-line distances to the file's pivots; rows without a direction or pivots are
+    left out."""
+    has = ~np.isnan(units).any(axis=1)
+    for f, at in pd.Series(np.arange(len(files))).groupby(files.to_numpy()):
+        if f in pivots:
+            at = at.to_numpy()[has[at.to_numpy()]]
+            step = max(1, _SLICE // len(pivots[f]))
+            for i in range(0, len(at), step):
+                some = at[i : i + step]
+                yield f, some, np.maximum(2.0 - 2.0 * (units[some] @ pivots[f].T), 0.0)
+
+
+def _cell_of(pivots: dict):
+    """(file_id, vector) → the cell of the nearest pivot (0 in a file without pivots) and the distance to it."""
+
+    @F.pandas_udf("cell int, away double")
+    def run(files: pd.Series, vectors: pd.Series) -> pd.DataFrame:
+        cells, away = np.where(files.isin(list(pivots)), _NO_CELL, 0), np.zeros(len(files))
+        if pivots and len(files):
+            for _, at, d2 in _by_file(files, _units(vectors), pivots):
+                cells[at] = d2.argmin(axis=1)
+                away[at] = np.sqrt(d2.min(axis=1))
+        return pd.DataFrame({"cell": cells.astype(np.int32), "away": away})
+
+    return run
+
+
+def _cells_of_query(pivots: dict, sizes: list, k: int):
+    """Two functions: (file_id, vector) → the query's own cell, that of the nearest pivot with ``k`` vectors or more; and (file_id, vector, distance)
+    → the other cells in which a vector within this distance can be.
+
+    On the unit sphere a distance ``d`` is a straight line of ``sqrt(2 d)``. A vector of another cell is at most ``far`` from its
+    pivot, and not nearer to the own cell's pivot: it lies beyond the plane half way between the two.
+    """
+    count, far, odd = ({f: np.zeros(len(u)) for f, u in pivots.items()} for _ in range(3))
+    for f, c, n, away in sizes:
+        if c == _NO_CELL:
+            odd[f][:] = n
+        else:
+            count[f][c], far[f][c] = n, away
+
+    def nearest(f, d2: np.ndarray) -> np.ndarray:
+        full = count[f] >= k
+        return np.where(full, d2, np.inf).argmin(axis=1) if full.any() else d2.argmin(axis=1)
+
+    @F.pandas_udf("int")
+    def own(files: pd.Series, vectors: pd.Series) -> pd.Series:
+        cells = np.where(files.isin(list(pivots)), _NO_CELL, 0)
+        for f, at, d2 in _by_file(files, _units(vectors), pivots) if len(files) else ():
+            cells[at] = nearest(f, d2)
+        return pd.Series(cells.astype(np.int32))
+
+    @F.pandas_udf("array<int>")
+    def others(files: pd.Series, vectors: pd.Series, limits: pd.Series) -> pd.Series:
+        # a query without a direction is as far from every vector: all cells but its own
+        out = [np.flatnonzero(count[f]).astype(np.int32) if f in pivots else np.empty(0, np.int32) for f in files]
+        # room for ties in the rounded distance and for rounding here
+        reach = np.sqrt(2.0 * (limits.to_numpy(np.float64) + 2e-6)) + 1e-6
+        for f, at, d2 in _by_file(files, _units(vectors), pivots) if len(files) else ():
+            mine = nearest(f, d2)
+            gap = np.sqrt(np.maximum(2.0 - 2.0 * (pivots[f][mine] @ pivots[f].T), 0.0))
+            plane = np.where(gap > 1e-4, (d2 - d2[np.arange(len(at)), mine][:, None]) / np.maximum(2.0 * gap, 1e-4), 0.0)
+            within = (np.maximum(plane, np.sqrt(d2) - far[f]) <= reach[at][:, None]) & (count[f] > 0)
+            within[np.arange(len(at)), mine] = False
+            for i, row in zip(at, within):
+                rest = [_NO_CELL] if reach[i] == np.inf and odd[f].any() else []
+                out[i] = np.append(np.flatnonzero(row), rest).astype(np.int32)
+        return pd.Series(out)
+
+    return own, others
 
 
 def _comparable(queries: DataFrame, kb: DataFrame, default_file_id: str) -> tuple[DataFrame, DataFrame]:
