@@ -293,19 +293,22 @@ def parse_verdicts_q(spark, sf):
     return parse_verdicts(spread(inputs.verdict_raw(spark, sf)), keep=["log_id", "cluster_no"])
 
 
-def _seclog_events(spark, sf):
+def _seclog_events(spark, sf, shared=False):
     """(analysed events, merged indicators): clusters with verdicts attached (J4) and their merged-indicator counts. Only keys
-    and values are written in between: no lines, no contexts."""
+    and values are written in between: no lines, no contexts. ``shared``: both are written once as well (reliable checkpoints), for
+    queries that read them more than once."""
     lines = _seclog_keyed(spark, sf, context=None)
     keyed = cut_lineage(lines.select("log_id", "chunk_ix", "cluster_id", F.transform("iocs", lambda i: F.struct(i["type"].alias("type"), i["value"].alias("value"), i["confidence"].alias("confidence"), i["context"].alias("context"))).alias("iocs")))
     verdicts = parse_verdicts(spread(inputs.verdict_raw(spark, sf)), keep=["log_id", "cluster_no"])
     events = attach_verdicts(cluster_counts(keyed), verdicts, on=[("log_id", "log_id"), ("first_chunk_ix", "cluster_no")])
     merged = merged_keys(keyed)
+    if shared:
+        merged = cut_lineage(merged)
     counts = merged.groupBy("log_id", "cluster_id").agg(F.count(F.lit(1)).alias("merged_count"))
     events = events.join(counts, ["log_id", "cluster_id"], "left").withColumn(
         "n_iocs", F.when(F.col("error").isNull(), F.coalesce("merged_count", F.lit(0))).otherwise(F.lit(0)).cast("long")
     )
-    return events, merged
+    return (cut_lineage(events) if shared else events), merged
 
 
 @register("threats")
@@ -321,6 +324,8 @@ def threats_q(spark, sf):
 def run_summary_q(spark, sf):
     """One row per seclog log (user), clean logs included."""
     events, _m = _seclog_events(spark, sf)
+    # read for the clusters and for the verdicts: attached and written once
+    events = cut_lineage(events.select("log_id", "cluster_id", "sample_count", "is_threat", "error", "n_iocs"))
     lines = inputs.seclog_chunks(spark, sf)
     totals = lines.groupBy("log_id").agg(F.count(F.lit(1)).alias("total_chunks_processed"))
     return run_summary(totals, None, events.select("log_id", "cluster_id", "sample_count"), events.select("log_id", "cluster_id", "is_threat", "error", "n_iocs"))
