@@ -373,7 +373,7 @@ def result_sink_q(spark, sf):
     from ..session import checkpoint_dir
     from ..sources.logs import write_result
 
-    events, merged = _seclog_events(spark, sf)
+    events, merged = _seclog_events(spark, sf, shared=True)
     totals = inputs.seclog_chunks(spark, sf).groupBy("log_id").agg(F.count(F.lit(1)).alias("total_chunks_processed"))
     runs = run_summary(totals, None, events.select("log_id", "cluster_id", "sample_count"), events.select("log_id", "cluster_id", "is_threat", "error", "n_iocs"))
     path = f"{checkpoint_dir(spark)}/result-{uuid.uuid4().hex}"
